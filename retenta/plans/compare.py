@@ -1,0 +1,72 @@
+"""Spark result against its DuckDB twin: row count, column names, values.
+
+Values are compared order-insensitively: both sides are sorted on every column
+after normalising (floats rounded to 9 significant places, NaN as null,
+integers written as floats when they hold nulls on one side).
+"""
+
+from __future__ import annotations
+
+import math
+
+import duckdb
+import pandas as pd
+
+from ..sources.fixtures import table  # noqa: F401  (keeps the import graph explicit)
+
+DIGITS = 17
+
+TABLES = [
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+    "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
+]
+
+
+def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
+    return con
+
+
+def _norm(v):
+    if v is None or v is pd.NA or v is pd.NaT:
+        return None
+    if hasattr(v, "item") and not isinstance(v, (str, bytes)):
+        v = v.item()
+    if isinstance(v, bool):
+        return v
+    if isinstance(v, (int, float)):
+        if isinstance(v, float) and math.isnan(v):
+            return None
+        return float(f"{float(v):.{DIGITS}g}")
+    return v
+
+
+def _rows(pdf: pd.DataFrame) -> list[tuple]:
+    cols = sorted(pdf.columns)
+    out = []
+    for rec in pdf[cols].itertuples(index=False, name=None):
+        out.append(tuple(_norm(x) for x in rec))
+    return sorted(out, key=lambda r: tuple((x is None, str(type(x)), x if x is not None else 0) for x in r))
+
+
+def compare(spark_df, con, sql: str) -> dict:
+    s = spark_df.toPandas()
+    d = con.execute(sql).fetchdf()
+    res = {
+        "rows_spark": len(s),
+        "rows_oracle": len(d),
+        "columns_match": sorted(s.columns) == sorted(d.columns),
+    }
+    if not res["columns_match"]:
+        res["columns"] = (sorted(s.columns), sorted(d.columns))
+        res["values_match"] = False
+        return res
+    rs, rd = _rows(s), _rows(d)
+    res["values_match"] = rs == rd
+    if not res["values_match"]:
+        diffs = [(a, b) for a, b in zip(rs, rd) if a != b]
+        res["first_diffs"] = diffs[:3]
+        res["n_diff"] = len(diffs)
+    return res
