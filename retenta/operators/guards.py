@@ -1,0 +1,27 @@
+"""Size checks in front of broadcasts.
+
+One-row aggregates and fixed dimension tables are broadcast without a check:
+their size does not grow with the data. Anything else is broadcast only after
+:func:`checked_broadcast` has counted it (a ``limit(bound + 1).count()`` job,
+which stops reading once the bound is passed).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+class TooLargeToBroadcast(ValueError):
+    pass
+
+
+def row_count_at_most(df: DataFrame, bound: int) -> bool:
+    return df.limit(bound + 1).count() <= bound
+
+
+def checked_broadcast(df: DataFrame, bound: int, what: str) -> DataFrame:
+    """``broadcast(df)`` when it has at most ``bound`` rows, else an error naming ``what``."""
+    if not row_count_at_most(df, bound):
+        raise TooLargeToBroadcast(f"{what} has more than {bound} rows; it is expected to be a bounded lookup table")
+    return F.broadcast(df)

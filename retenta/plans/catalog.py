@@ -13,7 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import scoring
+from ..operators import kpis, lookup, monthly, rollups, scoring, segments
+from . import params as P
 from ..sources import fixtures as fx
 
 TS_TEXT = "yyyy-MM-dd HH:mm:ss"
@@ -35,6 +36,168 @@ def q_churn_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("ultima_tx", F.date_format("ultima_tx", TS_TEXT)).select(*SCORED_COLUMNS)
 
 
+def q_search_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.search_clients(scored_clients(spark, sf_dir), P.SEARCH_Q, P.SEARCH_LIMIT)
+
+
+def q_high_risk_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.high_risk_page(scored_clients(spark, sf_dir), **P.HIGH_RISK_PAGE)
+
+
+def q_high_risk_page_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.high_risk_page(scored_clients(spark, sf_dir), **P.HIGH_RISK_PAGE_STATE)
+
+
+def q_high_risk_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.high_risk_after(scored_clients(spark, sf_dir), **P.HIGH_RISK_AFTER)
+
+
+def q_client_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.transaction_pages(fx.transactions(spark, sf_dir), **P.TX_PAGE_FIRST)
+
+
+def q_client_transactions_page2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.transaction_pages(fx.transactions(spark, sf_dir), **P.TX_PAGE_SECOND)
+
+
+def q_client_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.conversation_histories(fx.conversations(spark, sf_dir))
+
+
+def q_score_card(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score_card(scored_clients(spark, sf_dir))
+
+
+def q_high_risk_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.high_risk_top(fx.clients(spark, sf_dir), fx.transactions(spark, sf_dir), k=P.HIGH_RISK_TOP_K)
+
+
+def kpi_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.monthly_kpis(fx.transactions(spark, sf_dir), fx.conversations(spark, sf_dir))
+
+
+def q_monthly_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kpi_table(spark, sf_dir).withColumn("mes", F.date_format("mes", "yyyy-MM"))
+
+
+def q_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kpis.months(kpi_table(spark, sf_dir))
+
+
+def q_global_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kpis.global_kpis(kpi_table(spark, sf_dir), P.GLOBAL_KPI_MONTH)
+
+
+def q_global_kpis_first_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kpis.global_kpis(kpi_table(spark, sf_dir), P.GLOBAL_KPI_FIRST_MONTH)
+
+
+def q_kpi_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kpis.kpi_changes(kpi_table(spark, sf_dir))
+
+
+def q_churn_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kpis.churn_timeline(kpi_table(spark, sf_dir).select("mes", "nuevos_churn"))
+
+
+def q_churn_label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.churn_label_counts(fx.clients(spark, sf_dir))
+
+
+def q_churn_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.churn_totals_from_counts(rollups.churn_label_counts(fx.clients(spark, sf_dir)))
+
+
+def q_churn_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.churn_totals(fx.clients(spark, sf_dir))
+
+
+def q_state_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.state_map(fx.clients(spark, sf_dir))
+
+
+def q_age_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.age_profile(fx.clients(spark, sf_dir))
+
+
+def usage_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.product_usage(fx.products(spark, sf_dir), fx.clients(spark, sf_dir))
+
+
+def q_product_usage_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return usage_table(spark, sf_dir)
+
+
+def q_product_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.top_products(usage_table(spark, sf_dir).select("producto", "usos", "churn_pct"), P.TOP_PRODUCTS)
+
+
+def q_income_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.income_sample(fx.clients(spark, sf_dir), P.SAMPLE_ROWS, P.SAMPLE_SEED)
+
+
+def q_region_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    states = segments.state_map(fx.clients(spark, sf_dir))
+    return segments.region_match(fx.region_names(spark, sf_dir), states)
+
+
+def q_state_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    states = segments.state_map(fx.clients(spark, sf_dir))
+    layer = fx.table(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").alias("map_order"), F.col("n_name").alias("map_name")
+    )
+    return segments.lookup_states(layer, states, order_col="clientes")
+
+
+def q_top_inputs_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rollups.top_inputs_by_month(fx.inputs(spark, sf_dir), P.TOP_PER_MONTH)
+    return out.withColumn("month", F.date_format("month", "yyyy-MM"))
+
+
+def q_top_operations_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rollups.top_operations_by_month(fx.transactions(spark, sf_dir), P.TOP_PER_MONTH)
+    return out.withColumn("month", F.date_format("month", "yyyy-MM"))
+
+
+def q_inputs_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = rollups.top_inputs_by_month(fx.inputs(spark, sf_dir), P.TOP_PER_MONTH)
+    return monthly.inputs_pivot(top, P.INPUT_VALUES)
+
+
+def q_operations_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = rollups.top_operations_by_month(fx.transactions(spark, sf_dir), P.TOP_PER_MONTH)
+    return monthly.operations_pivot(top, P.OPERATION_VALUES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "churn_scores": q_churn_scores,
+    "search_clients": q_search_clients,
+    "high_risk_page": q_high_risk_page,
+    "high_risk_page_state": q_high_risk_page_state,
+    "high_risk_after": q_high_risk_after,
+    "client_transactions": q_client_transactions,
+    "client_transactions_page2": q_client_transactions_page2,
+    "client_conversations": q_client_conversations,
+    "score_card": q_score_card,
+    "high_risk_top": q_high_risk_top,
+    "monthly_kpis": q_monthly_kpis,
+    "months": q_months,
+    "global_kpis": q_global_kpis,
+    "global_kpis_first_month": q_global_kpis_first_month,
+    "kpi_changes": q_kpi_changes,
+    "churn_timeline": q_churn_timeline,
+    "churn_label_counts": q_churn_label_counts,
+    "churn_counts": q_churn_counts,
+    "churn_totals": q_churn_totals,
+    "state_map": q_state_map,
+    "age_profile": q_age_profile,
+    "product_usage_table": q_product_usage_table,
+    "product_usage": q_product_usage,
+    "income_sample": q_income_sample,
+    "region_match": q_region_match,
+    "state_lookup": q_state_lookup,
+    "top_inputs_by_month": q_top_inputs_by_month,
+    "top_operations_by_month": q_top_operations_by_month,
+    "inputs_pivot": q_inputs_pivot,
+    "operations_pivot": q_operations_pivot,
 }

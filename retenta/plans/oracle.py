@@ -108,7 +108,409 @@ def churn_scores() -> str:
     return f"{BASE_SCORED}\nSELECT {SCORED_COLUMNS} FROM scored"
 
 
+HIGH_RISK_PAGE_COLUMNS = """user_id, estado, ciudad, churn_score, satisfaccion_1_10, dias_desde_ultimo_login,
+  num_productos_activos, es_hey_pro, ingreso_mensual_mxn, total_tx"""
+
+
+def search_clients(q: str = "1.1", limit: int = 20) -> str:
+    return f"""{BASE_SCORED}
+SELECT user_id, estado, ciudad, churn_score, riesgo, satisfaccion_1_10, es_hey_pro FROM scored
+WHERE coalesce(regexp_matches(CAST(user_id AS VARCHAR), '(?i){q}'), false)
+ORDER BY user_id LIMIT {limit}"""
+
+
+def _high_risk_filtered(estado: str | None, score_min: float, score_max: float) -> str:
+    state = f"AND lower(estado) = '{estado.lower()}'" if estado else ""
+    return f"""filtered AS (
+  SELECT * FROM scored WHERE riesgo = 'Alto' {state}
+    AND churn_score BETWEEN CAST({score_min} AS DOUBLE) AND CAST({score_max} AS DOUBLE))"""
+
+
+def high_risk_page(page: int, page_size: int, estado: str | None = None, score_min: float = 0.0,
+                   score_max: float = 100.0) -> str:
+    return f"""{BASE_SCORED}, {_high_risk_filtered(estado, score_min, score_max)},
+meta AS (SELECT count(*) AS total, {page} AS page, {page_size} AS page_size,
+                CAST(ceil(count(*) / {page_size}) AS BIGINT) AS pages FROM filtered)
+SELECT p.*, meta.* FROM (
+  SELECT {HIGH_RISK_PAGE_COLUMNS} FROM filtered ORDER BY churn_score DESC, user_id
+  LIMIT {page_size} OFFSET {(page - 1) * page_size}) p CROSS JOIN meta"""
+
+
+def high_risk_after(last_score: float, last_id: int, page_size: int) -> str:
+    return f"""{BASE_SCORED}, {_high_risk_filtered(None, 0.0, 100.0)}
+SELECT {HIGH_RISK_PAGE_COLUMNS} FROM filtered
+WHERE churn_score < CAST({last_score} AS DOUBLE)
+   OR (churn_score = CAST({last_score} AS DOUBLE) AND user_id > {last_id})
+ORDER BY churn_score DESC, user_id LIMIT {page_size}"""
+
+
+def transaction_pages(page: int, page_size: int) -> str:
+    first, last = (page - 1) * page_size + 1, page * page_size
+    return f"""WITH {TRANSACTIONS},
+keyed AS (SELECT * FROM transactions WHERE user_id IS NOT NULL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id
+             ORDER BY fecha_hora DESC, monto DESC, tipo_operacion ASC) AS pos FROM keyed),
+totals AS (SELECT user_id, count(*) AS total FROM keyed GROUP BY user_id)
+SELECT r.user_id, r.monto, strftime(r.fecha_hora, '%Y-%m-%d %H:%M:%S') AS fecha_hora, r.tipo_operacion,
+       r.pos, t.total, CAST(ceil(t.total / {page_size}) AS BIGINT) AS pages
+FROM ranked r JOIN totals t ON r.user_id = t.user_id WHERE r.pos BETWEEN {first} AND {last}"""
+
+
+CONVERSATIONS = """
+conv AS (SELECT user_id, ts AS date, event_type AS input, event_id FROM events)"""
+
+
+def conversation_histories() -> str:
+    return f"""WITH {CONVERSATIONS},
+keyed AS (SELECT * FROM conv WHERE user_id IS NOT NULL),
+totals AS (SELECT user_id, count(*) AS total FROM keyed GROUP BY user_id)
+SELECT k.user_id, strftime(k.date, '%Y-%m-%d %H:%M:%S.%f') AS date, k.input, k.event_id, t.total
+FROM keyed k JOIN totals t ON k.user_id = t.user_id"""
+
+
+def score_card() -> str:
+    return f"""{BASE_SCORED}
+SELECT user_id AS id, churn_score AS score, riesgo,
+       CASE WHEN churn_score >= 70 THEN 'Contacto urgente' ELSE 'Monitoreo estándar' END AS suggestion
+FROM scored"""
+
+
+def high_risk_top(k: int = 20, threshold: float = 60.0) -> str:
+    return f"""WITH {CLIENTS}, {TRANSACTIONS},
+counts AS (SELECT user_id, count(monto) AS total_tx FROM transactions WHERE user_id IS NOT NULL GROUP BY user_id),
+labelled AS (SELECT c.*, CASE WHEN upper(trim(UsuarioChurn)) = 'CHURN' THEN CAST(95 AS DOUBLE)
+                              ELSE CAST(20 AS DOUBLE) END AS churn_score FROM clients c)
+SELECT s.user_id, s.estado, s.ciudad, s.churn_score,
+       coalesce(s.satisfaccion_1_10, CAST(0 AS DOUBLE)) AS satisfaccion_1_10,
+       coalesce(s.dias_desde_ultimo_login, 0) AS dias_desde_ultimo_login,
+       coalesce(s.num_productos_activos, 0) AS num_productos_activos,
+       coalesce(k.total_tx, 0) AS total_tx,
+       coalesce(s.ingreso_mensual_mxn, CAST(0 AS DOUBLE)) AS ingreso_mensual_mxn
+FROM labelled s LEFT JOIN counts k ON s.user_id = k.user_id
+WHERE s.churn_score >= CAST({threshold} AS DOUBLE)
+ORDER BY s.churn_score DESC, s.user_id LIMIT {k}"""
+
+
+D = "CAST({} AS DOUBLE)"
+
+
+def dbl(x) -> str:
+    return D.format(x)
+
+
+KPI_TABLE = f"""
+tx_m AS (
+  SELECT CAST(date_trunc('month', fecha_hora) AS DATE) AS mes,
+         CAST(sum(CAST(monto AS DECIMAL(18,2))) AS DOUBLE) AS monto_total, count(*) AS num_transacciones
+  FROM transactions GROUP BY 1),
+conv_m AS (SELECT CAST(date_trunc('month', date) AS DATE) AS mes, count(*) AS num_inputs FROM conv GROUP BY 1),
+last_tx AS (SELECT user_id, max(fecha_hora) AS ultima_tx FROM transactions WHERE user_id IS NOT NULL GROUP BY 1),
+tx_max AS (SELECT max(fecha_hora) AS fecha_max FROM transactions),
+churn_m AS (
+  SELECT CAST(date_trunc('month', ultima_tx + INTERVAL 181 DAY) AS DATE) AS mes, count(*) AS nuevos_churn
+  FROM last_tx CROSS JOIN tx_max WHERE ultima_tx + INTERVAL 181 DAY <= fecha_max GROUP BY 1),
+kpi_months AS (SELECT mes FROM tx_m UNION SELECT mes FROM conv_m UNION SELECT mes FROM churn_m),
+kpi AS (
+  SELECT m.mes, coalesce(t.monto_total, {dbl(0)}) AS monto_total,
+         CAST(coalesce(c.num_inputs, 0) AS BIGINT) AS num_inputs,
+         CAST(coalesce(ch.nuevos_churn, 0) AS BIGINT) AS nuevos_churn,
+         CAST(coalesce(t.num_transacciones, 0) AS BIGINT) AS num_transacciones
+  FROM kpi_months m LEFT JOIN tx_m t ON m.mes = t.mes LEFT JOIN conv_m c ON m.mes = c.mes
+       LEFT JOIN churn_m ch ON m.mes = ch.mes)"""
+
+BASE_KPI = with_ctes(TRANSACTIONS, CONVERSATIONS, KPI_TABLE)
+KPI_NAMES = [("monto_total", "monto_total", False), ("num_inputs", "num_inputs", False),
+             ("nuevos_churns", "nuevos_churn", True), ("num_transacciones", "num_transacciones", False)]
+MONTHS_LONG = "['enero','febrero','marzo','abril','mayo','junio','julio','agosto','septiembre','octubre','noviembre','diciembre']"
+MONTHS_SHORT = "['Ene','Feb','Mar','Abr','May','Jun','Jul','Ago','Sep','Oct','Nov','Dic']"
+
+
+def monthly_kpis() -> str:
+    return f"""{BASE_KPI}
+SELECT strftime(mes, '%Y-%m') AS mes, monto_total, num_inputs, nuevos_churn, num_transacciones FROM kpi"""
+
+
+def months() -> str:
+    return f"""{BASE_KPI}
+SELECT mes, {MONTHS_LONG}[CAST(substr(mes, 6, 2) AS INTEGER)] || ' de ' || substr(mes, 1, 4) AS etiqueta
+FROM (SELECT DISTINCT strftime(mes, '%Y-%m') AS mes FROM kpi WHERE mes IS NOT NULL) t"""
+
+
+def _pct(valor: str, previo: str) -> str:
+    return (f"CASE WHEN {previo} = 0 THEN CASE WHEN {valor} > 0 THEN {dbl(100)} ELSE {dbl(0)} END "
+            f"ELSE round_even(({valor} - {previo}) / abs({previo}) * {dbl(100)}, 1) END")
+
+
+def _long(source: str, keep: str = "") -> str:
+    parts = []
+    for name, _, inverted in KPI_NAMES:
+        parts.append(f"SELECT {keep}'{name}' AS kpi, {name}__valor AS valor, {name}__previo AS previo, "
+                     f"{'TRUE' if inverted else 'FALSE'} AS inv FROM {source}")
+    union = "\nUNION ALL ".join(parts)
+    cols = f"{keep}kpi, valor, previo"
+    return f"""SELECT {cols}, porcentaje, CASE WHEN inv THEN porcentaje <= 0 ELSE porcentaje >= 0 END AS es_bueno
+FROM (SELECT *, {_pct('valor', 'previo')} AS porcentaje FROM ({union}) u) x"""
+
+
+def global_kpis(month: str) -> str:
+    y, m = (int(x) for x in month.split("-"))
+    cur = f"DATE '{y:04d}-{m:02d}-01'"
+    py, pm = (y, m - 1) if m > 1 else (y - 1, 12)
+    ny, nm = (y, m + 1) if m < 12 else (y + 1, 1)
+    prev = f"DATE '{py:04d}-{pm:02d}-01'"
+    nxt = f"DATE '{ny:04d}-{nm:02d}-01'"
+    sums = []
+    for name, src, _ in KPI_NAMES:
+        val = f"CAST({src} AS DECIMAL(18,2))" if src == "monto_total" else src
+        sums.append(f"coalesce(CAST(sum(CASE WHEN mes >= {cur} AND mes < {nxt} THEN {val} END) AS DOUBLE), {dbl(0)}) AS {name}__valor")
+        sums.append(f"coalesce(CAST(sum(CASE WHEN mes >= {prev} AND mes < {cur} THEN {val} END) AS DOUBLE), {dbl(0)}) AS {name}__previo")
+    return f"""{BASE_KPI},
+sums AS (SELECT {', '.join(sums)} FROM kpi WHERE mes >= {prev} AND mes < {nxt})
+{_long('sums')}"""
+
+
+def kpi_changes() -> str:
+    tot = ", ".join(
+        (f"CAST(sum(CAST({src} AS DECIMAL(18,2))) AS DOUBLE) AS {name}" if src == "monto_total"
+         else f"CAST(sum({src}) AS DOUBLE) AS {name}")
+        for name, src, _ in KPI_NAMES)
+    sel = ", ".join(f"t.{n} AS {n}__valor, coalesce(p.{n}, {dbl(0)}) AS {n}__previo" for n, _, _ in KPI_NAMES)
+    return f"""{BASE_KPI},
+totals AS (SELECT CAST(date_trunc('month', mes) AS DATE) AS mes, {tot} FROM kpi GROUP BY 1),
+joined AS (SELECT strftime(t.mes, '%Y-%m') AS mes, {sel}
+           FROM totals t LEFT JOIN totals p ON p.mes + INTERVAL 1 MONTH = t.mes)
+{_long('joined', keep='mes, ')}"""
+
+
+def churn_timeline() -> str:
+    return f"""{BASE_KPI}
+SELECT strftime(mes, '%Y-%m') AS mes, nuevos_churn FROM kpi WHERE mes IS NOT NULL ORDER BY mes"""
+
+
+BASE_CLIENTS = with_ctes(CLIENTS)
+
+
+def churn_label_counts() -> str:
+    return f"{BASE_CLIENTS}\nSELECT UsuarioChurn, count(*) AS count FROM clients GROUP BY UsuarioChurn"
+
+
+def churn_counts() -> str:
+    return f"""{BASE_CLIENTS},
+counts AS (SELECT UsuarioChurn, count(*) AS count FROM clients GROUP BY UsuarioChurn),
+w AS (SELECT CAST(coalesce(sum(CASE WHEN upper(trim(UsuarioChurn)) = 'CHURN' THEN count END), 0) AS BIGINT) AS c,
+             CAST(coalesce(sum(CASE WHEN upper(trim(UsuarioChurn)) = 'NO CHURN' THEN count END), 0) AS BIGINT) AS n
+      FROM counts)
+SELECT 'Churn' AS status, c AS cantidad FROM w UNION ALL SELECT 'No Churn', n FROM w"""
+
+
+def churn_totals() -> str:
+    return f"""{BASE_CLIENTS},
+w AS (SELECT count(CASE WHEN upper(trim(UsuarioChurn)) IN ('1', '1.0', 'CHURN') THEN 1 END) AS c,
+             count(CASE WHEN upper(trim(UsuarioChurn)) IS NULL
+                          OR upper(trim(UsuarioChurn)) NOT IN ('1', '1.0', 'CHURN') THEN 1 END) AS n
+      FROM clients)
+SELECT 'No Churn' AS status, n AS cantidad FROM w UNION ALL SELECT 'Churn', c FROM w"""
+
+
+def _ratio(num: str, den: str) -> str:
+    return f"round_even(CAST({num} AS DOUBLE) / CAST(nullif({den}, 0) AS DOUBLE) * {dbl(100)}, 1)"
+
+
+def _severity(p: str) -> str:
+    return (f"CASE WHEN {p} >= 55 THEN 'Crítico' WHEN {p} >= 40 THEN 'Alto' "
+            f"WHEN {p} >= 25 THEN 'Medio' ELSE 'Bajo' END")
+
+
+def _shade(p: str) -> str:
+    return (f"CASE WHEN {p} IS NULL THEN CAST(NULL AS INTEGER) WHEN {p} >= 14 THEN 4 WHEN {p} >= 12 THEN 3 "
+            f"WHEN {p} >= 10 THEN 2 WHEN {p} >= 8 THEN 1 ELSE 0 END")
+
+
+STATE_MAP = f"""
+state_grp AS (
+  SELECT estado, count(user_id) AS clientes,
+         CAST(sum(CAST(coalesce(upper(trim(UsuarioChurn)) = 'CHURN', false) AS INTEGER)) AS BIGINT) AS churn_sum
+  FROM clients WHERE estado IS NOT NULL GROUP BY estado),
+state_map AS (
+  SELECT estado AS nombre, clientes, {_ratio('churn_sum', 'clientes')} AS churn_pct FROM state_grp)"""
+
+
+def state_map() -> str:
+    return f"""{with_ctes(CLIENTS, STATE_MAP)}
+SELECT nombre, clientes, churn_pct, {_severity('churn_pct')} AS severidad, {_shade('churn_pct')} AS nivel
+FROM state_map"""
+
+
+def age_profile() -> str:
+    edges = [17, 25, 35, 45, 55, 65, 120]
+    labels = ["18–25", "26–35", "36–45", "46–55", "56–65", "65+"]
+    band = " ".join(f"WHEN edad > {edges[i]} AND edad <= {edges[i+1]} THEN '{labels[i]}'" for i in range(6))
+    rank = " ".join(f"WHEN edad > {edges[i]} AND edad <= {edges[i+1]} THEN {i+1}" for i in range(6))
+    return f"""{BASE_CLIENTS},
+banded AS (
+  SELECT CASE {band} END AS rango_edad, CASE {rank} END AS orden,
+         CAST(round(ingreso_mensual_mxn * {dbl(100)}) AS BIGINT) AS cents,
+         CAST(coalesce(upper(trim(UsuarioChurn)) = 'CHURN', false) AS INTEGER) AS churn, user_id
+  FROM clients),
+grp AS (
+  SELECT rango_edad, orden, sum(cents) AS cents_sum, count(cents) AS cents_n,
+         CAST(sum(churn) AS BIGINT) AS churn_sum, count(user_id) AS total
+  FROM banded WHERE rango_edad IS NOT NULL GROUP BY rango_edad, orden)
+SELECT rango_edad, orden,
+       CAST(round_even(CAST(cents_sum AS DOUBLE) / CAST(nullif(cents_n, 0) AS DOUBLE) / {dbl(100)}, 0) AS BIGINT)
+         AS ingreso_promedio,
+       {_ratio('churn_sum', 'total')} AS churn_pct, total
+FROM grp"""
+
+
+PRODUCTS = """
+products AS (
+  SELECT o.o_custkey AS user_id, p.p_type AS producto, l.l_shipdate AS fecha_apertura
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN part p ON l.l_partkey = p.p_partkey)"""
+
+USAGE = f"""
+pairs AS (SELECT producto, user_id, count(*) AS n FROM products
+          WHERE producto IS NOT NULL AND user_id IS NOT NULL GROUP BY producto, user_id),
+usage AS (
+  SELECT pr.producto, CAST(sum(pr.n) AS BIGINT) AS usos, count(*) AS clientes,
+         CAST(coalesce(sum(CAST(coalesce(upper(trim(c.UsuarioChurn)) = 'CHURN', false) AS INTEGER)), 0) AS BIGINT)
+           AS churn_sum
+  FROM pairs pr LEFT JOIN clients c ON pr.user_id = c.user_id GROUP BY pr.producto)"""
+
+
+def product_usage_table() -> str:
+    return f"""{with_ctes(CLIENTS, PRODUCTS, USAGE)}
+SELECT producto, usos, clientes, {_ratio('churn_sum', 'clientes')} AS churn_pct FROM usage"""
+
+
+def product_usage(n: int) -> str:
+    return f"""{with_ctes(CLIENTS, PRODUCTS, USAGE)},
+clean AS (SELECT CAST(producto AS VARCHAR) AS producto, usos,
+                 coalesce(round_even({_ratio('churn_sum', 'clientes')}, 1), {dbl(0)}) AS churn_pct FROM usage),
+mx AS (SELECT greatest(coalesce(max(usos), 0), 1) AS max_usos FROM clean)
+SELECT producto, usos, churn_pct, round_even(usos / max_usos * {dbl(100)}, 1) AS share
+FROM (SELECT * FROM clean ORDER BY usos DESC, producto LIMIT {n}) t CROSS JOIN mx"""
+
+
+def income_sample(n: int, seed: int) -> str:
+    return f"""{BASE_CLIENTS}
+SELECT edad, ingreso, status FROM (
+  SELECT edad, ingreso_mensual_mxn AS ingreso,
+         CASE WHEN CAST(UsuarioChurn AS VARCHAR) IN ('1', '1.0', 'CHURN') THEN 'CHURN' ELSE 'NO CHURN' END AS status,
+         md5('{seed}' || '-' || CAST(user_id AS VARCHAR)) AS h, user_id
+  FROM clients ORDER BY h, user_id LIMIT {n}) t"""
+
+
+def region_match() -> str:
+    return f"""{with_ctes(CLIENTS, STATE_MAP)},
+layer AS (SELECT n_nationkey AS map_order,
+                 CASE WHEN n_nationkey % 2 = 1 THEN 'estado ' || lower(n_name) ELSE lower(n_name) END AS map_name
+          FROM nation),
+pairs AS (
+  SELECT l.map_order, l.map_name, s.nombre, s.clientes, s.churn_pct,
+         row_number() OVER (PARTITION BY l.map_order, l.map_name ORDER BY s.nombre ASC NULLS LAST, s.nombre) AS rn
+  FROM layer l LEFT JOIN state_map s ON coalesce(
+       (contains(lower(s.nombre), 'cdmx') AND (contains(lower(l.map_name), 'distrito')
+                                              OR contains(lower(l.map_name), 'ciudad de')))
+    OR (contains(lower(s.nombre), 'estado de méxico') AND lower(l.map_name) = 'méxico')
+    OR contains(lower(s.nombre), lower(l.map_name)) OR contains(lower(l.map_name), lower(s.nombre)), false))
+SELECT map_order, map_name, nombre, clientes, churn_pct, {_shade('churn_pct')} AS nivel FROM pairs WHERE rn = 1"""
+
+
+def state_lookup() -> str:
+    return f"""{with_ctes(CLIENTS, STATE_MAP)},
+latest AS (SELECT nombre, clientes, churn_pct FROM (
+  SELECT *, row_number() OVER (PARTITION BY nombre ORDER BY clientes DESC) AS rn FROM state_map) t WHERE rn = 1)
+SELECT n.n_nationkey AS map_order, n.n_name AS map_name, l.clientes, l.churn_pct
+FROM nation n LEFT JOIN latest l ON n.n_name = l.nombre"""
+
+
+INPUTS = """
+inputs AS (SELECT l.l_shipdate AS fecha, p.p_type AS input
+           FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey)"""
+
+TOP_INPUTS = """
+top_inputs AS (
+  SELECT month, input, count FROM (
+    SELECT *, row_number() OVER (PARTITION BY month ORDER BY count DESC, input ASC) AS rk FROM (
+      SELECT CAST(date_trunc('month', fecha) AS DATE) AS month, input, count(*) AS count
+      FROM inputs WHERE input IS NOT NULL GROUP BY 1, 2) g) r
+  WHERE rk <= {k})"""
+
+TOP_OPS = """
+top_ops AS (
+  SELECT month, tipo_operacion, monto FROM (
+    SELECT *, row_number() OVER (PARTITION BY month ORDER BY monto DESC, tipo_operacion ASC) AS rk FROM (
+      SELECT CAST(date_trunc('month', fecha_hora) AS DATE) AS month, tipo_operacion,
+             CAST(sum(CAST(monto AS DECIMAL(18,2))) AS DOUBLE) AS monto
+      FROM transactions WHERE tipo_operacion IS NOT NULL GROUP BY 1, 2) g) r
+  WHERE rk <= {k})"""
+
+
+def top_inputs_by_month(k: int) -> str:
+    return f"""{with_ctes(INPUTS, TOP_INPUTS.format(k=k))}
+SELECT strftime(month, '%Y-%m') AS month, input, count FROM top_inputs"""
+
+
+def top_operations_by_month(k: int) -> str:
+    return f"""{with_ctes(TRANSACTIONS, TOP_OPS.format(k=k))}
+SELECT strftime(month, '%Y-%m') AS month, tipo_operacion, monto FROM top_ops"""
+
+
+def _month_label(d: str) -> str:
+    return f"{MONTHS_SHORT}[month({d})] || ' ' || CAST(year({d}) AS VARCHAR)"
+
+
+def inputs_pivot(k: int, values: list[str]) -> str:
+    cells = ", ".join(
+        f"CAST(coalesce(sum(CASE WHEN input = '{v}' THEN count END), 0) AS BIGINT) AS \"{v}\"" for v in values)
+    return f"""{with_ctes(INPUTS, TOP_INPUTS.format(k=k))}
+SELECT strftime(month, '%Y-%m') AS mes_clave, {_month_label('month')} AS mes, {cells}
+FROM top_inputs GROUP BY month ORDER BY mes_clave"""
+
+
+def operations_pivot(k: int, values: list[str]) -> str:
+    sums = [f"coalesce(sum(CASE WHEN tipo_operacion = '{v}' THEN CAST(monto AS DECIMAL(18,2)) END), 0)" for v in values]
+    cells = ", ".join(f"round_even(CAST({c} AS DOUBLE) / {dbl(1000000)}, 2) AS \"{v}\"" for c, v in zip(sums, values))
+    total = " + ".join(sums)
+    return f"""{with_ctes(TRANSACTIONS, TOP_OPS.format(k=k))}
+SELECT strftime(month, '%Y-%m') AS mes_clave, {_month_label('month')} AS mes, {cells},
+       round_even(CAST({total} AS DOUBLE) / {dbl(1000000)}, 2) AS total
+FROM top_ops GROUP BY month ORDER BY mes_clave"""
+
+
 def all_sql() -> dict[str, str]:
+    from . import params as P
+
     return {
         "churn_scores": churn_scores(),
+        "search_clients": search_clients(P.SEARCH_Q, P.SEARCH_LIMIT),
+        "high_risk_page": high_risk_page(**P.HIGH_RISK_PAGE),
+        "high_risk_page_state": high_risk_page(**P.HIGH_RISK_PAGE_STATE),
+        "high_risk_after": high_risk_after(**P.HIGH_RISK_AFTER),
+        "client_transactions": transaction_pages(**P.TX_PAGE_FIRST),
+        "client_transactions_page2": transaction_pages(**P.TX_PAGE_SECOND),
+        "client_conversations": conversation_histories(),
+        "score_card": score_card(),
+        "high_risk_top": high_risk_top(P.HIGH_RISK_TOP_K),
+        "monthly_kpis": monthly_kpis(),
+        "months": months(),
+        "global_kpis": global_kpis(P.GLOBAL_KPI_MONTH),
+        "global_kpis_first_month": global_kpis(P.GLOBAL_KPI_FIRST_MONTH),
+        "kpi_changes": kpi_changes(),
+        "churn_timeline": churn_timeline(),
+        "churn_label_counts": churn_label_counts(),
+        "churn_counts": churn_counts(),
+        "churn_totals": churn_totals(),
+        "state_map": state_map(),
+        "age_profile": age_profile(),
+        "product_usage_table": product_usage_table(),
+        "product_usage": product_usage(P.TOP_PRODUCTS),
+        "income_sample": income_sample(P.SAMPLE_ROWS, P.SAMPLE_SEED),
+        "region_match": region_match(),
+        "state_lookup": state_lookup(),
+        "top_inputs_by_month": top_inputs_by_month(P.TOP_PER_MONTH),
+        "top_operations_by_month": top_operations_by_month(P.TOP_PER_MONTH),
+        "inputs_pivot": inputs_pivot(P.TOP_PER_MONTH, P.INPUT_VALUES),
+        "operations_pivot": operations_pivot(P.TOP_PER_MONTH, P.OPERATION_VALUES),
     }
