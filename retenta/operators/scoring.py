@@ -92,13 +92,12 @@ HIGH_RISK_COLUMNS = [
 ]
 
 
-def high_risk_top(clients: DataFrame, transactions: DataFrame, k: int = 20, threshold: float = 60.0) -> DataFrame:
-    """High-risk list: label score >= threshold, top ``k`` by score.
+def high_risk_list(clients: DataFrame, transactions: DataFrame, threshold: float = 60.0) -> DataFrame:
+    """Every client whose label score reaches ``threshold`` (M5 without the cut, X5, P10, P1).
 
     The label score is 95 for CHURN and 20 otherwise; ``total_tx`` is the real
-    transaction count (D8); nulls are filled with 0 on output (P13). Ties are
-    broken by ``user_id`` so the list is repeatable (D5). Plans as
-    TakeOrderedAndProject: each partition keeps its own top ``k``.
+    transaction count (D8, a partial/final count per client joined on the id);
+    nulls are filled with 0 on output (P13).
     """
     counts = transactions.filter(F.col("user_id").isNotNull()).groupBy("user_id").agg(
         F.count("monto").alias("total_tx")
@@ -107,13 +106,24 @@ def high_risk_top(clients: DataFrame, transactions: DataFrame, k: int = 20, thre
     out = (
         scored.join(counts, "user_id", "left")
         .withColumn("total_tx", F.coalesce(F.col("total_tx"), F.lit(0).cast("long")))
-        .orderBy(F.col("churn_score").desc(), F.col("user_id").asc())
-        .limit(k)
         .select(*HIGH_RISK_COLUMNS)
     )
     return fill_zero(out, ["satisfaccion_1_10", "dias_desde_ultimo_login", "num_productos_activos", "ingreso_mensual_mxn"])
 
 
+def high_risk_top(clients: DataFrame, transactions: DataFrame, k: int = 20, threshold: float = 60.0) -> DataFrame:
+    """High-risk list, top ``k`` by score (M5, L1).
+
+    Ties are broken by ``user_id`` so the list is repeatable (D5). Plans as
+    TakeOrderedAndProject: each partition keeps its own top ``k``.
+    """
+    return (
+        high_risk_list(clients, transactions, threshold)
+        .orderBy(F.col("churn_score").desc(), F.col("user_id").asc())
+        .limit(k)
+    )
+
+
 def fill_zero(df: DataFrame, columns: list[str]) -> DataFrame:
     """Null → 0 in the given numeric columns, keeping their types."""
     return df.select(

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import kpis, lookup, monthly, rollups, scoring, segments
+from ..operators import actions, features, kpis, lookup, model, monthly, rollups, scoring, segments
 from . import params as P
 from ..sources import fixtures as fx
 
@@ -169,6 +169,71 @@ def q_operations_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monthly.operations_pivot(top, P.OPERATION_VALUES)
 
 
+def high_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.high_risk_list(fx.clients(spark, sf_dir), fx.transactions(spark, sf_dir))
+
+
+def q_retention_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return actions.retention_actions(high_risk(spark, sf_dir))
+
+
+def q_action_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return actions.action_messages(actions.retention_actions(high_risk(spark, sf_dir)))
+
+
+def q_high_risk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lookup.substring_filter(high_risk(spark, sf_dir), P.HIGH_RISK_SEARCH_TERM)
+    return found.orderBy(F.col("churn_score").desc(), F.col("user_id").asc()).limit(P.HIGH_RISK_SEARCH_ROWS)
+
+
+def customer_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.feature_table(
+        fx.clients(spark, sf_dir),
+        fx.transactions(spark, sf_dir),
+        fx.products(spark, sf_dir),
+        fx.conversations(spark, sf_dir),
+        P.INPUT_VALUES,
+        P.OPERATION_VALUES,
+    )
+
+
+def q_feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return customer_features(spark, sf_dir)
+
+
+def q_aligned_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return model.align_features(customer_features(spark, sf_dir), keep=["user_id"])
+
+
+def scored_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return model.scored_upload(customer_features(spark, sf_dir), model.rule_scorer)
+
+
+def q_batch_report_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return model.report_table(scored_upload(spark, sf_dir), P.REPORT_TOP_ROWS)
+
+
+def q_batch_report_cities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return model.report_cities(scored_upload(spark, sf_dir), P.REPORT_TOP_CITIES)
+
+
+def q_batch_report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return model.report_summary(scored_upload(spark, sf_dir))
+
+
+def q_batch_report_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return model.report_scatter(scored_upload(spark, sf_dir))
+
+
+def q_churn_model_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Train the GBT pipeline on the feature table and score it (F7, M2); no SQL twin."""
+    table = customer_features(spark, sf_dir)
+    feats = model.table_features(table, exclude=["user_id", "UsuarioChurn"])
+    fitted, feats = model.train_churn_model(table, feats, max_iter=P.MODEL_ITERATIONS)
+    scored = model.scored_upload(table, model.ml_scorer(fitted, feats), features=feats)
+    return scored.select("user_id", "prob_churn", "pred_churn")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "churn_scores": q_churn_scores,
     "search_clients": q_search_clients,
@@ -200,4 +265,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "top_operations_by_month": q_top_operations_by_month,
     "inputs_pivot": q_inputs_pivot,
     "operations_pivot": q_operations_pivot,
+    "retention_actions": q_retention_actions,
+    "action_messages": q_action_messages,
+    "high_risk_search": q_high_risk_search,
+    "feature_table": q_feature_table,
+    "aligned_upload": q_aligned_upload,
+    "batch_report_table": q_batch_report_table,
+    "batch_report_cities": q_batch_report_cities,
+    "batch_report_summary": q_batch_report_summary,
+    "batch_report_scatter": q_batch_report_scatter,
+    "churn_model_predictions": q_churn_model_predictions,
 }

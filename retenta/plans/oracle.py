@@ -479,6 +479,221 @@ SELECT strftime(month, '%Y-%m') AS mes_clave, {_month_label('month')} AS mes, {c
 FROM top_ops GROUP BY month ORDER BY mes_clave"""
 
 
+HIGH_RISK = f"""
+tx_counts AS (SELECT user_id, count(monto) AS total_tx FROM transactions WHERE user_id IS NOT NULL GROUP BY user_id),
+high_risk AS (
+  SELECT s.user_id, s.estado, s.ciudad, s.churn_score,
+         coalesce(s.satisfaccion_1_10, {dbl(0)}) AS satisfaccion_1_10,
+         coalesce(s.dias_desde_ultimo_login, 0) AS dias_desde_ultimo_login,
+         coalesce(s.num_productos_activos, 0) AS num_productos_activos,
+         coalesce(k.total_tx, 0) AS total_tx,
+         coalesce(s.ingreso_mensual_mxn, {dbl(0)}) AS ingreso_mensual_mxn
+  FROM (SELECT c.*, CASE WHEN upper(trim(UsuarioChurn)) = 'CHURN' THEN {dbl(95)} ELSE {dbl(20)} END AS churn_score
+        FROM clients c) s
+  LEFT JOIN tx_counts k ON s.user_id = k.user_id
+  WHERE s.churn_score >= {dbl(60)})"""
+
+
+def _js_num(x: str) -> str:
+    return (f"CASE WHEN CAST({x} AS DOUBLE) = floor(CAST({x} AS DOUBLE)) "
+            f"THEN CAST(CAST(floor(CAST({x} AS DOUBLE)) AS BIGINT) AS VARCHAR) ELSE CAST({x} AS VARCHAR) END")
+
+
+def _sql_text(template: str) -> str:
+    from ..operators.actions import Brand
+
+    b = Brand()
+    t = (template.replace("{assistant}", b.assistant).replace("{bank}", b.bank)
+         .replace("{program}", b.program).replace("{points}", b.points))
+    parts, rest = [], t
+    values = {"sat": _js_num("sat"), "login": "CAST(login AS VARCHAR)", "estado": "coalesce(estado, '')"}
+    while "{" in rest:
+        before, after = rest.split("{", 1)
+        name, rest = after.split("}", 1)
+        if before:
+            parts.append("'" + before.replace("'", "''") + "'")
+        parts.append(values[name])
+    if rest:
+        parts.append("'" + rest.replace("'", "''") + "'")
+    return " || ".join(parts)
+
+
+def _actions_select() -> str:
+    from ..operators.actions import ACTIONS
+
+    def pick(render) -> str:
+        whens = " ".join(f"WHEN idx = {i} THEN {render(a)}" for i, a in enumerate(ACTIONS))
+        return f"CASE {whens} END"
+
+    msgs = ", ".join(f"{pick(lambda a, k=k: _sql_text(a['mensajes'][k]))} AS mensaje_{k + 1}" for k in range(3))
+    return f"""SELECT user_id, estado, churn_score,
+  CASE WHEN churn_score >= 80 THEN 'alto' WHEN churn_score >= 60 THEN 'medio' ELSE 'bajo' END AS nivel_score,
+  sat <= 5 AS satisfaccion_baja,
+  '$' || CAST(CAST(floor(coalesce(ingreso_mensual_mxn, {dbl(0)}) / {dbl(1000)} + {dbl(0.5)}) AS BIGINT) AS VARCHAR) || 'k'
+    AS ingreso_k,
+  CASE WHEN churn_score >= 70 THEN 'Contacto urgente' ELSE 'Monitoreo estándar' END AS sugerencia,
+  {pick(lambda a: _sql_text(a['motivo']))} AS motivo,
+  {pick(lambda a: _sql_text(a['oferta']))} AS oferta,
+  {msgs},
+  {pick(lambda a: _sql_text(a['respuesta']))} AS respuesta
+FROM (SELECT *, CASE WHEN sat <= 5 THEN 0 WHEN login > 15 THEN 1 WHEN txs <= 3 THEN 2 ELSE 3 END AS idx
+      FROM (SELECT *, coalesce(CAST(satisfaccion_1_10 AS DOUBLE), {dbl(0)}) AS sat,
+                   coalesce(CAST(dias_desde_ultimo_login AS BIGINT), 0) AS login,
+                   coalesce(CAST(total_tx AS BIGINT), 0) AS txs FROM high_risk) a) b"""
+
+
+def retention_actions() -> str:
+    return f"{with_ctes(CLIENTS, TRANSACTIONS, HIGH_RISK)}\n{_actions_select()}"
+
+
+def action_messages() -> str:
+    return f"""{with_ctes(CLIENTS, TRANSACTIONS, HIGH_RISK)}, acts AS ({_actions_select()})
+SELECT user_id, CAST(1 AS BIGINT) AS orden, mensaje_1 AS mensaje FROM acts
+UNION ALL SELECT user_id, CAST(2 AS BIGINT), mensaje_2 FROM acts
+UNION ALL SELECT user_id, CAST(3 AS BIGINT), mensaje_3 FROM acts"""
+
+
+def high_risk_search(term: str, n: int) -> str:
+    return f"""{with_ctes(CLIENTS, TRANSACTIONS, HIGH_RISK)}
+SELECT * FROM high_risk
+WHERE coalesce(contains(lower(CAST(user_id AS VARCHAR)), lower('{term}')), false)
+   OR coalesce(contains(lower(CAST(estado AS VARCHAR)), lower('{term}')), false)
+ORDER BY churn_score DESC, user_id LIMIT {n}"""
+
+
+def _slug(v: str) -> str:
+    from ..operators.features import slug
+
+    return slug(v)
+
+
+def _mode_cte(name: str, source: str, value: str, out: str) -> str:
+    return f"""
+{name} AS (
+  SELECT user_id, v AS {out} FROM (
+    SELECT user_id, {value} AS v,
+           row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, {value} ASC) AS rn
+    FROM {source} WHERE user_id IS NOT NULL AND {value} IS NOT NULL GROUP BY user_id, {value}) t
+  WHERE rn = 1)"""
+
+
+def feature_ctes(product_values: list[str], operation_values: list[str]) -> str:
+    pflags = ", ".join(
+        f"CAST(coalesce(max(CAST(producto = '{v}' AS INTEGER)), 0) AS BOOLEAN) AS producto_{_slug(v)}"
+        for v in product_values)
+    oflags = ", ".join(
+        f"CAST(coalesce(max(CAST(tipo_operacion = '{v}' AS INTEGER)), 0) AS BOOLEAN) AS operacion_{_slug(v)}"
+        for v in operation_values)
+    flag_names = ([f"producto_{_slug(v)}" for v in product_values]
+                  + [f"operacion_{_slug(v)}" for v in operation_values])
+    flags_sel = ", ".join(f"coalesce({n}, false) AS {n}" for n in flag_names)
+    return f"""
+pflags AS (SELECT user_id, {pflags} FROM products WHERE user_id IS NOT NULL GROUP BY user_id),
+oflags AS (SELECT user_id, {oflags} FROM transactions WHERE user_id IS NOT NULL GROUP BY user_id),
+tx_stats AS (
+  SELECT user_id,
+         CAST(sum(CAST(round(monto * {dbl(100)}) AS BIGINT)) AS DOUBLE) / CAST(nullif(count(monto), 0) AS DOUBLE)
+           / {dbl(100)} AS monto_promedio,
+         min(monto) AS monto_min, max(monto) AS monto_max, max(fecha_hora) AS ultima
+  FROM transactions WHERE user_id IS NOT NULL GROUP BY user_id),
+tx_top AS (SELECT max(fecha_hora) AS fecha_max FROM transactions),
+{_mode_cte('m_canal', 'transactions', 'tipo_operacion', 'canal_moda')},
+{_mode_cte('m_cat', 'products', 'producto', 'categoria_mcc_moda')},
+{_mode_cte('m_input', 'conv', 'input', 'input')},
+features AS (
+  SELECT c.user_id, c.edad, c.estado, c.ciudad, c.ingreso_mensual_mxn, c.dias_desde_ultimo_login,
+         c.satisfaccion_1_10, c.num_productos_activos, c.es_hey_pro, c.UsuarioChurn,
+         {flags_sel},
+         st.monto_promedio, st.monto_min, st.monto_max,
+         {days_between('st.ultima', 'tt.fecha_max')} AS dias_sin_tx,
+         mc.canal_moda, mt.categoria_mcc_moda, mi.input
+  FROM clients c
+  LEFT JOIN pflags pf ON c.user_id = pf.user_id
+  LEFT JOIN oflags oft ON c.user_id = oft.user_id
+  LEFT JOIN tx_stats st ON c.user_id = st.user_id
+  CROSS JOIN tx_top tt
+  LEFT JOIN m_canal mc ON c.user_id = mc.user_id
+  LEFT JOIN m_cat mt ON c.user_id = mt.user_id
+  LEFT JOIN m_input mi ON c.user_id = mi.user_id)"""
+
+
+def _features_base(pv, ov) -> str:
+    return with_ctes(CLIENTS, TRANSACTIONS, PRODUCTS, CONVERSATIONS, feature_ctes(pv, ov))
+
+
+def feature_table(pv, ov) -> str:
+    return f"{_features_base(pv, ov)}\nSELECT * FROM features"
+
+
+def _aligned_cols(have: set[str], table: str = "features") -> list[str]:
+    from ..operators.model import FEATURES, MISSING_CATEGORY
+
+    types = {"int64": "BIGINT", "float64": "DOUBLE", "string": "VARCHAR", "bool": "BOOLEAN"}
+    cols = []
+    for name, kind in FEATURES:
+        if name in have:
+            if kind == "int64":
+                cols.append(f"CAST(trunc({name}) AS BIGINT) AS {name}")
+            else:
+                cols.append(f"CAST({name} AS {types[kind]}) AS {name}")
+        elif kind == "string":
+            cols.append(f"'{MISSING_CATEGORY}' AS {name}")
+        elif kind == "bool":
+            cols.append(f"false AS {name}")
+        else:
+            cols.append(f"CAST(0 AS {types[kind]}) AS {name}")
+    return cols
+
+
+FEATURE_TABLE_COLUMNS = {"user_id", "edad", "estado", "ciudad", "ingreso_mensual_mxn", "dias_desde_ultimo_login",
+                         "satisfaccion_1_10", "num_productos_activos", "es_hey_pro", "UsuarioChurn",
+                         "monto_promedio", "monto_min", "monto_max", "dias_sin_tx", "canal_moda",
+                         "categoria_mcc_moda", "input"}
+
+
+def aligned_upload(pv, ov) -> str:
+    return f"{_features_base(pv, ov)}\nSELECT user_id, {', '.join(_aligned_cols(FEATURE_TABLE_COLUMNS))} FROM features"
+
+
+def _scored_upload(pv, ov) -> str:
+    aligned = ", ".join(_aligned_cols(FEATURE_TABLE_COLUMNS))
+    login = "coalesce(CAST(dias_desde_ultimo_login AS BIGINT), 0)"
+    prods = "coalesce(CAST(num_productos_activos AS BIGINT), 0)"
+    score = f"""round_even(
+      least(greatest({login}, 0), 90) / {dbl(90)} * {dbl(35)}
+    + ({dbl(10)} - coalesce(CAST(satisfaccion_1_10 AS DOUBLE), {dbl(5)})) / {dbl(9)} * {dbl(25)}
+    + ({dbl(5)} - least(greatest({prods}, 0), 5)) / {dbl(5)} * {dbl(20)}
+    + least(greatest(coalesce(dias_sin_tx, 90), 0), 90) / {dbl(90)} * {dbl(20)}, 1)"""
+    return f"""{_features_base(pv, ov)},
+aligned AS (SELECT user_id, dias_sin_tx, {aligned} FROM features),
+proba AS (SELECT *, {score} / {dbl(100)} AS proba FROM aligned),
+scored AS (
+  SELECT user_id, edad, num_productos_activos, satisfaccion_1_10, ingreso_mensual_mxn,
+         CAST(trunc(proba * {dbl(100)}) AS INTEGER) AS prob_churn, ciudad,
+         CAST(proba >= {dbl(0.5)} AS INTEGER) AS pred_churn
+  FROM proba)"""
+
+
+def batch_report_table(pv, ov, k: int) -> str:
+    return f"{_scored_upload(pv, ov)}\nSELECT * FROM scored ORDER BY prob_churn DESC, user_id LIMIT {k}"
+
+
+def batch_report_cities(pv, ov, k: int) -> str:
+    return f"""{_scored_upload(pv, ov)}
+SELECT ciudad, avg(prob_churn) AS prob_churn FROM scored GROUP BY ciudad
+ORDER BY prob_churn DESC, ciudad LIMIT {k}"""
+
+
+def batch_report_summary(pv, ov) -> str:
+    return f"""{_scored_upload(pv, ov)}
+SELECT count(*) AS total_registros, avg(prob_churn) AS promedio_churn,
+       {dbl(100)} - avg(prob_churn) AS promedio_retencion FROM scored"""
+
+
+def batch_report_scatter(pv, ov) -> str:
+    return f"{_scored_upload(pv, ov)}\nSELECT ingreso_mensual_mxn, prob_churn FROM scored"
+
+
 def all_sql() -> dict[str, str]:
     from . import params as P
 
@@ -513,4 +728,13 @@ def all_sql() -> dict[str, str]:
         "top_operations_by_month": top_operations_by_month(P.TOP_PER_MONTH),
         "inputs_pivot": inputs_pivot(P.TOP_PER_MONTH, P.INPUT_VALUES),
         "operations_pivot": operations_pivot(P.TOP_PER_MONTH, P.OPERATION_VALUES),
+        "retention_actions": retention_actions(),
+        "action_messages": action_messages(),
+        "high_risk_search": high_risk_search(P.HIGH_RISK_SEARCH_TERM, P.HIGH_RISK_SEARCH_ROWS),
+        "feature_table": feature_table(P.INPUT_VALUES, P.OPERATION_VALUES),
+        "aligned_upload": aligned_upload(P.INPUT_VALUES, P.OPERATION_VALUES),
+        "batch_report_table": batch_report_table(P.INPUT_VALUES, P.OPERATION_VALUES, P.REPORT_TOP_ROWS),
+        "batch_report_cities": batch_report_cities(P.INPUT_VALUES, P.OPERATION_VALUES, P.REPORT_TOP_CITIES),
+        "batch_report_summary": batch_report_summary(P.INPUT_VALUES, P.OPERATION_VALUES),
+        "batch_report_scatter": batch_report_scatter(P.INPUT_VALUES, P.OPERATION_VALUES),
     }

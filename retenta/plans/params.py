@@ -22,3 +22,8 @@ TOP_PER_MONTH = 3
 TOP_PRODUCTS = 8
 SAMPLE_ROWS = 800
 SAMPLE_SEED = 42
+HIGH_RISK_SEARCH_TERM = "nation_1"   # substring of the id or the state
+HIGH_RISK_SEARCH_ROWS = 5
+REPORT_TOP_ROWS = 10
+REPORT_TOP_CITIES = 5
+MODEL_ITERATIONS = 10
