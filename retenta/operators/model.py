@@ -136,10 +136,19 @@ def build_pipeline(
 
     ``max_bins`` must be at least the largest category count plus one.
     """
-    indexers = [
-        StringIndexer(inputCol=c, outputCol=f"{c}__idx", handleInvalid="keep", stringOrderType="alphabetAsc")
-        for c in categorical_cols
-    ]
+    # one multi-column indexer: all category dictionaries are built in a single pass
+    indexers = (
+        [
+            StringIndexer(
+                inputCols=list(categorical_cols),
+                outputCols=[f"{c}__idx" for c in categorical_cols],
+                handleInvalid="keep",
+                stringOrderType="alphabetAsc",
+            )
+        ]
+        if categorical_cols
+        else []
+    )
     assembler = VectorAssembler(
         inputCols=[f"{c}__idx" for c in categorical_cols] + list(numeric_cols), outputCol="features", handleInvalid="keep"
     )
@@ -186,15 +195,21 @@ def train_churn_model(
 
     The label is the churn flag of ``label_col`` (trim + upper = CHURN). ``maxBins``
     is sized from the category counts, found with one distinct-count aggregate
-    (one row back to the driver).
+    (one row back to the driver). The training input is persisted (memory and
+    disk) for the fit, which reads it once per stage and once per boosting
+    round; a lost executor's blocks are rebuilt from the lineage.
     """
     inputs, cats, nums = model_inputs(table.withColumn("label", X.is_churn(label_col).cast("double")), features)
-    if cats:
-        counts = inputs.agg(*[F.approx_count_distinct(c).alias(c) for c in cats]).first()
-        max_bins = max(32, int(max(counts[c] for c in cats) * 1.1) + 2)
-    else:
-        max_bins = 32
-    model = build_pipeline(cats, nums, "label", max_bins=max_bins, max_iter=max_iter, seed=seed).fit(inputs)
+    inputs = inputs.persist()
+    try:
+        if cats:
+            counts = inputs.agg(*[F.approx_count_distinct(c).alias(c) for c in cats]).first()
+            max_bins = max(32, int(max(counts[c] for c in cats) * 1.1) + 2)
+        else:
+            max_bins = 32
+        model = build_pipeline(cats, nums, "label", max_bins=max_bins, max_iter=max_iter, seed=seed).fit(inputs)
+    finally:
+        inputs.unpersist()
     return model, list(features)
 
 
