@@ -174,3 +174,15 @@ def test_pivots(spark):
     )
     r = monthly.operations_pivot(ops, ["x", "y", "z"]).first()
     assert (r.x, r.y, r.z, r.total) == (1.23, 2.0, 0.0, 3.23)
+
+
+def test_income_sample_and_split(spark):
+    df = spark.createDataFrame(
+        [(i, 20 + i, 100.0 * i, "CHURN" if i % 3 == 0 else ("1" if i % 3 == 1 else "churn")) for i in range(30)],
+        "user_id long, edad long, ingreso_mensual_mxn double, UsuarioChurn string",
+    )
+    sample = segments.income_sample(df, n=12, seed=42)
+    assert sample.columns == ["edad", "ingreso", "status"] and sample.count() == 12
+    churn, no_churn = segments.split_by_status(segments.income_sample(df, n=30))
+    # "churn" (lower case) is not an exact code: NO CHURN
+    assert churn.count() == 20 and no_churn.count() == 10
