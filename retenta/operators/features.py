@@ -87,13 +87,13 @@ def transaction_profile(transactions: DataFrame, operation_values: Sequence[str]
     """Operation flags, canal_moda, amount statistics and dias_sin_tx per client.
 
     dias_sin_tx counts whole days from the client's last transaction to the last
-    one of the table (a one-row aggregate, broadcast).
+    one of the table (a scalar subquery).
     """
-    overall = transactions.agg(F.max("fecha_hora").alias("_fecha_max"))
+    fecha_max = transactions.agg(F.max("fecha_hora")).scalar()
     prof = value_profile(transactions, "tipo_operacion", operation_values, "operacion", "canal_moda", with_amounts=True)
-    return prof.crossJoin(F.broadcast(overall)).select(
+    return prof.select(
         *[c for c in prof.columns if c != "_ultima"],
-        F.timestamp_diff("DAY", F.col("_ultima"), F.col("_fecha_max")).alias("dias_sin_tx"),
+        F.timestamp_diff("DAY", F.col("_ultima"), fecha_max).alias("dias_sin_tx"),
     )
 
 

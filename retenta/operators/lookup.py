@@ -88,13 +88,15 @@ def high_risk_filter(
     return out.filter(F.col("churn_score").between(F.lit(float(score_min)), F.lit(float(score_max))))
 
 
-def _page_meta(filtered: DataFrame, page: int, page_size: int) -> DataFrame:
-    total = filtered.agg(F.count(F.lit(1)).alias("total"))
-    return total.select(
-        "total",
+def _with_page_meta(rows: DataFrame, filtered: DataFrame, page: int, page_size: int) -> DataFrame:
+    """Page rows plus total, page, page_size, pages; the total is a one-row scalar subquery."""
+    total = filtered.agg(F.count(F.lit(1))).scalar()
+    return rows.select(
+        "*",
+        total.alias("total"),
         F.lit(page).alias("page"),
         F.lit(page_size).alias("page_size"),
-        F.ceil(F.col("total") / F.lit(page_size)).cast("long").alias("pages"),
+        F.ceil(total / F.lit(page_size)).cast("long").alias("pages"),
     )
 
 
@@ -109,7 +111,7 @@ def high_risk_page(
     """One page of high-risk clients by score (desc, then id) with the paging totals (L2).
 
     ``total`` counts every match (D9); ``pages = ceil(total / page_size)``. The
-    one-row totals are broadcast onto the page rows (at most ``page_size``).
+    one-row total is a scalar subquery evaluated once.
     """
     check_page(page, page_size)
     filtered = high_risk_filter(scored, estado, score_min, score_max)
@@ -119,7 +121,7 @@ def high_risk_page(
         .limit(page_size)
         .select(*present(filtered, PAGE_COLUMNS))
     )
-    return rows.crossJoin(F.broadcast(_page_meta(filtered, page, page_size)))
+    return _with_page_meta(rows, filtered, page, page_size)
 
 
 def high_risk_after(
@@ -167,7 +169,7 @@ def client_transactions(transactions: DataFrame, user_id, page: int = 1, page_si
         .limit(page_size)
         .withColumn("fecha_hora", F.date_format("fecha_hora", "yyyy-MM-dd HH:mm:ss"))
     )
-    return rows.crossJoin(F.broadcast(_page_meta(mine, page, page_size)))
+    return _with_page_meta(rows, mine, page, page_size)
 
 
 def transaction_pages(transactions: DataFrame, page: int = 1, page_size: int = 20) -> DataFrame:
@@ -200,9 +202,9 @@ def client_conversations(conversations: DataFrame, user_id) -> DataFrame:
     Sorted on the timestamp, then cast; ``total`` is the client's count.
     """
     mine = conversations.filter(F.col("user_id") == F.lit(user_id))
-    total = mine.agg(F.count(F.lit(1)).alias("total"))
+    total = mine.agg(F.count(F.lit(1))).scalar()
     return (
-        mine.crossJoin(F.broadcast(total))
+        mine.select("*", total.alias("total"))
         .orderBy(F.col("date").desc(), *[F.col(c) for c in mine.columns if c != "date"])
         .withColumn("date", F.date_format("date", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
     )

@@ -36,11 +36,10 @@ def monthly_kpis(transactions: DataFrame, conversations: DataFrame, churn_after_
     last = transactions.filter(F.col("user_id").isNotNull()).groupBy("user_id").agg(
         F.max("fecha_hora").alias("ultima_tx")
     )
-    overall = transactions.agg(F.max("fecha_hora").alias("fecha_max"))
+    fecha_max = transactions.agg(F.max("fecha_hora")).scalar()  # one-row scalar subquery
     churn_at = F.timestamp_add("DAY", F.lit(churn_after_days + 1), F.col("ultima_tx"))
     churned = (
-        last.crossJoin(F.broadcast(overall))
-        .filter(churn_at <= F.col("fecha_max"))
+        last.filter(churn_at <= fecha_max)
         .groupBy(X.month_start(churn_at).alias("mes"))
         .agg(F.count(F.lit(1)).alias("nuevos_churn"))
     )

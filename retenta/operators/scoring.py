@@ -1,8 +1,8 @@
 """Churn scoring.
 
 Plan shape of :func:`churn_scores`: a partial/final hash aggregate per client (map-side combine, so a client owning a large share of
-the rows leaves each map task as one row), a one-row global maximum (partial max
-per task, no keyed shuffle) broadcast against the aggregate, and one left join to the clients on ``user_id`` (both
+the rows leaves each map task as one row), a global maximum evaluated once as a
+scalar subquery (partial max per task, no keyed shuffle, no join), and one left join to the clients on ``user_id`` (both
 sides unique per key after aggregation: no skew, no row multiplication).
 """
 
@@ -26,19 +26,15 @@ def transaction_summary(transactions: DataFrame) -> DataFrame:
         F.coalesce(X.money_sum("monto"), F.lit(0.0)).alias("monto_total"),
         F.max("fecha_hora").alias("ultima_tx"),
     )
-    # global max over every row (rows without a client included): a partial max
-    # per map task and one row per task into the final max, no keyed shuffle.
-    overall = transactions.agg(F.max("fecha_hora").alias("fecha_max"))
-    return (
-        per_user.filter(F.col("user_id").isNotNull())
-        .crossJoin(F.broadcast(overall))
-        .select(
-            "user_id",
-            "total_tx",
-            "monto_total",
-            "ultima_tx",
-            X.whole_days_between("ultima_tx", "fecha_max").alias("dias_sin_tx"),
-        )
+    # global max over every row (rows without a client included): a scalar
+    # subquery, partial max per map task, one row per task into the final max.
+    fecha_max = transactions.agg(F.max("fecha_hora")).scalar()
+    return per_user.filter(F.col("user_id").isNotNull()).select(
+        "user_id",
+        "total_tx",
+        "monto_total",
+        "ultima_tx",
+        X.whole_days_between(F.col("ultima_tx"), fecha_max).alias("dias_sin_tx"),
     )
 
 

@@ -129,16 +129,15 @@ def top_products(usage_table: DataFrame, n: int = 8) -> DataFrame:
     clean = usage_table.select(
         F.col(name_col).cast("string").alias("producto"), uses.alias("usos"), churn.alias("churn_pct")
     )
-    max_uses = clean.agg(F.greatest(F.coalesce(F.max("usos"), F.lit(0)), F.lit(1)).alias("max_usos"))
+    max_uses = clean.agg(F.greatest(F.coalesce(F.max("usos"), F.lit(0)), F.lit(1))).scalar()
     return (
         clean.orderBy(F.col("usos").desc(), F.col("producto").asc())
         .limit(n)
-        .crossJoin(F.broadcast(max_uses))
         .select(
             "producto",
             "usos",
             "churn_pct",
-            F.bround(F.col("usos") / F.col("max_usos") * F.lit(100.0), 1).alias("share"),
+            F.bround(F.col("usos") / max_uses * F.lit(100.0), 1).alias("share"),
         )
     )
 

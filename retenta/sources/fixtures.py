@@ -66,15 +66,14 @@ def clients(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate")
     last = _last_order_per_customer(orders)
-    # the global last order: partial max per map task, one row each into the final max
-    overall = orders.agg(F.max("o_orderdate").alias("overall_last_order"))
+    # the global last order: a scalar subquery (partial max per map task)
+    overall_last = orders.agg(F.max("o_orderdate")).scalar()
     prods = active_product_counts(spark, sf_dir)
     key = F.col("c_custkey")
     return (
         customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
         .join(prods, key == F.col("user_id"), "left")
         .join(last.filter(F.col("o_custkey").isNotNull()), key == F.col("o_custkey"), "left")
-        .crossJoin(F.broadcast(overall))
         .select(
             key.alias("user_id"),
             F.col("n_name").alias("estado"),
@@ -86,7 +85,7 @@ def clients(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.coalesce(F.col("num_productos_activos"), F.lit(0).cast("long")).alias("num_productos_activos"),
             (key % 4 == 0).alias("es_hey_pro"),
             F.when(
-                whole_days_between("last_order", "overall_last_order") > CHURN_AFTER_DAYS, F.lit(CHURN_LABEL)
+                whole_days_between(F.col("last_order"), overall_last) > CHURN_AFTER_DAYS, F.lit(CHURN_LABEL)
             )
             .otherwise(F.lit(NO_CHURN_LABEL))
             .alias("UsuarioChurn"),
