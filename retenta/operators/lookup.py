@@ -111,7 +111,9 @@ def high_risk_page(
     """One page of high-risk clients by score (desc, then id) with the paging totals (L2).
 
     ``total`` counts every match (D9); ``pages = ceil(total / page_size)``. The
-    one-row total is a scalar subquery evaluated once.
+    total is a scalar subquery: it reads ``scored`` a second time, so ``scored``
+    is meant to be a materialized table (``session.materialize``), computed once
+    and paged many times, as a dashboard does.
     """
     check_page(page, page_size)
     filtered = high_risk_filter(scored, estado, score_min, score_max)
