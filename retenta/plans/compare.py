@@ -12,7 +12,6 @@ import math
 import duckdb
 import pandas as pd
 
-from ..sources.fixtures import table  # noqa: F401  (keeps the import graph explicit)
 
 DIGITS = 17
 
