@@ -1,6 +1,5 @@
 """Retention actions, feature alignment and scoring, readers."""
 
-import os
 
 import pytest
 from pyspark.sql import functions as F

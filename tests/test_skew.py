@@ -4,7 +4,6 @@ The skewed copy is derived from the sf0.01 tables (every third order and every
 third event moves to client 0); the queries must still match their DuckDB twins.
 """
 
-import os
 
 import pytest
 from pyspark.sql import functions as F
