@@ -13,7 +13,9 @@ Paging plans:
 * per-client pages (:func:`transaction_pages`) rank inside each client with a
   ``row_number() <= k`` filter, which Spark plans as WindowGroupLimit: each map
   task keeps at most ``k`` rows per client before the shuffle, so a client that
-  owns a third of the table still sends only ``k`` rows per task.
+  owns a third of the table still sends only ``k`` rows per task. Past Spark's
+  group-limit threshold the ranking salts each client into buckets first
+  (:func:`top_rows_per_key`), still exact.
 """
 
 from __future__ import annotations
@@ -174,19 +176,44 @@ def client_transactions(transactions: DataFrame, user_id, page: int = 1, page_si
     return _with_page_meta(rows, mine, page, page_size)
 
 
+GROUP_LIMIT_THRESHOLD = 1000  # Spark plans row_number() <= k as WindowGroupLimit only up to this k
+SALT_BUCKETS = 64
+
+
+def top_rows_per_key(df: DataFrame, key: str, order: list[Column], k: int, salts: int = SALT_BUCKETS) -> DataFrame:
+    """The first ``k`` rows of every ``key`` in ``order``, with ``pos`` (1..k), exact.
+
+    Up to ``GROUP_LIMIT_THRESHOLD`` rows the ``row_number() <= k`` filter plans as
+    WindowGroupLimit (each map task keeps k rows per key before the shuffle).
+    Beyond it, the rows of each key are first spread over ``salts`` buckets by a
+    hash of the row and cut to k per (key, bucket); the final ranking then sees
+    at most ``salts * k`` rows per key. The union of the bucket winners contains
+    the true first k, so the result is exact, and a key that owns a third of
+    the table is sorted in ``salts`` pieces instead of one task.
+    """
+    if k <= GROUP_LIMIT_THRESHOLD:
+        w = Window.partitionBy(key).orderBy(*order)
+        return df.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= k)
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salts)))
+    w1 = Window.partitionBy(key, "_salt").orderBy(*order)
+    candidates = salted.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= k).drop("_r", "_salt")
+    w2 = Window.partitionBy(key).orderBy(*order)
+    return candidates.withColumn("pos", F.row_number().over(w2)).filter(F.col("pos") <= k)
+
+
 def transaction_pages(transactions: DataFrame, page: int = 1, page_size: int = 20) -> DataFrame:
     """The same page of transactions for every client at once (L3 over all clients).
 
     Columns: transaction columns, ``pos`` (1-based position in the client's
     history, newest first), ``total`` (the client's transaction count), ``pages``.
+    The ranking is :func:`top_rows_per_key` (bounded per client at any page depth);
+    the totals are a partial/final count joined on the client.
     """
     check_page(page, page_size)
     first, last = (page - 1) * page_size + 1, page * page_size
     keyed = transactions.filter(F.col("user_id").isNotNull())
-    w = Window.partitionBy("user_id").orderBy(*tx_order())
     ranked = (
-        keyed.withColumn("pos", F.row_number().over(w))
-        .filter(F.col("pos") <= last)
+        top_rows_per_key(keyed, "user_id", tx_order(), last)
         .filter(F.col("pos") >= first)
         .withColumn("pos", F.col("pos").cast("long"))
     )

@@ -26,8 +26,9 @@ def test_no_python_udf_and_no_single_partition_window(spark, name):
             assert "SinglePartition" not in below, f"{name}: window over a single partition"
 
 
-def test_per_client_page_uses_group_limit(spark):
-    p = plan(QUERIES["client_transactions"](spark, SF))
+@pytest.mark.parametrize("name", ["client_transactions", "client_transactions_page2"])
+def test_per_client_page_uses_group_limit(spark, name):
+    p = plan(QUERIES[name](spark, SF))
     assert "WindowGroupLimit" in p and "Partial" in p
 
 

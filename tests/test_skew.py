@@ -50,3 +50,15 @@ def test_skewed_query_matches_oracle(spark, skewed_dir, name):
 def test_hot_client_page_is_bounded(spark, skewed_dir):
     out = entry_mod.queries()["client_transactions"](spark, skewed_dir).filter(F.col("user_id") == HOT).collect()
     assert len(out) == 20 and out[0].total > 1000
+
+
+def test_deep_client_page_is_exact_under_skew(spark, skewed_dir):
+    from retenta.operators import lookup
+    from retenta.plans import oracle
+    from retenta.sources import fixtures as fx
+
+    df = lookup.transaction_pages(fx.transactions(spark, skewed_dir), page=60, page_size=20)  # positions 1181-1200
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "_salt" in plan
+    res = compare(df, duck(skewed_dir), oracle.transaction_pages(60, 20))
+    assert res["values_match"] and res["rows_spark"] == 20, res
