@@ -5,7 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry_mod
-from retenta.plans.compare import compare, duck
+from oracle_compare import compare, duck
 
 SF_DIRS = [d for d in os.environ.get("RETENTA_ORACLE_SF", "/root/testdata/sf0.01,/root/testdata/sf0.001").split(",") if d]
 QUERIES = entry_mod.queries()

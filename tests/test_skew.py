@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_mod
-from retenta.plans.compare import compare, duck
+from oracle_compare import compare, duck
 
 SRC = "/root/testdata/sf0.01"
 HOT = 0
