@@ -63,10 +63,6 @@ def clip_keep_null(c: str | Column, lo: float, hi: float) -> Column:
     return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(lo)), F.lit(hi)))
 
 
-def half_even(c: str | Column, digits: int = 0) -> Column:
-    return F.bround(col_of(c), digits)
-
-
 def score_login(login_days: str | Column) -> Column:
     """35 points scaled by clip(days since last login, 0, 90) / 90; null stays null."""
     return clip_keep_null(login_days, 0, 90) / F.lit(90.0) * F.lit(35.0)

@@ -20,8 +20,6 @@ Paging plans:
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,10 +148,6 @@ def high_risk_after(
     )
 
 
-def pages_for(total: int, page_size: int) -> int:
-    return int(math.ceil(total / page_size))
-
-
 def tx_order() -> list[Column]:
     """Newest first; amount and type break ties between same-time transactions."""
     return [F.col("fecha_hora").desc(), F.col("monto").desc(), F.col("tipo_operacion").asc()]

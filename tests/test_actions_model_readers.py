@@ -123,6 +123,11 @@ def test_upload_csv_separator_from_header(spark, tmp_path, sep):
     assert [tuple(r) for r in df.collect()] == [("U1", "Nuevo León", 45, 3), ("U2", "Yucatán", 2, 9)]
 
 
+def test_read_table_projects(spark):
+    df = readers.read_table(spark, "/root/testdata/sf0.001/customer.parquet", ["c_custkey", "c_acctbal"])
+    assert df.columns == ["c_custkey", "c_acctbal"] and df.count() > 0
+
+
 def test_detect_separator():
     assert readers.detect_separator("a;b;c") == ";"
     assert readers.detect_separator("a,b") == ","
