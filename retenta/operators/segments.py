@@ -115,8 +115,8 @@ def top_products(usage_table: DataFrame, n: int = 8) -> DataFrame:
     falls back to the first column, the uses to the second). Rows are taken in
     an explicit order: uses descending, then name (D5). Output: producto
     (text), usos (whole, truncated; 0 without a use column), churn_pct (half-even
-    one decimal, 0 when missing), share (uses over the largest uses of the
-    whole table, floor 1, times 100).
+    one decimal, 0 when missing), share (uses over the largest uses among the
+    listed rows, floor 1, times 100).
     """
     cols = usage_table.columns
     name_col = find_column(cols, PRODUCT_NAME_HINTS, fallback=0)
@@ -129,16 +129,16 @@ def top_products(usage_table: DataFrame, n: int = 8) -> DataFrame:
     clean = usage_table.select(
         F.col(name_col).cast("string").alias("producto"), uses.alias("usos"), churn.alias("churn_pct")
     )
-    max_uses = clean.agg(F.greatest(F.coalesce(F.max("usos"), F.lit(0)), F.lit(1))).scalar()
-    return (
-        clean.orderBy(F.col("usos").desc(), F.col("producto").asc())
-        .limit(n)
-        .select(
-            "producto",
-            "usos",
-            "churn_pct",
-            F.bround(F.col("usos") / max_uses * F.lit(100.0), 1).alias("share"),
-        )
+    top = clean.orderBy(F.col("usos").desc(), F.col("producto").asc()).limit(n)
+    # the largest uses among the listed rows (the list is the top by uses, so this
+    # is also the table's largest); the window spans the n rows of the top-n
+    # result, which already sits in one partition
+    max_uses = F.greatest(F.coalesce(F.max("usos").over(Window.partitionBy()), F.lit(0)), F.lit(1))
+    return top.select(
+        "producto",
+        "usos",
+        "churn_pct",
+        F.bround(F.col("usos") / max_uses * F.lit(100.0), 1).alias("share"),
     )
 
 

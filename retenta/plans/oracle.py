@@ -387,9 +387,10 @@ def product_usage(n: int) -> str:
     return f"""{with_ctes(CLIENTS, PRODUCTS, USAGE)},
 clean AS (SELECT CAST(producto AS VARCHAR) AS producto, usos,
                  coalesce(round_even({_ratio('churn_sum', 'clientes')}, 1), {dbl(0)}) AS churn_pct FROM usage),
-mx AS (SELECT greatest(coalesce(max(usos), 0), 1) AS max_usos FROM clean)
+top AS (SELECT * FROM clean ORDER BY usos DESC, producto LIMIT {n}),
+mx AS (SELECT greatest(coalesce(max(usos), 0), 1) AS max_usos FROM top)
 SELECT producto, usos, churn_pct, round_even(usos / max_usos * {dbl(100)}, 1) AS share
-FROM (SELECT * FROM clean ORDER BY usos DESC, producto LIMIT {n}) t CROSS JOIN mx"""
+FROM top CROSS JOIN mx"""
 
 
 def income_sample(n: int, seed: int) -> str:
