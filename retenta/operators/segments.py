@@ -142,14 +142,36 @@ def top_products(usage_table: DataFrame, n: int = 8) -> DataFrame:
     )
 
 
+TREE_TOP_MIN_ROWS = 100   # above this n, a top-n is cut per partition group first
+PARTITION_GROUP = 256     # input partitions per group in the first cut
+
+
+def top_n(df: DataFrame, n: int, order: list, group: int = PARTITION_GROUP) -> DataFrame:
+    """The first ``n`` rows in ``order``, exact, without funnelling ``n`` rows per partition into one task.
+
+    A plain ``orderBy().limit(n)`` keeps n rows per input partition and merges
+    them all in one place (n x partitions rows). For larger n the rows are first
+    cut to n per group of ``group`` input partitions (``row_number() <= n`` per
+    group, a map-side WindowGroupLimit), so the final merge sees n rows per group.
+    The n smallest rows of the whole are among the n smallest of each group.
+    """
+    if n <= TREE_TOP_MIN_ROWS:
+        return df.orderBy(*order).limit(n)
+    grp = F.floor(F.spark_partition_id() / F.lit(group))
+    w = Window.partitionBy("_grp").orderBy(*order)
+    cut = df.withColumn("_grp", grp).withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n)
+    return cut.drop("_grp", "_rn").orderBy(*order).limit(n)
+
+
 def seeded_sample(df: DataFrame, n: int, seed: int, id_col: str = "user_id") -> DataFrame:
     """Exactly min(n, rows) rows, the same on every run and engine.
 
-    Rows are ranked by md5 of ``seed-id`` (ties by id) and the first ``n`` kept:
-    a top-``n`` (each partition keeps ``n`` rows), not a sort of the whole table.
+    Rows are ranked by md5 of ``seed-id`` (ties by id) and the first ``n`` kept
+    with :func:`top_n`: no sort of the whole table, and the final merge is
+    bounded by n rows per partition group.
     """
     key = F.md5(F.concat(F.lit(str(seed)), F.lit("-"), F.col(id_col).cast("string")))
-    return df.withColumn("_h", key).orderBy("_h", id_col).limit(n).drop("_h")
+    return top_n(df.withColumn("_h", key), n, [F.col("_h"), F.col(id_col)]).drop("_h")
 
 
 def income_sample(clients: DataFrame, n: int = 800, seed: int = 42) -> DataFrame:

@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from retenta.operators import kpis, monthly, rollups, segments
 
@@ -185,3 +186,11 @@ def test_income_sample_and_split(spark):
     churn, no_churn = segments.split_by_status(segments.income_sample(df, n=30))
     # "churn" (lower case) is not an exact code: NO CHURN
     assert churn.count() == 20 and no_churn.count() == 10
+
+
+def test_top_n_by_partition_groups_is_exact(spark):
+    df = spark.range(0, 6000, numPartitions=600).withColumn("h", F.md5(F.col("id").cast("string")))
+    want = [r.id for r in df.orderBy("h", "id").limit(150).collect()]
+    got = segments.top_n(df, 150, [F.col("h"), F.col("id")], group=256)
+    assert [r.id for r in got.collect()] == want
+    assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
