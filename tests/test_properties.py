@@ -4,6 +4,7 @@ import datetime as dt
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from retenta.functions import expr as X
 from retenta.operators import lookup, monthly
@@ -58,3 +59,26 @@ def test_pivot_total_is_sum_of_cells(spark, rows):
                 cents[k] += v
         assert abs(r.total - round(sum(cents.values()) / 100 / 1e6, 2)) < 0.0051
         assert abs(r.total - (r.a + r.b + r.c)) < 0.0151
+
+
+@SETTINGS
+@given(
+    st.lists(st.tuples(st.integers(0, 3), st.integers(0, 50), st.integers(0, 5)), min_size=1, max_size=120),
+    st.integers(1, 12),
+)
+def test_salted_top_rows_per_key_equals_plain_window(spark, rows, k):
+    from pyspark.sql import Window
+
+    df = spark.createDataFrame(rows, "key long, a long, b long")
+    order = [F.col("a").desc(), F.col("b").asc()]
+    old = lookup.GROUP_LIMIT_THRESHOLD
+    lookup.GROUP_LIMIT_THRESHOLD = 0  # force the salted path
+    try:
+        got = lookup.top_rows_per_key(df, "key", order, k, salts=4)
+    finally:
+        lookup.GROUP_LIMIT_THRESHOLD = old
+    w = Window.partitionBy("key").orderBy(*order)
+    want = df.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= k)
+    # rows tied on (a, b) are interchangeable: compare the multiset of (key, pos, a, b)
+    norm = lambda d: sorted(tuple(r) for r in d.select("key", "pos", "a", "b").collect())
+    assert norm(got) == norm(want)
