@@ -87,7 +87,7 @@ def _long_form(wide: DataFrame, names: list[str], keep: list[str] | None = None)
     )
     pct = X.pct_change("valor", "previo")
     is_inverted = F.col("kpi").isin([n for n in names if inverted[n]])
-    return long.withColumn("porcentaje", pct).withColumn("es_bueno", X.change_is_good("porcentaje", is_inverted))
+    return long.withColumns({"porcentaje": pct, "es_bueno": X.change_is_good(pct, is_inverted)})
 
 
 def monthly_totals(kpi_table: DataFrame) -> DataFrame:

@@ -214,8 +214,12 @@ def transaction_pages(transactions: DataFrame, page: int = 1, page_size: int = 2
     totals = keyed.groupBy("user_id").agg(F.count(F.lit(1)).alias("total"))
     return (
         ranked.join(totals, "user_id")
-        .withColumn("fecha_hora", F.date_format("fecha_hora", "yyyy-MM-dd HH:mm:ss"))
-        .withColumn("pages", F.ceil(F.col("total") / F.lit(page_size)).cast("long"))
+        .withColumns(
+            {
+                "fecha_hora": F.date_format("fecha_hora", "yyyy-MM-dd HH:mm:ss"),
+                "pages": F.ceil(F.col("total") / F.lit(page_size)).cast("long"),
+            }
+        )
     )
 
 

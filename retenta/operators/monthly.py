@@ -19,7 +19,7 @@ MILLION = 1_000_000.0
 
 
 def _labelled(df: DataFrame, month_col: str) -> DataFrame:
-    return df.withColumn("mes_clave", X.month_key(month_col)).withColumn("mes", X.month_label_es(month_col))
+    return df.withColumns({"mes_clave": X.month_key(month_col), "mes": X.month_label_es(month_col)})
 
 
 def inputs_pivot(top_inputs: DataFrame, values: Sequence[str]) -> DataFrame:

@@ -47,17 +47,16 @@ def churn_scores(clients: DataFrame, transactions: DataFrame) -> DataFrame:
     """
     tx = transaction_summary(transactions)
     joined = clients.join(tx, "user_id", "left")
-    return (
-        joined.withColumn("score_login", X.score_login("dias_desde_ultimo_login"))
-        .withColumn("score_satisfaccion", X.score_satisfaction("satisfaccion_1_10"))
-        .withColumn("score_productos", X.score_products("num_productos_activos"))
-        .withColumn("score_tx", X.score_tx("dias_sin_tx"))
-        .withColumn(
-            "churn_score",
-            X.combine_score(F.col("score_login"), F.col("score_satisfaccion"), F.col("score_productos"), F.col("score_tx")),
-        )
-        .withColumn("riesgo", X.risk_band("churn_score"))
+    parts = joined.withColumns(
+        {
+            "score_login": X.score_login("dias_desde_ultimo_login"),
+            "score_satisfaccion": X.score_satisfaction("satisfaccion_1_10"),
+            "score_productos": X.score_products("num_productos_activos"),
+            "score_tx": X.score_tx("dias_sin_tx"),
+        }
     )
+    score = X.combine_score(F.col("score_login"), F.col("score_satisfaccion"), F.col("score_productos"), F.col("score_tx"))
+    return parts.withColumns({"churn_score": score, "riesgo": X.risk_band(score)})
 
 
 def score_card(scored: DataFrame) -> DataFrame:
