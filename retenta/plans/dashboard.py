@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import rollups, scoring
+from ..session import checkpoint_dir
 from ..sources import fixtures as fx
 from ..sources.readers import read_first_existing
 
@@ -29,8 +30,14 @@ TABLES = {
 }
 
 
-def build_tables(spark: SparkSession, sf_dir: str, out_dir: str, top_k: int = 3) -> dict[str, str]:
-    """Compute and write every dashboard table; returns name -> path."""
+def build_tables(spark: SparkSession, sf_dir: str, out_dir: str | None = None, top_k: int = 3) -> dict[str, str]:
+    """Compute and write every dashboard table; returns name -> path.
+
+    Without ``out_dir`` the tables go under ``<spark.checkpoint.dir>/dashboard``,
+    the shared folder the cluster names for lineage cuts.
+    """
+    if out_dir is None:
+        out_dir = f"{checkpoint_dir(spark).rstrip('/')}/dashboard"
     clients = fx.clients(spark, sf_dir)
     tx = fx.transactions(spark, sf_dir)
     outputs: dict[str, DataFrame] = {

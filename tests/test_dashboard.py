@@ -27,3 +27,8 @@ def test_missing_tables_follow_policy(spark, tmp_path):
     assert t["monthly_kpis"].count() == 0
     assert [r.kpi for r in kpis.global_kpis(t["monthly_kpis"], "2025-01").collect()] == [
         "monto_total", "num_inputs", "nuevos_churns", "num_transacciones"]
+
+
+def test_default_folder_is_the_checkpoint_dir(spark):
+    paths = dashboard.build_tables(spark, SF)
+    assert all(p.startswith(spark.conf.get("spark.checkpoint.dir")) for p in paths.values())
