@@ -2,8 +2,8 @@
 
 The KPI table is small (one row per month, or a few), but the operators do not
 assume it: the month filter is a plain range on the stored column so it reaches
-the Parquet scan, and the previous-month lookup is a keyed self-join, not a
-window over the whole table.
+the Parquet scan, and the previous-month lookup is a keyed one-pass shift
+(grouped by month), not a window over the whole table.
 """
 
 from __future__ import annotations
@@ -103,20 +103,29 @@ def monthly_totals(kpi_table: DataFrame) -> DataFrame:
 def kpi_changes(kpi_table: DataFrame) -> DataFrame:
     """Month-over-month change of every KPI for every month (J3 over all months).
 
-    Output: mes (yyyy-MM), kpi, valor, previo, porcentaje, es_bueno. The previous
-    month is found by an equi-join on ``add_months(mes, -1)``, so a gap in the
-    months gives a previous value of 0 (a ``lag`` would silently skip the gap).
+    Output: mes (yyyy-MM), kpi, valor, previo, porcentaje, es_bueno. Each month's
+    totals are emitted twice - for the month itself and as the previous month of
+    the month after - and grouped by month: the equi-join of a month with
+    ``add_months(mes, -1)`` done in one pass, so the totals are computed once.
+    A gap in the months gives a previous value of 0 (a ``lag`` would silently
+    skip the gap).
     """
     totals = monthly_totals(kpi_table)
-    prev = totals.select(
-        F.add_months(F.col("mes"), 1).alias("mes"), *[F.col(n).alias(f"{n}__previo") for n, _, _ in KPIS]
+    names = [n for n, _, _ in KPIS]
+    as_current = F.struct(F.col("mes").alias("mes"), F.lit(True).alias("cur"), *[F.col(n) for n in names])
+    as_previous = F.struct(F.add_months(F.col("mes"), 1).alias("mes"), F.lit(False).alias("cur"), *[F.col(n) for n in names])
+    shifted = totals.select(F.explode(F.array(as_current, as_previous)).alias("r")).select("r.*")
+    cur = F.col("cur")
+    joined = (
+        shifted.groupBy("mes")
+        .agg(
+            F.max(cur.cast("int")).alias("_has_month"),
+            *[F.sum(F.when(cur, F.col(n))).alias(f"{n}__valor") for n in names],
+            *[F.coalesce(F.sum(F.when(~cur, F.col(n))), F.lit(0.0)).alias(f"{n}__previo") for n in names],
+        )
+        .filter(F.col("_has_month") == 1)
     )
-    joined = totals.join(prev, "mes", "left").select(
-        "mes",
-        *[F.col(n).alias(f"{n}__valor") for n, _, _ in KPIS],
-        *[F.coalesce(F.col(f"{n}__previo"), F.lit(0.0)).alias(f"{n}__previo") for n, _, _ in KPIS],
-    )
-    out = _long_form(joined, [n for n, _, _ in KPIS], keep=["mes"])
+    out = _long_form(joined, names, keep=["mes"])
     return out.withColumn("mes", X.month_key("mes"))
 
 
