@@ -18,20 +18,21 @@ from ..functions import expr as X
 MILLION = 1_000_000.0
 
 
-def _labelled(df: DataFrame, month_col: str) -> DataFrame:
-    return df.withColumns({"mes_clave": X.month_key(month_col), "mes": X.month_label_es(month_col)})
+def _labels(month_col: str = "month") -> list:
+    return [X.month_key(month_col).alias("mes_clave"), X.month_label_es(month_col).alias("mes")]
 
 
 def inputs_pivot(top_inputs: DataFrame, values: Sequence[str]) -> DataFrame:
     """Month × input, summed counts, missing → 0, whole numbers.
 
     Output: mes_clave (yyyy-MM, the sort key, D4), mes ("Ene 2025"), then one
-    long column per input value; sorted chronologically.
+    long column per input value; sorted chronologically. The pivot groups by the
+    month itself, so input that is already partitioned by month (the top-k per
+    month) is pivoted without another shuffle; the labels are derived after.
     """
-    df = _labelled(top_inputs, "month")
-    wide = df.groupBy("mes_clave", "mes").pivot("input", list(values)).agg(F.sum("count"))
+    wide = top_inputs.groupBy("month").pivot("input", list(values)).agg(F.sum("count"))
     return wide.select(
-        "mes_clave", "mes", *[F.coalesce(F.col(f"`{v}`"), F.lit(0)).cast("long").alias(v) for v in values]
+        *_labels(), *[F.coalesce(F.col(f"`{v}`"), F.lit(0)).cast("long").alias(v) for v in values]
     ).orderBy("mes_clave")
 
 
@@ -42,13 +43,13 @@ def operations_pivot(top_operations: DataFrame, values: Sequence[str]) -> DataFr
     amount is divided by one million and rounded half-even to 2 decimals.
     Output: mes_clave, mes, one double column per value, total.
     """
-    df = _labelled(top_operations, "month").withColumn("monto_c", F.col("monto").cast("decimal(18,2)"))
-    wide = df.groupBy("mes_clave", "mes").pivot("tipo_operacion", list(values)).agg(F.sum("monto_c"))
+    df = top_operations.withColumn("monto_c", F.col("monto").cast("decimal(18,2)"))
+    wide = df.groupBy("month").pivot("tipo_operacion", list(values)).agg(F.sum("monto_c"))
     cells = [F.coalesce(F.col(f"`{v}`"), F.lit(0).cast("decimal(28,2)")) for v in values]
     total = cells[0]
     for c in cells[1:]:
         total = total + c
     scaled = [F.bround(c.cast("double") / F.lit(MILLION), 2).alias(v) for c, v in zip(cells, values)]
     return wide.select(
-        "mes_clave", "mes", *scaled, F.bround(total.cast("double") / F.lit(MILLION), 2).alias("total")
+        *_labels(), *scaled, F.bround(total.cast("double") / F.lit(MILLION), 2).alias("total")
     ).orderBy("mes_clave")
