@@ -8,23 +8,34 @@ from retenta.streaming import monthly_rollup as S
 SF = "/root/testdata/sf0.001"
 
 
+def _month(c):
+    return F.trunc(F.col(c).cast("date"), "month")
+
+
 def test_stream_matches_batch_across_restarts(spark, tmp_path):
-    src, out, ckpt = str(tmp_path / "src"), str(tmp_path / "out"), str(tmp_path / "ckpt")
+    src, conv_src = str(tmp_path / "src"), str(tmp_path / "conv")
+    out, ckpt = str(tmp_path / "out"), str(tmp_path / "ckpt")
     tx = fx.transactions(spark, SF)
-    # two arrivals: older orders first, then the rest
-    first = tx.filter(F.col("fecha_hora") < F.lit("1998-01-01").cast("timestamp_ntz"))
-    rest = tx.filter(F.col("fecha_hora") >= F.lit("1998-01-01").cast("timestamp_ntz"))
-    first.write.mode("append").parquet(src)
-    S.start_monthly_rollup(spark, src, out, ckpt).awaitTermination()
-    rest.write.mode("append").parquet(src)
-    S.start_monthly_rollup(spark, src, out, ckpt).awaitTermination()  # restart from the checkpoint
-
-    got = {r.mes: (round(r.monto_total, 2), r.num_transacciones) for r in S.current_totals(spark, out).collect()}
+    conv = fx.conversations(spark, SF).select("user_id", "date", "input")
+    # two arrivals: older orders first, then the rest and the conversations
+    cut = F.lit("1998-01-01").cast("timestamp_ntz")
+    tx.filter(F.col("fecha_hora") < cut).write.mode("append").parquet(src)
+    conv.limit(0).write.mode("append").parquet(conv_src)
+    S.start_monthly_rollup(spark, src, out, ckpt, conversations_dir=conv_src).awaitTermination()
+    tx.filter(F.col("fecha_hora") >= cut).write.mode("append").parquet(src)
+    conv.write.mode("append").parquet(conv_src)
+    S.start_monthly_rollup(spark, src, out, ckpt, conversations_dir=conv_src).awaitTermination()  # restart
+
+    got = {
+        r.mes: (round(r.monto_total, 2), r.num_transacciones, r.num_inputs)
+        for r in S.current_totals(spark, out).collect()
+    }
     cents = F.round(F.col("monto") * 100).cast("long")
+    tx_m = {r.mes: (r.c, r.n) for r in tx.groupBy(_month("fecha_hora").alias("mes")).agg(
+        F.sum(cents).alias("c"), F.count(F.lit(1)).alias("n")).collect()}
+    conv_m = {r.mes: r.n for r in conv.groupBy(_month("date").alias("mes")).agg(F.count(F.lit(1)).alias("n")).collect()}
     want = {
-        r.mes: (round(r.c / 100.0, 2), r.n)
-        for r in tx.groupBy(F.trunc(F.col("fecha_hora").cast("date"), "month").alias("mes"))
-        .agg(F.sum(cents).alias("c"), F.count(F.lit(1)).alias("n"))
-        .collect()
+        m: (round((tx_m.get(m, (0, 0))[0] or 0) / 100.0, 2), tx_m.get(m, (0, 0))[1], conv_m.get(m, 0))
+        for m in set(tx_m) | set(conv_m)
     }
     assert got == want and len(got) > 12
