@@ -309,3 +309,26 @@ def report_summary(scored: DataFrame) -> DataFrame:
 def report_scatter(scored: DataFrame) -> DataFrame:
     """(ingreso_mensual_mxn, prob_churn) for every row (M3)."""
     return scored.select("ingreso_mensual_mxn", "prob_churn")
+
+
+def batch_report(
+    upload: DataFrame,
+    scorer: Scorer = rule_scorer,
+    features: Sequence[tuple[str, str]] = FEATURES,
+    top_rows: int = 10,
+    top_cities: int = 5,
+) -> dict[str, DataFrame]:
+    """The four parts of a batch scoring report over one upload (M3).
+
+    ``table`` (top rows by probability), ``cities`` (top cities by mean),
+    ``summary`` (rows, mean, complement) and ``scatter`` (income, probability).
+    The scored frame is shared; pass a materialized upload when all four parts
+    are collected, so the upload is read and scored once.
+    """
+    scored = scored_upload(upload, scorer, features)
+    return {
+        "table": report_table(scored, top_rows),
+        "cities": report_cities(scored, top_cities),
+        "summary": report_summary(scored),
+        "scatter": report_scatter(scored),
+    }

@@ -14,10 +14,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import rollups, scoring
+from ..operators import model, rollups, scoring
 from ..session import checkpoint_dir
 from ..sources import fixtures as fx
-from ..sources.readers import read_first_existing
+from ..sources.readers import read_first_existing, read_upload_csv
 
 # The table names the dashboard reads, with the schema used when a table is missing.
 TABLES = {
@@ -68,3 +68,12 @@ def open_tables(
             spark, [f"{f.rstrip('/')}/{name}" for f in folders], on_missing=policy, empty_schema=schema
         )
     return out
+
+
+def score_upload_file(spark: SparkSession, path: str, scorer: model.Scorer = model.rule_scorer) -> dict[str, DataFrame]:
+    """A CSV upload scored into the batch report (S4, M1-M3): the upload endpoint as one call.
+
+    The separator comes from the header line; missing features are imputed
+    before scoring; the result holds the table, cities, summary and scatter frames.
+    """
+    return model.batch_report(read_upload_csv(spark, path), scorer)

@@ -32,3 +32,18 @@ def test_missing_tables_follow_policy(spark, tmp_path):
 def test_default_folder_is_the_checkpoint_dir(spark):
     paths = dashboard.build_tables(spark, SF)
     assert all(p.startswith(spark.conf.get("spark.checkpoint.dir")) for p in paths.values())
+
+
+def test_upload_file_report_equals_dataframe_report(spark, tmp_path):
+    from retenta.operators import model
+
+    table = catalog.customer_features(spark, SF)
+    cols = ["user_id", "edad", "estado", "ciudad", "dias_desde_ultimo_login", "satisfaccion_1_10",
+            "num_productos_activos", "dias_sin_tx"]
+    path = str(tmp_path / "upload_csv")
+    table.select(*cols).coalesce(1).write.option("header", True).option("sep", ";").csv(path)
+    from_file = dashboard.score_upload_file(spark, path)
+    direct = model.batch_report(table.select(*cols))
+    for part in ("table", "cities", "summary", "scatter"):
+        assert sorted(map(tuple, from_file[part].collect())) == sorted(map(tuple, direct[part].collect())), part
+    assert from_file["summary"].first().total_registros == table.count()
