@@ -48,14 +48,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     Only when the session leaves it unset (local tests) a fresh folder under the
     system temp directory is used; a cluster always names a shared one.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        path = configured
-    else:
-        path = tempfile.mkdtemp(prefix="retenta-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not root:
+        root = tempfile.mkdtemp(prefix="retenta-ckpt-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(root)
+    return root
 
 
 def materialize(df: DataFrame, how: str = "persist") -> DataFrame:

@@ -166,3 +166,29 @@ def test_materialize_checkpoint_uses_configured_dir(spark):
     df = materialize(spark.range(5), "checkpoint")
     assert df.count() == 5
     assert materialize(spark.range(3)).count() == 3
+
+
+def test_checkpoint_dir_when_unset():
+    from retenta.session import checkpoint_dir
+
+    class Ctx:
+        dir = None
+
+        def getCheckpointDir(self):
+            return self.dir
+
+        def setCheckpointDir(self, path):
+            self.dir = path
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        sparkContext = Ctx()
+        conf = Conf()
+
+    s = Session()
+    path = checkpoint_dir(s)
+    assert "retenta-ckpt-" in path and s.sparkContext.dir == path
+    assert checkpoint_dir(s) == path
