@@ -83,11 +83,6 @@ SPARK_TYPES = {"int64": T.LongType(), "float64": T.DoubleType(), "string": T.Str
 Scorer = Callable[[DataFrame], DataFrame]
 
 
-def categorical(features: Sequence[tuple[str, str]] = FEATURES) -> list[str]:
-    """String-typed features are categorical; booleans enter the model as 0/1."""
-    return [n for n, t in features if t == "string"]
-
-
 def align_features(df: DataFrame, features: Sequence[tuple[str, str]] = FEATURES, keep: Sequence[str] = ()) -> DataFrame:
     """Input columns aligned to the feature list.
 
@@ -157,7 +152,8 @@ def build_pipeline(
 
 
 def model_inputs(df: DataFrame, features: Sequence[tuple[str, str]]) -> tuple[DataFrame, list[str], list[str]]:
-    """Numeric view of the features: booleans as 0/1 doubles, numbers as doubles, nulls as 0."""
+    """Model view of the features: string features are categorical (text, null as
+    ``SIN REGISTRO``); booleans and numbers become doubles with null as 0."""
     cats = [n for n, t in features if t == "string"]
     nums = [n for n, t in features if t != "string"]
     cols = [F.coalesce(F.col(c).cast("string"), F.lit(MISSING_CATEGORY)).alias(c) for c in cats]
