@@ -8,6 +8,7 @@ lives in :mod:`retenta.plans.oracle` under the same name.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,9 @@ from pyspark.sql import functions as F
 
 from ..operators import actions, features, kpis, lookup, model, monthly, rollups, scoring, segments
 from . import params as P
+from ..session import checkpoint_dir
 from ..sources import fixtures as fx
+from ..streaming import monthly_rollup
 
 TS_TEXT = "yyyy-MM-dd HH:mm:ss"
 
@@ -234,6 +237,22 @@ def q_churn_model_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("user_id", "prob_churn", "pred_churn")
 
 
+def q_monthly_rollup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streaming monthly rollup over the whole transaction and conversation tables.
+
+    The derived tables are written as the stream's source files into a fresh
+    folder under the shared checkpoint folder, drained with an available-now
+    trigger, and the current per-month totals are read back.
+    """
+    base = f"{checkpoint_dir(spark).rstrip('/')}/monthly-rollup-{uuid.uuid4().hex}"
+    fx.transactions(spark, sf_dir).write.parquet(f"{base}/transactions")
+    fx.conversations(spark, sf_dir).select("user_id", "date", "input").write.parquet(f"{base}/conversations")
+    monthly_rollup.start_monthly_rollup(
+        spark, f"{base}/transactions", f"{base}/totals", f"{base}/state", conversations_dir=f"{base}/conversations"
+    ).awaitTermination()
+    return monthly_rollup.current_totals(spark, f"{base}/totals").withColumn("mes", F.date_format("mes", "yyyy-MM"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "churn_scores": q_churn_scores,
     "search_clients": q_search_clients,
@@ -275,4 +294,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "batch_report_summary": q_batch_report_summary,
     "batch_report_scatter": q_batch_report_scatter,
     "churn_model_predictions": q_churn_model_predictions,
+    "monthly_rollup_stream": q_monthly_rollup_stream,
 }

@@ -695,6 +695,18 @@ def batch_report_scatter(pv, ov) -> str:
     return f"{_scored_upload(pv, ov)}\nSELECT ingreso_mensual_mxn, prob_churn FROM scored"
 
 
+def monthly_rollup_stream() -> str:
+    return f"""WITH {TRANSACTIONS}, {CONVERSATIONS},
+rows AS (
+  SELECT CAST(date_trunc('month', fecha_hora) AS DATE) AS mes, CAST(round(monto * {dbl(100)}) AS BIGINT) AS cents,
+         1 AS is_tx, 0 AS is_input FROM transactions
+  UNION ALL
+  SELECT CAST(date_trunc('month', date) AS DATE), CAST(NULL AS BIGINT), 0, 1 FROM conv)
+SELECT strftime(mes, '%Y-%m') AS mes, coalesce(CAST(sum(cents) AS DOUBLE) / {dbl(100)}, {dbl(0)}) AS monto_total,
+       CAST(sum(is_tx) AS BIGINT) AS num_transacciones, CAST(sum(is_input) AS BIGINT) AS num_inputs
+FROM rows GROUP BY mes"""
+
+
 def all_sql() -> dict[str, str]:
     from . import params as P
 
@@ -738,4 +750,5 @@ def all_sql() -> dict[str, str]:
         "batch_report_cities": batch_report_cities(P.INPUT_VALUES, P.OPERATION_VALUES, P.REPORT_TOP_CITIES),
         "batch_report_summary": batch_report_summary(P.INPUT_VALUES, P.OPERATION_VALUES),
         "batch_report_scatter": batch_report_scatter(P.INPUT_VALUES, P.OPERATION_VALUES),
+        "monthly_rollup_stream": monthly_rollup_stream(),
     }
