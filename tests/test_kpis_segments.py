@@ -194,3 +194,15 @@ def test_top_n_by_partition_groups_is_exact(spark):
     got = segments.top_n(df, 150, [F.col("h"), F.col("id")], group=256)
     assert [r.id for r in got.collect()] == want
     assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_region_match_refuses_an_unbounded_state_list(spark, monkeypatch):
+    from retenta.operators import guards
+
+    states = spark.createDataFrame([(f"S{i}", i, 1.0) for i in range(5)], "nombre string, clientes long, churn_pct double")
+    layer = spark.createDataFrame([(1, "s1")], "map_order long, map_name string")
+    monkeypatch.setattr(segments, "MAX_REGIONS", 3)
+    with pytest.raises(guards.TooLargeToBroadcast):
+        segments.region_match(layer, states)
+    monkeypatch.setattr(segments, "MAX_REGIONS", 5)
+    assert segments.region_match(layer, states).count() == 1
