@@ -149,5 +149,8 @@ def schema_report(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFram
 
 
 def write_records(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
-    """Write result rows; null stays null in every format."""
-    df.write.mode(mode).format(fmt).save(path)
+    """Write result rows; null stays null in every format (S10). CSV gets a header line."""
+    writer = df.write.mode(mode).format(fmt)
+    if fmt == "csv":
+        writer = writer.option("header", True)
+    writer.save(path)

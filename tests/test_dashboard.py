@@ -47,3 +47,14 @@ def test_upload_file_report_equals_dataframe_report(spark, tmp_path):
     for part in ("table", "cities", "summary", "scatter"):
         assert sorted(map(tuple, from_file[part].collect())) == sorted(map(tuple, direct[part].collect())), part
     assert from_file["summary"].first().total_registros == table.count()
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from retenta.__main__ import main
+
+    assert main(["list"]) == 0
+    assert "churn_scores" in capsys.readouterr().out.split()
+    out = str(tmp_path / "state_map")
+    assert main(["run", "state_map", "--sf", SF, "--out", out, "--format", "json"]) == 0
+    back = spark.read.json(out)
+    assert back.count() == spark.read.parquet(f"{SF}/nation.parquet").count()
