@@ -121,6 +121,10 @@ def test_upload_csv_separator_from_header(spark, tmp_path, sep):
     df = readers.read_upload_csv(spark, str(path))
     assert df.columns == ["user_id", "estado", "dias_desde_ultimo_login", "satisfaccion_1_10"]
     assert [tuple(r) for r in df.collect()] == [("U1", "Nuevo León", 45, 3), ("U2", "Yucatán", 2, 9)]
+    typed = readers.read_upload_csv(
+        spark, str(path), schema="user_id string, estado string, dias_desde_ultimo_login long, satisfaccion_1_10 double"
+    )
+    assert [tuple(r) for r in typed.collect()] == [("U1", "Nuevo León", 45, 3.0), ("U2", "Yucatán", 2, 9.0)]
 
 
 def test_read_table_projects(spark):
