@@ -82,3 +82,55 @@ def test_salted_top_rows_per_key_equals_plain_window(spark, rows, k):
     # rows tied on (a, b) are interchangeable: compare the multiset of (key, pos, a, b)
     norm = lambda d: sorted(tuple(r) for r in d.select("key", "pos", "a", "b").collect())
     assert norm(got) == norm(want)
+
+
+def _half_even(x, digits):
+    from decimal import ROUND_HALF_EVEN, Decimal
+
+    return float(Decimal(repr(x)).quantize(Decimal(1).scaleb(-digits), rounding=ROUND_HALF_EVEN))
+
+
+def _score_py(login, sat, prods, days):
+    """The churn score rules, written as plain Python."""
+    if login is None or prods is None:
+        return None
+    clip = lambda v, lo, hi: min(max(v, lo), hi)
+    s = clip(login, 0, 90) / 90.0 * 35.0
+    s += (10.0 - (5.0 if sat is None else float(sat))) / 9.0 * 25.0
+    s += (5.0 - clip(prods, 0, 5)) / 5.0 * 20.0
+    s += clip(90 if days is None else days, 0, 90) / 90.0 * 20.0
+    return _half_even(s, 1)
+
+
+@SETTINGS
+@given(
+    st.lists(
+        st.tuples(
+            st.one_of(st.none(), st.integers(-10, 400)),
+            st.one_of(st.none(), st.integers(0, 12)),
+            st.one_of(st.none(), st.integers(-3, 12)),
+            st.one_of(st.none(), st.integers(-5, 2000)),
+        ),
+        min_size=1,
+        max_size=200,
+    )
+)
+def test_score_equals_plain_python_rules(spark, rows):
+    df = spark.createDataFrame(rows, "login long, sat long, prods long, days long")
+    got = [r[0] for r in df.select(X.churn_score("login", "sat", "prods", "days")).collect()]
+    assert got == [_score_py(*r) for r in rows]
+
+
+def _pct_py(actual, previous):
+    if previous == 0:
+        return 100.0 if actual > 0 else 0.0
+    return _half_even((actual - previous) / abs(previous) * 100.0, 1)
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.integers(-10**6, 10**6), st.integers(-10**6, 10**6)), min_size=1, max_size=200))
+def test_pct_change_equals_plain_python_rule(spark, rows):
+    data = [(float(a), float(p)) for a, p in rows]
+    df = spark.createDataFrame(data, "a double, p double")
+    got = [r[0] for r in df.select(X.pct_change("a", "p")).collect()]
+    assert got == [_pct_py(a, p) for a, p in data]
