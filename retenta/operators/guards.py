@@ -1,9 +1,10 @@
 """Size checks in front of broadcasts.
 
-One-row aggregates and fixed dimension tables are broadcast without a check:
-their size does not grow with the data. Anything else is broadcast only after
-:func:`checked_broadcast` has counted it (a ``limit(bound + 1).count()`` job,
-which stops reading once the bound is passed).
+Fixed-size inputs (the 25-row nation table, one row per input partition) are
+broadcast without a check: their size does not grow with the data. Global
+scalars are scalar subqueries, not broadcasts. Anything else is broadcast only
+after :func:`checked_broadcast` has counted it (a ``limit(bound + 1).count()``
+job, which stops reading once the bound is passed).
 """
 
 from __future__ import annotations
