@@ -206,3 +206,11 @@ def test_region_match_refuses_an_unbounded_state_list(spark, monkeypatch):
         segments.region_match(layer, states)
     monkeypatch.setattr(segments, "MAX_REGIONS", 5)
     assert segments.region_match(layer, states).count() == 1
+
+
+@pytest.mark.parametrize("kind", ["timestamp_ntz", "string"])
+def test_global_kpis_accepts_timestamp_or_text_months(spark, kpi, kind):
+    other = kpi.withColumn("mes", F.col("mes").cast(kind))
+    want = sorted(map(tuple, kpis.global_kpis(kpi, "2025-02").collect()))
+    assert sorted(map(tuple, kpis.global_kpis(other, "2025-02").collect())) == want
+    assert sorted(map(tuple, kpis.kpi_changes(other).collect())) == sorted(map(tuple, kpis.kpi_changes(kpi).collect()))
