@@ -30,6 +30,11 @@ TABLES = {
 }
 
 
+# The scored clients are stored by risk band: the high-risk screens filter on
+# riesgo = 'Alto' and then read only that band's folder (partition pruning).
+PARTITION_COLUMNS = {"scored_clients": "riesgo"}
+
+
 def build_tables(spark: SparkSession, sf_dir: str, out_dir: str | None = None, top_k: int = 3) -> dict[str, str]:
     """Compute and write every dashboard table; returns name -> path.
 
@@ -51,7 +56,10 @@ def build_tables(spark: SparkSession, sf_dir: str, out_dir: str | None = None, t
     paths = {}
     for name, df in outputs.items():
         path = f"{out_dir.rstrip('/')}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        writer = df.write.mode("overwrite")
+        if name in PARTITION_COLUMNS:
+            writer = writer.partitionBy(PARTITION_COLUMNS[name])
+        writer.parquet(path)
         paths[name] = path
     return paths
 

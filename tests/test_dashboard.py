@@ -58,3 +58,22 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["run", "state_map", "--sf", SF, "--out", out, "--format", "json"]) == 0
     back = spark.read.json(out)
     assert back.count() == spark.read.parquet(f"{SF}/nation.parquet").count()
+
+
+def test_high_risk_screens_read_only_their_band(spark, tmp_path):
+    out = str(tmp_path / "dash_band")
+    dashboard.build_tables(spark, SF, out)
+    scored = dashboard.open_tables(spark, [out], ["scored_clients"])["scored_clients"]
+    page = lookup.high_risk_page(scored, **P.HIGH_RISK_PAGE)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    try:
+        plan = page._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    import re
+
+    scans = re.findall(r"PartitionFilters: \[[^\]]*\]", plan)
+    assert scans and all(re.search(r"\(riesgo#\d+ = Alto\)", f) for f in scans), scans
+    assert [r.user_id for r in page.collect()] == [r.user_id for r in catalog.q_high_risk_page(spark, SF).collect()]
+    # null bands survive the round trip
+    assert scored.count() == catalog.q_churn_scores(spark, SF).count()
