@@ -134,7 +134,11 @@ def retention_actions(clients: DataFrame, brand: Brand = Brand()) -> DataFrame:
     sat = F.coalesce(F.col("satisfaccion_1_10").cast("double"), F.lit(0.0))
     login = F.coalesce(F.col("dias_desde_ultimo_login").cast("long"), F.lit(0).cast("long"))
     txs = F.coalesce(F.col("total_tx").cast("long"), F.lit(0).cast("long"))
-    values = {"sat": js_number_text(sat), "login": login.cast("string"), "estado": F.coalesce(F.col("estado"), F.lit(""))}
+    values = {
+        "sat": js_number_text(sat),
+        "login": login.cast("string"),
+        "estado": F.coalesce(F.col("estado"), F.lit("")),
+    }
     idx = rule_index(sat, login, txs)
 
     def pick(render) -> Column:

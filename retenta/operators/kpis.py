@@ -113,7 +113,9 @@ def kpi_changes(kpi_table: DataFrame) -> DataFrame:
     totals = monthly_totals(kpi_table)
     names = [n for n, _, _ in KPIS]
     as_current = F.struct(F.col("mes").alias("mes"), F.lit(True).alias("cur"), *[F.col(n) for n in names])
-    as_previous = F.struct(F.add_months(F.col("mes"), 1).alias("mes"), F.lit(False).alias("cur"), *[F.col(n) for n in names])
+    as_previous = F.struct(
+        F.add_months(F.col("mes"), 1).alias("mes"), F.lit(False).alias("cur"), *[F.col(n) for n in names]
+    )
     shifted = totals.select(F.explode(F.array(as_current, as_previous)).alias("r")).select("r.*")
     cur = F.col("cur")
     joined = (

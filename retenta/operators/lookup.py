@@ -248,6 +248,10 @@ def conversation_histories(conversations: DataFrame) -> DataFrame:
     totals = keyed.groupBy("user_id").agg(F.count(F.lit(1)).alias("total"))
     return (
         keyed.join(totals, "user_id")
-        .orderBy(F.col("user_id").asc(), F.col("date").desc(), *[F.col(c) for c in keyed.columns if c not in ("user_id", "date")])
+        .orderBy(
+            F.col("user_id").asc(),
+            F.col("date").desc(),
+            *[F.col(c) for c in keyed.columns if c not in ("user_id", "date")],
+        )
         .withColumn("date", F.date_format("date", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
     )

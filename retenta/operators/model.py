@@ -83,7 +83,9 @@ SPARK_TYPES = {"int64": T.LongType(), "float64": T.DoubleType(), "string": T.Str
 Scorer = Callable[[DataFrame], DataFrame]
 
 
-def align_features(df: DataFrame, features: Sequence[tuple[str, str]] = FEATURES, keep: Sequence[str] = ()) -> DataFrame:
+def align_features(
+    df: DataFrame, features: Sequence[tuple[str, str]] = FEATURES, keep: Sequence[str] = ()
+) -> DataFrame:
     """Input columns aligned to the feature list.
 
     Present features are cast to their declared type (categoricals to text);
@@ -145,7 +147,9 @@ def build_pipeline(
         else []
     )
     assembler = VectorAssembler(
-        inputCols=[f"{c}__idx" for c in categorical_cols] + list(numeric_cols), outputCol="features", handleInvalid="keep"
+        inputCols=[f"{c}__idx" for c in categorical_cols] + list(numeric_cols),
+        outputCol="features",
+        handleInvalid="keep",
     )
     gbt = GBTClassifier(labelCol=label_col, featuresCol="features", maxBins=max_bins, maxIter=max_iter, seed=seed)
     return Pipeline(stages=[*indexers, assembler, gbt])
@@ -163,7 +167,10 @@ def model_inputs(df: DataFrame, features: Sequence[tuple[str, str]]) -> tuple[Da
 
 
 def table_features(df: DataFrame, exclude: Sequence[str]) -> list[tuple[str, str]]:
-    """Feature list from a table's schema: text → string, boolean → bool, whole → int64, other numbers → float64."""
+    """Feature list from a table's schema.
+
+    Text → string, boolean → bool, whole numbers → int64, other numbers → float64.
+    """
     out = []
     for f in df.schema.fields:
         if f.name in exclude:
@@ -221,7 +228,9 @@ def ml_scorer(model: PipelineModel, features: Sequence[tuple[str, str]]) -> Scor
     return score
 
 
-def evaluate_auc(model: PipelineModel, table: DataFrame, features: Sequence[tuple[str, str]], label_col: str = "UsuarioChurn") -> float:
+def evaluate_auc(
+    model: PipelineModel, table: DataFrame, features: Sequence[tuple[str, str]], label_col: str = "UsuarioChurn"
+) -> float:
     """Area under ROC of the model on ``table``."""
     inputs, _, _ = model_inputs(table.withColumn("label", X.is_churn(label_col).cast("double")), features)
     pred = model.transform(inputs)
@@ -247,7 +256,9 @@ def with_row_index(df: DataFrame, out_col: str = "_row") -> DataFrame:
     )
 
 
-REPORT_COLUMNS = ["user_id", "edad", "num_productos_activos", "satisfaccion_1_10", "ingreso_mensual_mxn", "prob_churn", "ciudad"]
+REPORT_COLUMNS = [
+    "user_id", "edad", "num_productos_activos", "satisfaccion_1_10", "ingreso_mensual_mxn", "prob_churn", "ciudad",
+]
 
 
 def scored_upload(upload: DataFrame, scorer: Scorer, features: Sequence[tuple[str, str]] = FEATURES) -> DataFrame:

@@ -15,7 +15,9 @@ from ..functions import expr as X
 CHURN_AFTER_DAYS = 180  # fixed value: a client counts as churned after more than 180 days without transactions
 
 
-def monthly_kpis(transactions: DataFrame, conversations: DataFrame, churn_after_days: int = CHURN_AFTER_DAYS) -> DataFrame:
+def monthly_kpis(
+    transactions: DataFrame, conversations: DataFrame, churn_after_days: int = CHURN_AFTER_DAYS
+) -> DataFrame:
     """Monthly KPI table (F1): mes, monto_total, num_inputs, nuevos_churn, num_transacciones.
 
     * monto_total, num_transacciones: sum and count of the month's transactions;

@@ -1,9 +1,11 @@
 """Churn scoring.
 
-Plan shape of :func:`churn_scores`: a partial/final hash aggregate per client (map-side combine, so a client owning a large share of
-the rows leaves each map task as one row), a global maximum evaluated once as a
-scalar subquery (partial max per task, no keyed shuffle, no join), and one left join to the clients on ``user_id`` (both
-sides unique per key after aggregation: no skew, no row multiplication).
+Plan shape of :func:`churn_scores`: a partial/final hash aggregate per client
+(map-side combine, so a client owning a large share of the rows leaves each map
+task as one row), a global maximum evaluated once as a scalar subquery (partial
+max per task, no keyed shuffle, no join), and one left join to the clients on
+``user_id`` (both sides unique per key after aggregation: no skew, no row
+multiplication).
 """
 
 from __future__ import annotations
@@ -55,7 +57,9 @@ def churn_scores(clients: DataFrame, transactions: DataFrame) -> DataFrame:
             "score_tx": X.score_tx("dias_sin_tx"),
         }
     )
-    score = X.combine_score(F.col("score_login"), F.col("score_satisfaccion"), F.col("score_productos"), F.col("score_tx"))
+    score = X.combine_score(
+        F.col("score_login"), F.col("score_satisfaccion"), F.col("score_productos"), F.col("score_tx")
+    )
     return parts.withColumns({"churn_score": score, "riesgo": X.risk_band(score)})
 
 
@@ -103,7 +107,9 @@ def high_risk_list(clients: DataFrame, transactions: DataFrame, threshold: float
         .withColumn("total_tx", F.coalesce(F.col("total_tx"), F.lit(0).cast("long")))
         .select(*HIGH_RISK_COLUMNS)
     )
-    return fill_zero(out, ["satisfaccion_1_10", "dias_desde_ultimo_login", "num_productos_activos", "ingreso_mensual_mxn"])
+    return fill_zero(
+        out, ["satisfaccion_1_10", "dias_desde_ultimo_login", "num_productos_activos", "ingreso_mensual_mxn"]
+    )
 
 
 def high_risk_top(clients: DataFrame, transactions: DataFrame, k: int = 20, threshold: float = 60.0) -> DataFrame:

@@ -27,7 +27,9 @@ STATE_OF_MEXICO_DATA = "estado de méxico"
 STATE_OF_MEXICO_MAP = "méxico"
 
 
-def churn_totals_from_counts(label_counts: DataFrame, label_col: str = "UsuarioChurn", count_col: str = "count") -> DataFrame:
+def churn_totals_from_counts(
+    label_counts: DataFrame, label_col: str = "UsuarioChurn", count_col: str = "count"
+) -> DataFrame:
     """Churn / no-churn totals from a label-count table (A6): status, cantidad.
 
     Labels are trimmed and upper-cased; both rows are always present.
