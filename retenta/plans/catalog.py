@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import actions, features, kpis, lookup, model, monthly, rollups, scoring, segments
+from ..sources import readers
 from . import params as P
 from ..session import checkpoint_dir, materialize
 from ..sources import fixtures as fx
@@ -265,6 +266,11 @@ def q_monthly_rollup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monthly_rollup.current_totals(spark, f"{base}/totals").withColumn("mes", F.date_format("mes", "yyyy-MM"))
 
 
+def q_kpi_unparseable_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many KPI rows have a month that does not parse (S6's report)."""
+    return readers.count_unparseable(kpi_table(spark, sf_dir), "mes")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "churn_scores": q_churn_scores,
     "search_clients": q_search_clients,
@@ -282,6 +288,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "global_kpis_first_month": q_global_kpis_first_month,
     "kpi_changes": q_kpi_changes,
     "churn_timeline": q_churn_timeline,
+    "kpi_unparseable_months": q_kpi_unparseable_months,
     "churn_label_counts": q_churn_label_counts,
     "churn_counts": q_churn_counts,
     "churn_totals": q_churn_totals,

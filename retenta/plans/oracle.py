@@ -707,6 +707,11 @@ SELECT strftime(mes, '%Y-%m') AS mes, coalesce(CAST(sum(cents) AS DOUBLE) / {dbl
 FROM rows GROUP BY mes"""
 
 
+def kpi_unparseable_months() -> str:
+    return f"""{BASE_KPI}
+SELECT count(CASE WHEN mes IS NULL THEN 1 END) AS filas_descartadas FROM kpi"""
+
+
 def all_sql() -> dict[str, str]:
     from . import params as P
 
@@ -727,6 +732,7 @@ def all_sql() -> dict[str, str]:
         "global_kpis_first_month": global_kpis(P.GLOBAL_KPI_FIRST_MONTH),
         "kpi_changes": kpi_changes(),
         "churn_timeline": churn_timeline(),
+        "kpi_unparseable_months": kpi_unparseable_months(),
         "churn_label_counts": churn_label_counts(),
         "churn_counts": churn_counts(),
         "churn_totals": churn_totals(),
