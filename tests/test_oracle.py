@@ -41,3 +41,15 @@ def test_model_predictions_rows(spark):
     clients = spark.read.parquet("/root/testdata/sf0.001/customer.parquet").count()
     got = out.collect()
     assert len(got) == clients and all(0 <= r.prob_churn <= 100 for r in got)
+
+
+def test_entry_schema_is_stable(spark):
+    a, b = entry_mod.entry(spark), entry_mod.entry(spark)
+    assert a.schema == b.schema and len(a.columns) == len(set(a.columns))
+
+
+def test_query_names_and_columns_are_plain():
+    import re
+
+    for name in QUERIES:
+        assert re.fullmatch(r"[a-z][a-z0-9_]*", name), name
