@@ -134,3 +134,48 @@ def test_pct_change_equals_plain_python_rule(spark, rows):
     df = spark.createDataFrame(data, "a double, p double")
     got = [r[0] for r in df.select(X.pct_change("a", "p")).collect()]
     assert got == [_pct_py(a, p) for a, p in data]
+
+
+@SETTINGS
+@given(
+    st.lists(
+        st.tuples(st.one_of(st.none(), st.integers(1, 6)), st.integers(1, 10**6), st.integers(0, 900)),
+        min_size=1,
+        max_size=80,
+    ),
+    st.lists(st.integers(0, 900), max_size=30),
+)
+def test_monthly_kpis_equal_plain_python(spark, txs, convs):
+    from collections import defaultdict
+
+    from retenta.operators import rollups
+
+    base = dt.datetime(2023, 1, 1)
+    tx_rows = [(u, cents / 100.0, base + dt.timedelta(days=d), "op") for u, cents, d in txs]
+    conv_rows = [(1, base + dt.timedelta(days=d), "x") for d in convs]
+    tx = spark.createDataFrame(tx_rows, "user_id long, monto double, fecha_hora timestamp_ntz, tipo_operacion string")
+    conv = spark.createDataFrame(conv_rows, "user_id long, date timestamp_ntz, input string")
+    got = {
+        r.mes: (round(r.monto_total, 2), r.num_inputs, r.nuevos_churn, r.num_transacciones)
+        for r in rollups.monthly_kpis(tx, conv).collect()
+    }
+
+    month = lambda t: dt.date(t.year, t.month, 1)
+    want = defaultdict(lambda: [0, 0, 0, 0])
+    for _, cents, d in txs:
+        m = want[month(base + dt.timedelta(days=d))]
+        m[0] += cents
+        m[3] += 1
+    for d in convs:
+        want[month(base + dt.timedelta(days=d))][1] += 1
+    fecha_max = base + dt.timedelta(days=max(d for _, _, d in txs))
+    last = {}
+    for u, _, d in txs:
+        if u is not None:
+            last[u] = max(last.get(u, d), d)
+    for d in last.values():
+        churn_at = base + dt.timedelta(days=d + 181)
+        if churn_at <= fecha_max:
+            want[month(churn_at)][2] += 1
+    expected = {m: (round(v[0] / 100.0, 2), v[1], v[2], v[3]) for m, v in want.items()}
+    assert got == expected
