@@ -179,3 +179,56 @@ def test_monthly_kpis_equal_plain_python(spark, txs, convs):
             want[month(churn_at)][2] += 1
     expected = {m: (round(v[0] / 100.0, 2), v[1], v[2], v[3]) for m, v in want.items()}
     assert got == expected
+
+
+@SETTINGS
+@given(
+    st.lists(st.tuples(st.integers(1, 4), st.integers(0, 20), st.integers(1, 5)), min_size=1, max_size=60),
+    st.integers(1, 4),
+    st.integers(1, 5),
+)
+def test_transaction_pages_equal_plain_python(spark, rows, page, size):
+    base = dt.datetime(2024, 1, 1)
+    data = [(u, float(m), base + dt.timedelta(days=d), "op") for u, d, m in rows]
+    tx = spark.createDataFrame(data, "user_id long, monto double, fecha_hora timestamp_ntz, tipo_operacion string")
+    got = sorted(
+        (r.user_id, r.pos, r.monto, r.fecha_hora, r.total, r.pages)
+        for r in lookup.transaction_pages(tx, page=page, page_size=size).collect()
+    )
+    want = []
+    for u in {r[0] for r in data}:
+        mine = sorted((r for r in data if r[0] == u), key=lambda r: (-r[2].timestamp(), -r[1]))
+        total = len(mine)
+        for i, r in enumerate(mine[(page - 1) * size : page * size]):
+            pos = (page - 1) * size + i + 1
+            want.append((u, pos, r[1], r[2].strftime("%Y-%m-%d %H:%M:%S"), total, -(-total // size)))
+    assert got == sorted(want)
+
+
+@SETTINGS
+@given(
+    st.lists(
+        st.tuples(st.integers(0, 130), st.one_of(st.none(), st.integers(-10**5, 10**7)), st.booleans()),
+        min_size=1,
+        max_size=80,
+    )
+)
+def test_age_profile_equals_plain_python(spark, rows):
+    from decimal import ROUND_HALF_EVEN, Decimal
+
+    from retenta.operators import segments
+
+    data = [(i, age, None if c is None else c / 100.0, "CHURN" if ch else "NO CHURN") for i, (age, c, ch) in enumerate(rows)]
+    df = spark.createDataFrame(data, "user_id long, edad long, ingreso_mensual_mxn double, UsuarioChurn string")
+    got = {r.rango_edad: (r.ingreso_promedio, r.churn_pct, r.total) for r in segments.age_profile(df).collect()}
+    edges, labels = [17, 25, 35, 45, 55, 65, 120], ["18–25", "26–35", "36–45", "46–55", "56–65", "65+"]
+    want = {}
+    for k, label in enumerate(labels):
+        band = [(c, ch) for _, age, c, ch in data if edges[k] < age <= edges[k + 1]]
+        if not band:
+            continue
+        cents = [round(c * 100) for c, _ in band if c is not None]
+        mean = None if not cents else int(_half_even(sum(cents) / len(cents) / 100.0, 0))
+        pct = _half_even(sum(1 for _, ch in band if ch == "CHURN") / len(band) * 100.0, 1)
+        want[label] = (mean, pct, len(band))
+    assert got == want
