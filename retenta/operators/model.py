@@ -20,7 +20,7 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -339,3 +339,25 @@ def batch_report(
         "summary": report_summary(scored),
         "scatter": report_scatter(scored),
     }
+
+
+def save_churn_model(model: PipelineModel, features: Sequence[tuple[str, str]], path: str) -> None:
+    """Store a fitted pipeline and its feature list under ``path`` (shared storage on a cluster).
+
+    The pipeline goes through Spark ML's writer; the feature list is a small
+    table next to it, so both are read back with Spark from any storage.
+    """
+    spark = SparkSession.active()
+    model.write().overwrite().save(f"{path.rstrip('/')}/pipeline")
+    rows = [(i, name, kind) for i, (name, kind) in enumerate(features)]
+    spark.createDataFrame(rows, "ordinal int, name string, kind string").coalesce(1).write.mode("overwrite").parquet(
+        f"{path.rstrip('/')}/features"
+    )
+
+
+def load_churn_model(path: str) -> tuple[PipelineModel, list[tuple[str, str]]]:
+    """A pipeline and feature list stored by :func:`save_churn_model` (the model artifact of M2)."""
+    spark = SparkSession.active()
+    model = PipelineModel.load(f"{path.rstrip('/')}/pipeline")
+    feats = spark.read.parquet(f"{path.rstrip('/')}/features").orderBy("ordinal").collect()
+    return model, [(r.name, r.kind) for r in feats]

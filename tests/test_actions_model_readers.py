@@ -100,6 +100,20 @@ def test_ml_pipeline_trains_and_scores(spark):
     assert len(probs) == 120 and all(0.0 <= p <= 1.0 for p in probs)
 
 
+def test_model_round_trip(spark, tmp_path):
+    rows = [(i, "A" if i % 3 else "B", float(i % 10), "CHURN" if i % 10 > 5 else "NO CHURN") for i in range(80)]
+    table = spark.createDataFrame(rows, "user_id long, ciudad string, satisfaccion_1_10 double, UsuarioChurn string")
+    feats = model.table_features(table, exclude=["user_id", "UsuarioChurn"])
+    fitted, feats = model.train_churn_model(table, feats, max_iter=3)
+    path = str(tmp_path / "churn_model")
+    model.save_churn_model(fitted, feats, path)
+    loaded, loaded_feats = model.load_churn_model(path)
+    assert loaded_feats == feats
+    a = sorted((r.user_id, r.proba) for r in model.ml_scorer(fitted, feats)(table).collect())
+    b = sorted((r.user_id, r.proba) for r in model.ml_scorer(loaded, loaded_feats)(table).collect())
+    assert a == b
+
+
 def test_read_first_existing_policies(spark, tmp_path):
     missing = str(tmp_path / "nope.parquet")
     assert readers.read_first_existing(spark, [missing]) is None
