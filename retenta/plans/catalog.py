@@ -271,6 +271,13 @@ def q_kpi_unparseable_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.count_unparseable(kpi_table(spark, sf_dir), "mes")
 
 
+def q_top_conversation_inputs_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-3 conversation inputs per month over the conversation table itself (F2)."""
+    conv = fx.conversations(spark, sf_dir).select(F.col("date").alias("fecha"), "input")
+    out = rollups.top_inputs_by_month(conv, P.TOP_PER_MONTH)
+    return out.withColumn("month", F.date_format("month", "yyyy-MM"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "churn_scores": q_churn_scores,
     "search_clients": q_search_clients,
@@ -300,6 +307,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "region_match": q_region_match,
     "state_lookup": q_state_lookup,
     "top_inputs_by_month": q_top_inputs_by_month,
+    "top_conversation_inputs_by_month": q_top_conversation_inputs_by_month,
     "top_operations_by_month": q_top_operations_by_month,
     "inputs_pivot": q_inputs_pivot,
     "operations_pivot": q_operations_pivot,

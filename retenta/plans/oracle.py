@@ -712,6 +712,13 @@ def kpi_unparseable_months() -> str:
 SELECT count(CASE WHEN mes IS NULL THEN 1 END) AS filas_descartadas FROM kpi"""
 
 
+def top_conversation_inputs_by_month(k: int) -> str:
+    return f"""WITH {CONVERSATIONS},
+inputs AS (SELECT date AS fecha, input FROM conv),
+{TOP_INPUTS.format(k=k).strip()}
+SELECT strftime(month, '%Y-%m') AS month, input, count FROM top_inputs"""
+
+
 def all_sql() -> dict[str, str]:
     from . import params as P
 
@@ -744,6 +751,7 @@ def all_sql() -> dict[str, str]:
         "region_match": region_match(),
         "state_lookup": state_lookup(),
         "top_inputs_by_month": top_inputs_by_month(P.TOP_PER_MONTH),
+        "top_conversation_inputs_by_month": top_conversation_inputs_by_month(P.TOP_PER_MONTH),
         "top_operations_by_month": top_operations_by_month(P.TOP_PER_MONTH),
         "inputs_pivot": inputs_pivot(P.TOP_PER_MONTH, P.INPUT_VALUES),
         "operations_pivot": operations_pivot(P.TOP_PER_MONTH, P.OPERATION_VALUES),
