@@ -6,7 +6,9 @@ conversation count. New churn depends on the last date of the whole table, so
 it stays a batch job (:func:`retenta.operators.rollups.monthly_kpis`).
 
 The aggregation state lives in the streaming state store under the checkpoint
-location, so a restarted query resumes where it stopped. Calendar months cannot be expressed as a streaming time window, so
+location, so a restarted query resumes where it stopped. The state holds one
+row per calendar month, so it stays small without a watermark; a watermark
+would drop rows that arrive late, and the totals must keep every row. Calendar months cannot be expressed as a streaming time window, so
 the query runs in update mode and ``foreachBatch`` appends the months a batch
 changed, tagged with the batch id, to a versions table. A replayed batch writes
 identical rows under the same id, so readers stay correct (exactly-once
