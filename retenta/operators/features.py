@@ -106,10 +106,13 @@ def feature_table(
     operation_values: Sequence[str],
     label_col: str | None = "UsuarioChurn",
 ) -> DataFrame:
-    """Client columns, product flags (``producto_*``), operation flags (``operacion_*``),
-    monto_promedio / monto_min / monto_max / dias_sin_tx, and the modes ``canal_moda`` (operation
-    type), ``categoria_mcc_moda`` (product) and ``input`` (conversation input).
-    Clients without rows in a source get false flags and null statistics.
+    """One row per client.
+
+    Client columns, product flags (``producto_*``), operation flags
+    (``operacion_*``), monto_promedio / monto_min / monto_max / dias_sin_tx, and
+    the modes ``canal_moda`` (operation type), ``categoria_mcc_moda`` (product)
+    and ``input`` (conversation input). Clients without rows in a source get
+    false flags and null statistics.
     """
     base = clients.select(*CLIENT_COLUMNS, *([label_col] if label_col else []))
     pieces = [
