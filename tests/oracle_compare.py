@@ -50,6 +50,14 @@ def _rows(pdf: pd.DataFrame) -> list[tuple]:
     return sorted(out, key=lambda r: tuple((x is None, str(type(x)), x if x is not None else 0) for x in r))
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
+def types_match(spark_df, con, sql: str) -> bool:
+    duck_types = {r[0]: r[1] for r in con.execute(f"DESCRIBE ({sql})").fetchall()}
+    return all(SPARK_TO_DUCK.get(t, t) == duck_types.get(c) for c, t in spark_df.dtypes)
+
+
 def compare(spark_df, con, sql: str) -> dict:
     s = spark_df.toPandas()
     d = con.execute(sql).fetchdf()
@@ -57,6 +65,7 @@ def compare(spark_df, con, sql: str) -> dict:
         "rows_spark": len(s),
         "rows_oracle": len(d),
         "columns_match": sorted(s.columns) == sorted(d.columns),
+        "types_match": types_match(spark_df, con, sql),
     }
     if not res["columns_match"]:
         res["columns"] = (sorted(s.columns), sorted(d.columns))
