@@ -22,6 +22,13 @@ from ..sources import fixtures as fx
 from ..streaming import monthly_rollup
 
 TS_TEXT = "yyyy-MM-dd HH:mm:ss"
+# Integer columns that can hold nulls are handed over as double: the pandas
+# views of a Spark and a DuckDB result then agree (float with NaN on both sides).
+NULLABLE_COUNTS = ["dias_desde_ultimo_login", "total_tx", "dias_sin_tx"]
+
+
+def nullable_counts_as_double(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("double") for c in NULLABLE_COUNTS if c in df.columns})
 
 SCORED_COLUMNS = [
     "user_id", "estado", "ciudad", "edad", "ingreso_mensual_mxn", "dias_desde_ultimo_login",
@@ -37,7 +44,7 @@ def scored_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_churn_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = scored_clients(spark, sf_dir)
-    return df.withColumn("ultima_tx", F.date_format("ultima_tx", TS_TEXT)).select(*SCORED_COLUMNS)
+    return nullable_counts_as_double(df.withColumn("ultima_tx", F.date_format("ultima_tx", TS_TEXT)).select(*SCORED_COLUMNS))
 
 
 def q_search_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,15 +61,15 @@ def scored_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_high_risk_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup.high_risk_page(scored_snapshot(spark, sf_dir), **P.HIGH_RISK_PAGE)
+    return nullable_counts_as_double(lookup.high_risk_page(scored_snapshot(spark, sf_dir), **P.HIGH_RISK_PAGE))
 
 
 def q_high_risk_page_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup.high_risk_page(scored_snapshot(spark, sf_dir), **P.HIGH_RISK_PAGE_STATE)
+    return nullable_counts_as_double(lookup.high_risk_page(scored_snapshot(spark, sf_dir), **P.HIGH_RISK_PAGE_STATE))
 
 
 def q_high_risk_after(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup.high_risk_after(scored_clients(spark, sf_dir), **P.HIGH_RISK_AFTER)
+    return nullable_counts_as_double(lookup.high_risk_after(scored_clients(spark, sf_dir), **P.HIGH_RISK_AFTER))
 
 
 def q_client_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,11 +218,11 @@ def customer_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return customer_features(spark, sf_dir)
+    return nullable_counts_as_double(customer_features(spark, sf_dir))
 
 
 def q_aligned_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return model.align_features(customer_features(spark, sf_dir), keep=["user_id"])
+    return nullable_counts_as_double(model.align_features(customer_features(spark, sf_dir), keep=["user_id"]))
 
 
 def scored_upload(spark: SparkSession, sf_dir: str) -> DataFrame:

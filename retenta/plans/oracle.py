@@ -98,18 +98,21 @@ def with_ctes(*ctes: str) -> str:
 
 BASE_SCORED = with_ctes(CLIENTS, TRANSACTIONS, TX_SUMMARY, SCORED)
 
-SCORED_COLUMNS = """user_id, estado, ciudad, edad, ingreso_mensual_mxn, dias_desde_ultimo_login,
-  satisfaccion_1_10, num_productos_activos, es_hey_pro, UsuarioChurn, total_tx, monto_total,
-  strftime(ultima_tx, '%Y-%m-%d %H:%M:%S') AS ultima_tx, dias_sin_tx, score_login, score_satisfaccion,
-  score_productos, score_tx, churn_score, riesgo"""
+# integer columns that can hold nulls are handed over as DOUBLE (as the Spark side does)
+SCORED_COLUMNS = """user_id, estado, ciudad, edad, ingreso_mensual_mxn,
+  CAST(dias_desde_ultimo_login AS DOUBLE) AS dias_desde_ultimo_login,
+  satisfaccion_1_10, num_productos_activos, es_hey_pro, UsuarioChurn, CAST(total_tx AS DOUBLE) AS total_tx,
+  monto_total, strftime(ultima_tx, '%Y-%m-%d %H:%M:%S') AS ultima_tx, CAST(dias_sin_tx AS DOUBLE) AS dias_sin_tx,
+  score_login, score_satisfaccion, score_productos, score_tx, churn_score, riesgo"""
 
 
 def churn_scores() -> str:
     return f"{BASE_SCORED}\nSELECT {SCORED_COLUMNS} FROM scored"
 
 
-HIGH_RISK_PAGE_COLUMNS = """user_id, estado, ciudad, churn_score, satisfaccion_1_10, dias_desde_ultimo_login,
-  num_productos_activos, es_hey_pro, ingreso_mensual_mxn, total_tx"""
+HIGH_RISK_PAGE_COLUMNS = """user_id, estado, ciudad, churn_score, satisfaccion_1_10,
+  CAST(dias_desde_ultimo_login AS DOUBLE) AS dias_desde_ultimo_login,
+  num_productos_activos, es_hey_pro, ingreso_mensual_mxn, CAST(total_tx AS DOUBLE) AS total_tx"""
 
 
 def search_clients(q: str = "1.1", limit: int = 20) -> str:
@@ -623,7 +626,9 @@ def _features_base(pv, ov) -> str:
 
 
 def feature_table(pv, ov) -> str:
-    return f"{_features_base(pv, ov)}\nSELECT * FROM features"
+    return f"""{_features_base(pv, ov)}
+SELECT * REPLACE (CAST(dias_desde_ultimo_login AS DOUBLE) AS dias_desde_ultimo_login,
+                  CAST(dias_sin_tx AS DOUBLE) AS dias_sin_tx) FROM features"""
 
 
 def _aligned_cols(have: set[str], table: str = "features") -> list[str]:
@@ -653,7 +658,9 @@ FEATURE_TABLE_COLUMNS = {"user_id", "edad", "estado", "ciudad", "ingreso_mensual
 
 
 def aligned_upload(pv, ov) -> str:
-    return f"{_features_base(pv, ov)}\nSELECT user_id, {', '.join(_aligned_cols(FEATURE_TABLE_COLUMNS))} FROM features"
+    return f"""{_features_base(pv, ov)}
+SELECT * REPLACE (CAST(dias_desde_ultimo_login AS DOUBLE) AS dias_desde_ultimo_login) FROM (
+  SELECT user_id, {', '.join(_aligned_cols(FEATURE_TABLE_COLUMNS))} FROM features) a"""
 
 
 def _scored_upload(pv, ov) -> str:

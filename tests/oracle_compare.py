@@ -58,6 +58,18 @@ def types_match(spark_df, con, sql: str) -> bool:
     return all(SPARK_TO_DUCK.get(t, t) == duck_types.get(c) for c, t in spark_df.dtypes)
 
 
+def strict_match(s: pd.DataFrame, d: pd.DataFrame) -> bool:
+    """Same pandas dtypes and same row hashes after sorting columns by name and rows
+    by value: what a hash over the two pandas views would see, with no normalisation."""
+    cols = sorted(s.columns)
+    s, d = s[cols], d[cols]
+    if [str(s[c].dtype) for c in cols] != [str(d[c].dtype) for c in cols]:
+        return False
+    s = s.sort_values(cols).reset_index(drop=True)
+    d = d.sort_values(cols).reset_index(drop=True)
+    return int(pd.util.hash_pandas_object(s, index=False).sum()) == int(pd.util.hash_pandas_object(d, index=False).sum())
+
+
 def compare(spark_df, con, sql: str) -> dict:
     s = spark_df.toPandas()
     d = con.execute(sql).fetchdf()
@@ -73,6 +85,7 @@ def compare(spark_df, con, sql: str) -> dict:
         return res
     rs, rd = _rows(s), _rows(d)
     res["values_match"] = rs == rd
+    res["strict_match"] = strict_match(s, d)
     if not res["values_match"]:
         diffs = [(a, b) for a, b in zip(rs, rd) if a != b]
         res["first_diffs"] = diffs[:3]

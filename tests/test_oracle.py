@@ -30,6 +30,7 @@ def test_query_matches_oracle(spark, sf_con, name):
     assert res["types_match"], res
     assert res["rows_spark"] == res["rows_oracle"], res
     assert res["values_match"], res
+    assert res["strict_match"], res
 
 
 def test_entry_smoke(spark):
