@@ -248,13 +248,15 @@ def q_batch_report_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_churn_model_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Train the GBT pipeline on the feature table and score it (F7, M2); no SQL twin.
 
-    The feature table is checkpointed once; training and scoring both read it.
+    The feature table is checkpointed once; training, evaluation (area under the
+    ROC curve on the training table, ``auc_entrenamiento``) and scoring read it.
     """
     table = materialize(customer_features(spark, sf_dir), "checkpoint")
     feats = model.table_features(table, exclude=["user_id", "UsuarioChurn"])
     fitted, feats = model.train_churn_model(table, feats, max_iter=P.MODEL_ITERATIONS)
+    auc = model.evaluate_auc(fitted, table, feats)
     scored = model.scored_upload(table, model.ml_scorer(fitted, feats), features=feats)
-    return scored.select("user_id", "prob_churn", "pred_churn")
+    return scored.select("user_id", "prob_churn", "pred_churn", F.lit(auc).alias("auc_entrenamiento"))
 
 
 def q_monthly_rollup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
