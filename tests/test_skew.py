@@ -41,6 +41,7 @@ def test_hot_client_really_holds_a_third(spark, skewed_dir):
 def test_skewed_query_matches_oracle(spark, skewed_dir, name):
     res = compare(entry_mod.queries()[name](spark, skewed_dir), duck(skewed_dir), entry_mod.oracle_sql()[name])
     assert res["columns_match"] and res["rows_spark"] == res["rows_oracle"] and res["values_match"], res
+    assert res["types_match"] and res["strict_match"], res
 
 
 def test_hot_client_page_is_bounded(spark, skewed_dir):
