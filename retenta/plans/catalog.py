@@ -287,6 +287,13 @@ def q_top_conversation_inputs_by_month(spark: SparkSession, sf_dir: str) -> Data
     return out.withColumn("month", F.date_format("month", "yyyy-MM"))
 
 
+def q_conversation_inputs_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Month × conversation input over the top-3 inputs of the conversation table."""
+    conv = fx.conversations(spark, sf_dir).select(F.col("date").alias("fecha"), "input")
+    top = rollups.top_inputs_by_month(conv, P.TOP_PER_MONTH)
+    return monthly.inputs_pivot(top, P.CONVERSATION_INPUT_VALUES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "churn_scores": q_churn_scores,
     "search_clients": q_search_clients,
@@ -319,6 +326,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "top_conversation_inputs_by_month": q_top_conversation_inputs_by_month,
     "top_operations_by_month": q_top_operations_by_month,
     "inputs_pivot": q_inputs_pivot,
+    "conversation_inputs_pivot": q_conversation_inputs_pivot,
     "operations_pivot": q_operations_pivot,
     "retention_actions": q_retention_actions,
     "action_messages": q_action_messages,

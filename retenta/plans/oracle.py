@@ -726,6 +726,16 @@ inputs AS (SELECT date AS fecha, input FROM conv),
 SELECT strftime(month, '%Y-%m') AS month, input, count FROM top_inputs"""
 
 
+def conversation_inputs_pivot(k: int, values: list[str]) -> str:
+    cells = ", ".join(
+        f"CAST(coalesce(sum(CASE WHEN input = '{v}' THEN count END), 0) AS BIGINT) AS \"{v}\"" for v in values)
+    return f"""WITH {CONVERSATIONS},
+inputs AS (SELECT date AS fecha, input FROM conv),
+{TOP_INPUTS.format(k=k).strip()}
+SELECT strftime(month, '%Y-%m') AS mes_clave, {_month_label('month')} AS mes, {cells}
+FROM top_inputs GROUP BY month ORDER BY mes_clave"""
+
+
 def all_sql() -> dict[str, str]:
     from . import params as P
 
@@ -761,6 +771,7 @@ def all_sql() -> dict[str, str]:
         "top_conversation_inputs_by_month": top_conversation_inputs_by_month(P.TOP_PER_MONTH),
         "top_operations_by_month": top_operations_by_month(P.TOP_PER_MONTH),
         "inputs_pivot": inputs_pivot(P.TOP_PER_MONTH, P.INPUT_VALUES),
+        "conversation_inputs_pivot": conversation_inputs_pivot(P.TOP_PER_MONTH, P.CONVERSATION_INPUT_VALUES),
         "operations_pivot": operations_pivot(P.TOP_PER_MONTH, P.OPERATION_VALUES),
         "retention_actions": retention_actions(),
         "action_messages": action_messages(),

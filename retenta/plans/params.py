@@ -18,6 +18,8 @@ GLOBAL_KPI_FIRST_MONTH = "1995-01"   # no previous month: exercises the zero bra
 # priorities (operation types), the pivot columns.
 INPUT_VALUES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 OPERATION_VALUES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+# Fixed values of the fixture domain: event types (conversation inputs).
+CONVERSATION_INPUT_VALUES = ["click", "error", "purchase", "signup", "view"]
 TOP_PER_MONTH = 3
 TOP_PRODUCTS = 8
 SAMPLE_ROWS = 800
