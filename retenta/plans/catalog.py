@@ -2,7 +2,8 @@
 
 Each entry reads the driver tables through :mod:`retenta.sources.fixtures`,
 runs one library operator over the whole tables and projects comparable output
-(timestamps as text, every computed column aliased). The SQL twin of each entry
+(timestamps as text, integer columns that can hold nulls as double, every
+computed column aliased). The SQL twin of each entry
 lives in :mod:`retenta.plans.oracle` under the same name.
 """
 
