@@ -1,9 +1,10 @@
 """Month × category pivots for the dashboard charts.
 
-Pivot values are passed explicitly: the output columns are then fixed, and
-Spark does not run an extra job to collect the distinct values first. The pivot
-is a partial/final aggregate on the month, so its shuffle carries one row per
-month and map task.
+Pivot values are passed explicitly, so the output columns are fixed and each
+cell is one conditional sum (``sum(when(key = value, measure))``) in a single
+grouped aggregate: whole-stage generated code, partial/final on the month, and
+no extra job to collect the distinct values (what ``pivot`` runs without a value
+list, and the interpreted pivot aggregate it finishes with otherwise).
 """
 
 from __future__ import annotations
@@ -30,7 +31,9 @@ def inputs_pivot(top_inputs: DataFrame, values: Sequence[str]) -> DataFrame:
     month itself, so input that is already partitioned by month (the top-k per
     month) is pivoted without another shuffle; the labels are derived after.
     """
-    wide = top_inputs.groupBy("month").pivot("input", list(values)).agg(F.sum("count"))
+    wide = top_inputs.groupBy("month").agg(
+        *[F.sum(F.when(F.col("input") == F.lit(v), F.col("count"))).alias(v) for v in values]
+    )
     return wide.select(
         *_labels(), *[F.coalesce(F.col(f"`{v}`"), F.lit(0)).cast("long").alias(v) for v in values]
     ).orderBy("mes_clave")
@@ -43,8 +46,10 @@ def operations_pivot(top_operations: DataFrame, values: Sequence[str]) -> DataFr
     amount is divided by one million and rounded half-even to 2 decimals.
     Output: mes_clave, mes, one double column per value, total.
     """
-    df = top_operations.withColumn("monto_c", F.col("monto").cast("decimal(18,2)"))
-    wide = df.groupBy("month").pivot("tipo_operacion", list(values)).agg(F.sum("monto_c"))
+    amount = F.col("monto").cast("decimal(18,2)")
+    wide = top_operations.groupBy("month").agg(
+        *[F.sum(F.when(F.col("tipo_operacion") == F.lit(v), amount)).alias(v) for v in values]
+    )
     cells = [F.coalesce(F.col(f"`{v}`"), F.lit(0).cast("decimal(28,2)")) for v in values]
     total = cells[0]
     for c in cells[1:]:
