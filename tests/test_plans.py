@@ -56,3 +56,17 @@ def test_scans_are_pruned(spark):
     # the lineitem scan reads only the columns the product count needs
     assert "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint,l_returnflag:string>" in p
     assert "PushedFilters: [IsNotNull(l_returnflag), EqualTo(l_returnflag,R)" in p
+
+
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if n != "churn_model_predictions"))
+def test_hash_aggregates_run_in_generated_code(spark, name):
+    import re
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        p = plan(QUERIES[name](spark, SF))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    nodes = [re.sub(r"^[\s:|+\-]*", "", line) for line in p.splitlines()]
+    interpreted = [n[:80] for n in nodes if n.startswith("HashAggregate")]
+    assert not interpreted, interpreted
