@@ -256,8 +256,13 @@ def js_round(c: str | Column) -> Column:
 
 
 def money_millions(c: str | Column) -> Column:
-    """``$12.3M``."""
-    return F.format_string("$%.1fM", col_of(c) / F.lit(1_000_000.0))
+    """``$12.3M`` (X18): millions rounded half-even to one decimal, then printed."""
+    return F.format_string("$%.1fM", F.bround(col_of(c) / F.lit(1_000_000.0), 1))
+
+
+def whole_number_text(c: str | Column) -> Column:
+    """``1,234`` (X18): a count with thousands separators."""
+    return F.format_number(col_of(c), 0)
 
 
 def thousands_label(c: str | Column) -> Column:

@@ -60,8 +60,9 @@ def _month_sums(kpi_table: DataFrame, start: _dt.date) -> list:
 def global_kpis(kpi_table: DataFrame, month: str) -> DataFrame:
     """The four KPIs of ``month`` against the month before.
 
-    Output: kpi, valor, previo, porcentaje, es_bueno — one row per KPI. Only rows
-    of the two months are read: the range filter on ``mes`` is pushed to the scan.
+    Output: kpi, valor, previo, porcentaje, es_bueno, valor_texto — one row per
+    KPI. Only rows of the two months are read: the range filter on ``mes`` is
+    pushed to the scan.
     """
     current = parse_month(month)
     previous = add_months(current, -1)
@@ -75,7 +76,10 @@ def global_kpis(kpi_table: DataFrame, month: str) -> DataFrame:
         aggs.append(F.coalesce(cur_sums[i].cast("double"), F.lit(0.0)).alias(f"{name}__valor"))
         aggs.append(F.coalesce(prev_sums[i].cast("double"), F.lit(0.0)).alias(f"{name}__previo"))
     wide = two_months.agg(*aggs)
-    return _long_form(wide, [name for name, _, _ in KPIS])
+    out = _long_form(wide, [name for name, _, _ in KPIS])
+    # display text of the card (X18): the amount in millions, counts with separators
+    text = F.when(F.col("kpi") == F.lit("monto_total"), X.money_millions("valor")).otherwise(X.whole_number_text("valor"))
+    return out.withColumn("valor_texto", text)
 
 
 def _long_form(wide: DataFrame, names: list[str], keep: list[str] | None = None) -> DataFrame:

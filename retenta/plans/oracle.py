@@ -268,8 +268,11 @@ def global_kpis(month: str) -> str:
         sums.append(f"coalesce(CAST(sum(CASE WHEN mes >= {cur} AND mes < {nxt} THEN {val} END) AS DOUBLE), {dbl(0)}) AS {name}__valor")
         sums.append(f"coalesce(CAST(sum(CASE WHEN mes >= {prev} AND mes < {cur} THEN {val} END) AS DOUBLE), {dbl(0)}) AS {name}__previo")
     return f"""{BASE_KPI},
-sums AS (SELECT {', '.join(sums)} FROM kpi WHERE mes >= {prev} AND mes < {nxt})
-{_long('sums')}"""
+sums AS (SELECT {', '.join(sums)} FROM kpi WHERE mes >= {prev} AND mes < {nxt}),
+cards AS ({_long('sums')})
+SELECT *, CASE WHEN kpi = 'monto_total' THEN printf('$%.1fM', round_even(valor / {dbl(1000000)}, 1))
+               ELSE format('{{:,.0f}}', valor) END AS valor_texto
+FROM cards"""
 
 
 def kpi_changes() -> str:
