@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retenta.llm import bpe, license_scan, mixing, secret_scan
+from retenta.llm import bpe, license_scan, mixing, secret_scan, sharding
 from retenta.llm.exact_dedup import DigestIndex
 
 
@@ -21,6 +21,11 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("licenses", F.concat_ws(",", "licenses"))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.shard(documents(spark, sf_dir))
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "linked")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = DigestIndex(spark).add(documents(spark, sf_dir))
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -51,4 +56,4 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[count(k) for k in secret_scan.KINDS[:3]], F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op5_exact_dedup, op6_bpe, op8_mixing, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op4_sharding, op5_exact_dedup, op6_bpe, op8_mixing, op10_secret_scan)}
