@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retenta.llm import bpe, license_scan, mixing, secret_scan, sharding
+from retenta.llm import ann, bpe, license_scan, mixing, secret_scan, sharding, simhash
 from retenta.llm.exact_dedup import DigestIndex
 
 
@@ -43,11 +43,20 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 20 == 0)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix_sizes(documents(spark, sf_dir))
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), "draws")
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.group(documents(spark, sf_dir))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "kept")
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secret_scan.scan(documents(spark, sf_dir), ["doc_id"])
     written = lambda spans: F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["stop"])))
@@ -56,4 +65,4 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[count(k) for k in secret_scan.KINDS[:3]], F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op4_sharding, op5_exact_dedup, op6_bpe, op8_mixing, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op4_sharding, op5_exact_dedup, op6_bpe, op7_ann, op8_mixing, op9_simhash, op10_secret_scan)}
