@@ -211,9 +211,11 @@ def mix_sizes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sourc
     return assign(sizes, planned, F.col("hash"), F.col("key"), seed).drop("hash", "key")
 
 
-def mixed_rows(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The rows of the mix with the columns of ``docs``, repeats as rows of their own, each
-    shard's in the order of their places within a partition."""
-    columns = docs.columns
-    drawn = mixed.withColumn("__draw", F.explode("draws"))
-    return drawn.select(*[F.col(f"`{c}`") for c in columns])
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", shards: int = SHARDS, blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
+    """The rows of the mix with exactly the columns of ``docs``; a row that is taken n times
+    is there n times."""
+    names = docs.columns
+    at = {c: f"c{i}" for i, c in enumerate(names)}
+    rows = docs.select(*[F.col(f"`{c}`").alias(at[c]) for c in names])
+    drawn = mix(rows, at[id_col], at[text], at[source], shards, blocks, seed).withColumn("draw", F.explode("draws"))
+    return drawn.select(*[F.col(at[c]).alias(c) for c in names])

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retenta.llm import ann, bpe, license_scan, lm_scoring, mixing, secret_scan, sharding, simhash
+from retenta.llm import ann, bpe, license_scan, lm_scoring, mixing, quality, secret_scan, sharding, simhash
 from retenta.llm.exact_dedup import DigestIndex
 
 
@@ -26,6 +26,13 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, lang, perplexity, limit, rejected."""
+    docs = documents(spark, sf_dir).select("doc_id", "lang", "text")
+    out = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return out.select("doc_id", "lang", "perplexity", "limit", "rejected")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(documents(spark, sf_dir))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "linked")
@@ -70,4 +77,4 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[count(k) for k in secret_scan.KINDS[:3]], F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_lm_scoring, op4_sharding, op5_exact_dedup, op6_bpe, op7_ann, op8_mixing, op9_simhash, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_lm_scoring, op3_quality, op4_sharding, op5_exact_dedup, op6_bpe, op7_ann, op8_mixing, op9_simhash, op10_secret_scan)}

@@ -67,15 +67,15 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, row, fp): the fingerprint as a signed long."""
-    chosen = docs.select(F.col(id_col).alias("id"), text_of(text).alias("text"))
+    """(id, text_key, fp, row): the fingerprint as a signed long, and a hash of the text."""
+    chosen = docs.select(F.col(id_col).alias("id"), text_of(text).alias("text"), F.xxhash64(text_of(text)).alias("text_key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(x, shingle) for x in batch.column("text").to_pylist()], "<u8").view("<i8")
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fps)], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_key"), pa.array(fps)], ["id", "text_key", "fp"])
 
-    out = chosen.mapInArrow(run, T.StructType([chosen.schema["id"], T.StructField("fp", T.LongType())]))
+    out = chosen.mapInArrow(run, T.StructType([chosen.schema["id"], T.StructField("text_key", T.LongType()), T.StructField("fp", T.LongType())]))
     return out.withColumn("row", F.monotonically_increasing_id())
 
 
@@ -184,8 +184,8 @@ def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def group(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """For each row: ``id_col``, fp (signed long), component_id (the smallest id of the
-    group) and kept (true for one row of each group, one of that id)."""
+    """For each row: ``id_col``, text_key, fp (signed long), component_id (the smallest id of
+    the group) and kept (true for one row of each group, one of that id)."""
     rows = staged(fingerprints(docs, id_col, text, shingle), "simhash-rows")
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("row").alias("row")))
     classes = staged(rows.groupBy("fp").agg(first.alias("first"), F.count(F.lit(1)).alias("n")), "simhash-classes")
@@ -196,17 +196,18 @@ def group(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle:
     out = attach(rows, facts, "fp", F.col("row"))
     return out.select(
         F.col("id").alias(id_col),
+        "text_key",
         "fp",
         F.when(F.col("best").isNull(), F.col("id")).otherwise(F.col("best.id")).alias("component_id"),
         F.when(F.col("best").isNull(), True).otherwise(F.col("best.row") == F.col("row")).alias("kept"),
     )
 
 
-def kept_rows(docs: DataFrame, grouped: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+def kept_rows(docs: DataFrame, grouped: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``group`` kept, with their own columns; rows of equal id
     and text count as one."""
     columns = docs.columns
     none = F.lit(-(2**63)).cast("long")
-    keys = grouped.filter("kept").select(F.coalesce(F.col(id_col).cast("long"), none).alias("__id")).distinct()
-    marked = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), none), "__text": F.xxhash64(F.lit(5), text_of(text))})
-    return marked.join(keys, "__id").dropDuplicates(["__id", "__text"]).select(*[F.col(f"`{c}`") for c in columns])
+    keys = grouped.filter("kept").select(F.coalesce(F.col(id_col).cast("long"), none).alias("__id"), F.col("text_key").alias("__text")).distinct()
+    marked = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), none), "__text": F.xxhash64(text_of(text))})
+    return marked.join(keys, ["__id", "__text"]).dropDuplicates(["__id", "__text"]).select(*[F.col(f"`{c}`") for c in columns])
