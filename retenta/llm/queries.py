@@ -29,7 +29,7 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, lang, perplexity, limit, rejected."""
     docs = documents(spark, sf_dir).select("doc_id", "lang", "text")
-    out = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    out = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=["doc_id", "lang"])
     return out.select("doc_id", "lang", "perplexity", "limit", "rejected")
 
 
