@@ -37,7 +37,7 @@ PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}
 STRETCHES = re.compile(" *[^ ]+| +")
 
 #: stretches and pieces that a worker remembers before it starts anew
-REMEMBERED = 250_000
+REMEMBERED = 100_000
 ROWS_AT_ONCE = 256
 
 #: bytes from which a piece is merged alone, with a queue
