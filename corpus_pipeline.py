@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retenta.llm import bpe, exact_dedup, mixing, quality, simhash
-from retenta.llm.staging import staged
+from retenta.llm.staging import staged, text_of
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +42,10 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, n_tokens, ids (little-endian 32-bit) and whether decoding them
     gives the text back."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    encoded = bpe.encode(docs, path, ["doc_id", "source", "lang", "text"])
-    out = bpe.decode(encoded, path, ["doc_id", "source", "lang", "text", "ids"])
-    same = F.col("decoded") == F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select("doc_id", "source", "lang", "text", F.xxhash64(text_of("text")).alias("text_key"))
+    encoded = bpe.encode(rows, path, ["doc_id", "source", "lang", "text_key"])
+    out = bpe.decode(encoded, path, ["doc_id", "source", "lang", "text_key", "ids"])
+    same = F.xxhash64("decoded") == F.col("text_key")
     return out.select("doc_id", "source", "lang", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 
 
