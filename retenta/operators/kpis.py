@@ -95,8 +95,10 @@ def _long_form(wide: DataFrame, names: list[str], keep: list[str] | None = None)
 
 
 def monthly_totals(kpi_table: DataFrame) -> DataFrame:
-    """KPI sums per calendar month (mes as month-start date)."""
-    return kpi_table.groupBy(X.month_start("mes").alias("mes")).agg(
+    """KPI sums per calendar month (mes as month-start date); rows without a readable
+    month belong to none and are left out (S6)."""
+    dated = kpi_table.withColumn("mes", X.month_start("mes")).filter(F.col("mes").isNotNull())
+    return dated.groupBy("mes").agg(
         *[
             (X.money_sum(src) if src == "monto_total" else F.sum(src).cast("double")).alias(name)
             for name, src, _ in KPIS

@@ -471,6 +471,8 @@ def _month_label(d: str) -> str:
 def inputs_pivot(k: int, values: list[str]) -> str:
     cells = ", ".join(
         f"CAST(coalesce(sum(CASE WHEN input = '{v}' THEN count END), 0) AS BIGINT) AS \"{v}\"" for v in values)
+    listed = ", ".join(f"'{v}'" for v in values)
+    cells += f", CAST(coalesce(sum(CASE WHEN input IN ({listed}) THEN 0 ELSE count END), 0) AS BIGINT) AS otros"
     return f"""{with_ctes(INPUTS, TOP_INPUTS.format(k=k))}
 SELECT strftime(month, '%Y-%m') AS mes_clave, {_month_label('month')} AS mes, {cells}
 FROM top_inputs GROUP BY month ORDER BY mes_clave"""
@@ -479,7 +481,11 @@ FROM top_inputs GROUP BY month ORDER BY mes_clave"""
 def operations_pivot(k: int, values: list[str]) -> str:
     sums = [f"coalesce(sum(CASE WHEN tipo_operacion = '{v}' THEN CAST(monto AS DECIMAL(18,2)) END), 0)" for v in values]
     cells = ", ".join(f"round_even(CAST({c} AS DOUBLE) / {dbl(1000000)}, 2) AS \"{v}\"" for c, v in zip(sums, values))
-    total = " + ".join(sums)
+    listed = ", ".join(f"'{v}'" for v in values)
+    amount = "CAST(monto AS DECIMAL(18,2))"
+    others = f"coalesce(sum(CASE WHEN tipo_operacion IN ({listed}) THEN 0 ELSE {amount} END), 0)"
+    cells += f", round_even(CAST({others} AS DOUBLE) / {dbl(1000000)}, 2) AS otros"
+    total = f"coalesce(sum({amount}), 0)"
     return f"""{with_ctes(TRANSACTIONS, TOP_OPS.format(k=k))}
 SELECT strftime(month, '%Y-%m') AS mes_clave, {_month_label('month')} AS mes, {cells},
        round_even(CAST({total} AS DOUBLE) / {dbl(1000000)}, 2) AS total
@@ -732,6 +738,8 @@ SELECT strftime(month, '%Y-%m') AS month, input, count FROM top_inputs"""
 def conversation_inputs_pivot(k: int, values: list[str]) -> str:
     cells = ", ".join(
         f"CAST(coalesce(sum(CASE WHEN input = '{v}' THEN count END), 0) AS BIGINT) AS \"{v}\"" for v in values)
+    listed = ", ".join(f"'{v}'" for v in values)
+    cells += f", CAST(coalesce(sum(CASE WHEN input IN ({listed}) THEN 0 ELSE count END), 0) AS BIGINT) AS otros"
     return f"""WITH {CONVERSATIONS},
 inputs AS (SELECT date AS fecha, input FROM conv),
 {TOP_INPUTS.format(k=k).strip()}

@@ -50,12 +50,14 @@ def build_session(
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    Only when the session leaves it unset (local tests) a fresh folder under the
-    system temp directory is used; a cluster always names a shared one.
+    Only when a local session leaves it unset (tests, bench) a fresh folder under the
+    system temp directory is used; a cluster must name a shared one.
     """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="retenta-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(root)

@@ -168,12 +168,17 @@ def test_pivots(spark):
         [(m(2025, 1), "a", 3), (m(2025, 1), "b", 1), (m(2024, 12), "b", 2)], "month date, input string, count long"
     )
     out = [tuple(r) for r in monthly.inputs_pivot(top, ["a", "b", "c"]).collect()]
-    assert out == [("2024-12", "Dic 2024", 0, 2, 0), ("2025-01", "Ene 2025", 3, 1, 0)]
+    assert out == [("2024-12", "Dic 2024", 0, 2, 0, 0), ("2025-01", "Ene 2025", 3, 1, 0, 0)]
+    assert [tuple(r) for r in monthly.inputs_pivot(top, ["a"]).collect()] == [("2024-12", "Dic 2024", 0, 2), ("2025-01", "Ene 2025", 3, 1)]
+    assert monthly.inputs_pivot(top).columns == ["mes_clave", "mes", "a", "b", "otros"]
     ops = spark.createDataFrame(
         [(m(2025, 1), "x", 1_234_567.0), (m(2025, 1), "y", 2_000_000.0)], "month date, tipo_operacion string, monto double"
     )
     r = monthly.operations_pivot(ops, ["x", "y", "z"]).first()
-    assert (r.x, r.y, r.z, r.total) == (1.23, 2.0, 0.0, 3.23)
+    assert (r.x, r.y, r.z, r.otros, r.total) == (1.23, 2.0, 0.0, 0.0, 3.23)
+    r = monthly.operations_pivot(ops, ["x"]).first()  # an unlisted value stays in the total
+    assert (r.x, r.otros, r.total) == (1.23, 2.0, 3.23)
+    assert monthly.operations_pivot(ops).columns == ["mes_clave", "mes", "x", "y", "otros", "total"]
 
 
 def test_income_sample_and_split(spark):
