@@ -90,7 +90,9 @@ PUNCTUATION = r"[^\p{L}\p{N}]+"
 
 def canonical(text: Column) -> Column:
     """The form whose digest identifies a licence text."""
-    out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " ")
+    low = F.lower(text)
+    named = low.contains("copyright") | low.contains("©") | low.contains("(c)") | low.contains("all rights reserved")
+    out = F.when(named, F.regexp_replace(low, COPYRIGHT_LINE, " ")).otherwise(low)  # others have no such line
     out = F.concat(F.lit(" "), F.regexp_replace(out, PUNCTUATION, " "), F.lit(" "))
     for other, one in SPELLINGS:
         out = F.replace(out, F.lit(other), F.lit(one))
