@@ -13,11 +13,19 @@ empty table gives an empty table; other columns are dropped unless named in ``ke
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from retenta.llm.staging import text_of
 
+ROWS_AT_ONCE = 64
+
 # Spellings that count as the same word (the first becomes the second).
 SPELLINGS = [
     ("licenc", "licens"),
@@ -83,44 +91,75 @@ KNOWN = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 
-#: a line that names a copyright holder or claims all rights
-COPYRIGHT_LINE = r"(?m)^[^\n]*(copyright|©|\(c\))[^\n]*[0-9]{4}[^\n]*$|^[\x20\t]*all rights reserved[.]?[\x20\t]*$"
-PUNCTUATION = r"[^\p{L}\p{N}]+"
+MARKS = ("copyright", "©", "(c)")
+YEAR = re.compile("[0-9]{4}")
+ALL_RIGHTS = re.compile(r"[\x20\t]*all rights reserved[.]?[\x20\t]*")
+#: what is neither letter nor digit, but for line ends
+PUNCTUATION = re.compile(r"[^\w\n]+")
+
 
+def is_copyright_line(line: str) -> bool:
+    """Whether a lower-case line names a copyright holder with a year or claims all rights."""
+    first = min((at for mark in MARKS if (at := line.find(mark)) >= 0), default=-1)
+    return (first >= 0 and YEAR.search(line, first) is not None) or ALL_RIGHTS.fullmatch(line) is not None
 
-def canonical(text: Column) -> Column:
-    """The form whose digest identifies a licence text."""
-    low = F.lower(text)
-    named = low.contains("copyright") | low.contains("©") | low.contains("(c)") | low.contains("all rights reserved")
-    out = F.when(named, F.regexp_replace(low, COPYRIGHT_LINE, " ")).otherwise(low)  # others have no such line
-    out = F.concat(F.lit(" "), F.regexp_replace(out, PUNCTUATION, " "), F.lit(" "))
+
+def spelled(form: str) -> str:
     for other, one in SPELLINGS:
-        out = F.replace(out, F.lit(other), F.lit(one))
-    return F.trim(F.regexp_replace(out, " +", " "))
+        form = form.replace(other, one)
+    return form
+
 
+def canonical(text: str) -> tuple[str, list[str]]:
+    """The forms whose digests identify a licence: of the entire text and of each line. Both
+    take the same steps; a spelling of two words may run over a line's end in the former."""
+    low = text.lower()
+    if any(x in low for x in (*MARKS, "all rights reserved")):
+        low = "\n".join("" if is_copyright_line(x) else x for x in low.split("\n"))
+    plain = PUNCTUATION.sub(" ", low.replace("_", " "))
+    whole = " ".join(spelled(f" {' '.join(plain.split())} ").split())
+    lines = spelled(f" {plain} ".replace("\n", " \n ")).split("\n")
+    return whole, [" ".join(x.split()) for x in lines]
 
-def digest(text: Column) -> Column:
-    """SHA-256 of the canonical form; null where nothing is left of the text."""
-    form = canonical(text)
-    return F.when(form != "", F.sha2(form, 256))
+
+def digest(form: str) -> bytes | None:
+    """SHA-256 of a canonical form; null where nothing is left of the text."""
+    return hashlib.sha256(form.encode()).digest() if form else None
 
 
 def known_digests(spark, known: list[tuple[str, str]] | None = None) -> DataFrame:
     """(digest, license), a row a digest, of a fixed list of texts."""
-    rows = spark.createDataFrame(known or KNOWN, "license string, body string")
-    return rows.select(digest(F.col("body")).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
+    rows = [(bytearray(d), name) for name, body in known or KNOWN if (d := digest(canonical(body)[0]))]
+    return spark.createDataFrame(rows, "digest binary, license string").groupBy("digest").agg(F.min("license").alias("license"))
+
+
+def digests(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """``keep`` columns and ``__digests``: of the entire text, then of each line."""
+    chosen = docs.select(*[F.col(c) for c in keep], text_of(text).alias("__text"))
+    schema = T.StructType([*[f for f in chosen.schema.fields if f.name != "__text"], T.StructField("__digests", T.ArrayType(T.BinaryType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                found = []
+                for value in part.column("__text"):
+                    whole, lines = canonical(value.as_py())
+                    found.append([digest(whole), *map(digest, lines)])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(found, pa.list_(pa.binary()))], [*keep, "__digests"])
+
+    return chosen.mapInArrow(run, schema)
 
 
 def scan(docs: DataFrame, known: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """For each row its ``keep`` columns, ``whole_license`` (the licence that the entire text
     is, or null), ``licenses`` (those of its lines, sorted, each once) and ``n_lines`` (how
     many lines are a licence's text)."""
-    units = F.concat(F.array(text_of("__text")), F.split(text_of("__text"), "\n"))
-    rows = docs.select(F.monotonically_increasing_id().alias("__row"), *[F.col(c) for c in keep], F.col(text).alias("__text"))
+    rows = digests(docs, keep, text).withColumn("__row", F.monotonically_increasing_id())
     found = (
-        rows.select("__row", *keep, F.posexplode(units).alias("__unit", "__body"))
-        .select("__row", *keep, "__unit", digest(F.col("__body")).alias("__digest"))
+        rows.select("__row", *keep, F.posexplode("__digests").alias("__unit", "__digest"))
         .join(F.broadcast(known.select(F.col("digest").alias("__digest"), F.col("license").alias("__license"))), "__digest", "left")
+        .filter("__unit = 0 OR __license IS NOT NULL")  # a row keeps its first unit; lines without a licence end here
     )
     in_line = (F.col("__unit") > 0) & F.col("__license").isNotNull()
     return (
