@@ -267,3 +267,23 @@ def decode(encoded: DataFrame, vocabulary_file: str, keep: list[str], ids: str =
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], texts], [*keep, "decoded"])
 
     return chosen.mapInArrow(run, T.StructType([*kept, T.StructField("decoded", T.StringType())]))
+
+
+def round_trip(docs: DataFrame, vocabulary_file: str, keep: list[str], text: str = "text") -> DataFrame:
+    """``keep`` columns, ``ids`` as of :func:`encode` and ``decoded``, the text that these ids
+    give: both in one pass of a worker, which holds one vocabulary for the two."""
+    with open(vocabulary_file, "rb") as f:
+        source = docs.sparkSession.sparkContext.broadcast(f.read())
+    chosen, kept = _with_columns(docs, keep, text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = vocabulary_of(source.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                ids = vocabulary.encode_batch(part.column("__text").to_pylist())
+                out = [pa.array(ids, pa.binary()), pa.array([vocabulary.decode(x) for x in ids], pa.string())]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], *out], [*keep, "ids", "decoded"])
+
+    added = [T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]
+    return chosen.mapInArrow(run, T.StructType([*kept.fields, *added]))

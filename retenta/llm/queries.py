@@ -45,8 +45,7 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    encoded = bpe.encode(documents(spark, sf_dir), path, ["doc_id"])
-    out = bpe.decode(encoded, path, ["doc_id", "ids"])
+    out = bpe.round_trip(documents(spark, sf_dir), path, ["doc_id"])
     return out.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
