@@ -43,8 +43,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gives the text back."""
     path = public_tokenizers.path("byte_bpe_50k.json")
     rows = docs.select("doc_id", "source", "lang", "text", F.xxhash64(text_of("text")).alias("text_key"))
-    encoded = bpe.encode(rows, path, ["doc_id", "source", "lang", "text_key"])
-    out = bpe.decode(encoded, path, ["doc_id", "source", "lang", "text_key", "ids"])
+    out = bpe.round_trip(rows, path, ["doc_id", "source", "lang", "text_key"])
     same = F.xxhash64("decoded") == F.col("text_key")
     return out.select("doc_id", "source", "lang", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 
