@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 
+# The columns of the search and page results, in output order.
 SEARCH_COLUMNS = ["user_id", "estado", "ciudad", "churn_score", "riesgo", "satisfaccion_1_10", "es_hey_pro"]
 PAGE_COLUMNS = [
     "user_id", "estado", "ciudad", "churn_score", "satisfaccion_1_10", "dias_desde_ultimo_login",
@@ -237,17 +238,30 @@ def client_conversations(conversations: DataFrame, user_id) -> DataFrame:
     )
 
 
+def with_client_totals(rows: DataFrame, salts: int = SALT_BUCKETS) -> DataFrame:
+    """``rows`` with ``total``, how many of them their client has.
+
+    Rows are counted by (client, salt), the salt being a hash of the row, and joined on
+    both: a client that owns a third of the table is spread over ``salts`` join tasks.
+    The counts hold only the pairs that occur, so few-row clients cost nothing extra.
+    """
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(salts)).cast("int"))
+    parts = dealt.groupBy("user_id", "_salt").agg(F.count(F.lit(1)).alias("n"))
+    totals = parts.groupBy("user_id").agg(F.sum("n").alias("total"))
+    spread = parts.select("user_id", "_salt").join(totals, "user_id")
+    return dealt.join(spread, ["user_id", "_salt"]).drop("_salt")
+
+
 def conversation_histories(conversations: DataFrame) -> DataFrame:
     """Every client's conversations with the client's total, newest first per client (L4).
 
-    The per-client totals come from a partial/final aggregate; the global sort on
+    The per-client totals are joined by :func:`with_client_totals`; the global sort on
     (user_id, date desc) range-partitions on both keys, so one busy client's
     history is spread over several sort tasks instead of landing in one.
     """
     keyed = conversations.filter(F.col("user_id").isNotNull())
-    totals = keyed.groupBy("user_id").agg(F.count(F.lit(1)).alias("total"))
     return (
-        keyed.join(totals, "user_id")
+        with_client_totals(keyed)
         .orderBy(
             F.col("user_id").asc(),
             F.col("date").desc(),

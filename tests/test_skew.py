@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_mod
+from retenta.operators import lookup
 from oracle_compare import compare, duck
 
 SRC = "/root/testdata/sf0.01"
@@ -59,3 +60,26 @@ def test_deep_client_page_is_exact_under_skew(spark, skewed_dir):
     assert "_salt" in plan
     res = compare(df, duck(skewed_dir), oracle.transaction_pages(60, 20))
     assert res["values_match"] and res["rows_spark"] == 20, res
+
+
+def test_hot_client_is_spread_over_join_tasks(spark):
+    rows = spark.range(30_000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise(F.col("id")).alias("user_id"), F.col("id").alias("event_id")
+    )
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for k, v in zip(before, ("-1", "false")):
+            spark.conf.set(k, v)
+        tasks = (
+            lookup.with_client_totals(rows)
+            .filter("user_id = 1")
+            .groupBy(F.spark_partition_id().alias("task"))
+            .agg(F.count(F.lit(1)).alias("n"), F.min("total").alias("low"), F.max("total").alias("high"))
+            .collect()
+        )
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    hot = sum(r["n"] for r in tasks)
+    assert {(r["low"], r["high"]) for r in tasks} == {(hot, hot)} and hot >= 10_000
+    assert len(tasks) > 1 and max(r["n"] for r in tasks) < hot * 0.6
