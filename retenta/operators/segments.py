@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..sources.readers import find_column
-from .guards import checked_broadcast
 
 # Output labels of the churn totals, in output order.
 STATUS_CHURN = "Churn"
@@ -18,13 +17,9 @@ STATUS_NO_CHURN = "No Churn"
 PRODUCT_NAME_HINTS = ["producto", "nombre", "name"]
 PRODUCT_USE_HINTS = ["uso", "count", "total", "cantidad"]
 PRODUCT_CHURN_HINTS = ["churn"]
-# Largest map layer / state list the fuzzy matcher broadcasts.
-MAX_REGIONS = 10_000
 # Region aliases (data name fragment, map name test).
 CAPITAL_DATA = "cdmx"
 CAPITAL_MAP = ["distrito", "ciudad de"]
-STATE_OF_MEXICO_DATA = "estado de méxico"
-STATE_OF_MEXICO_MAP = "méxico"
 
 
 def churn_totals_from_counts(
@@ -213,32 +208,51 @@ def lookup_states(map_names: DataFrame, states: DataFrame, order_col: str = "ord
     return map_names.join(latest, map_names["map_name"] == latest["nombre"], "left").drop("nombre")
 
 
+def _substrings(name):
+    """All substrings of a short name, the empty one too."""
+    size = F.length(name)
+    some = F.flatten(
+        F.transform(
+            F.sequence(F.lit(1), size),
+            lambda i: F.transform(F.sequence(i, size), lambda j: F.substring(name, i, j - i + F.lit(1))),
+        )
+    )
+    none = F.array(F.lit(""))
+    return F.when(size > 0, F.array_distinct(F.concat(none, some))).when(size == 0, none)
+
+
 def region_match(map_names: DataFrame, states: DataFrame, order_col: str = "nombre") -> DataFrame:
     """Fuzzy match of map regions to state rows.
 
     A state row matches a map name (both lower-cased) when the state holds
     ``cdmx`` and the map name ``distrito`` or ``ciudad de``; when the state holds
-    ``estado de méxico`` and the map name is exactly ``méxico``; or when either
-    name contains the other. The first matching state in ``order_col`` order
-    wins. Both sides are distinct names (a map layer and a grouped state table);
-    the state side is counted before it is broadcast (at most ``MAX_REGIONS``
-    rows), so the non-equi join is a broadcast nested loop over a bounded side.
+    ``estado de méxico`` and the map name is exactly ``méxico`` (then it holds the
+    map name); or when either name contains the other. The first matching state
+    in ``order_col`` order wins; a map row without a name or a match keeps nulls.
+
+    Each rule is an equality of keys: a state's substrings with the whole map name, the
+    whole state name with the map name's substrings, one key for the capital. The first
+    state of each key is found before the join, so a key has one row on that side and
+    neither list has to be small; the names themselves are short.
 
     Output: map_order, map_name, nombre, clientes, churn_pct, nivel.
     """
-    m = F.lower(F.col("map_name"))
-    d = F.lower(F.col("nombre"))
-    capital = F.contains(d, F.lit(CAPITAL_DATA)) & (
-        F.contains(m, F.lit(CAPITAL_MAP[0])) | F.contains(m, F.lit(CAPITAL_MAP[1]))
+    m, d = F.lower(F.col("map_name")), F.lower(F.col("nombre"))
+    tagged = lambda tag, names: F.transform(names, lambda x: F.concat(F.lit(tag), x))
+    alias = lambda hit: F.when(hit, F.array(F.lit("capital"))).otherwise(F.array().cast("array<string>"))
+    state_keys = F.concat(
+        tagged("held:", _substrings(d)), tagged("whole:", F.array(d)), alias(F.contains(d, F.lit(CAPITAL_DATA)))
     )
-    state_of_mexico = F.contains(d, F.lit(STATE_OF_MEXICO_DATA)) & (m == F.lit(STATE_OF_MEXICO_MAP))
-    either = F.contains(d, m) | F.contains(m, d)
-    cond = F.coalesce(capital | state_of_mexico | either, F.lit(False))
-    st = states.select("nombre", "clientes", "churn_pct", F.col(order_col).alias("_ord"))
-    pairs = map_names.join(checked_broadcast(st, MAX_REGIONS, "state list"), cond, "left")
-    w = Window.partitionBy("map_order", "map_name").orderBy(F.col("_ord").asc_nulls_last(), F.col("nombre").asc())
-    return (
-        pairs.withColumn("_rn", F.row_number().over(w))
-        .filter(F.col("_rn") == 1)
-        .select("map_order", "map_name", "nombre", "clientes", "churn_pct", X.shade_level("churn_pct").alias("nivel"))
+    map_keys = F.concat(
+        tagged("held:", F.array(m)),
+        tagged("whole:", _substrings(m)),
+        alias(F.contains(m, F.lit(CAPITAL_MAP[0])) | F.contains(m, F.lit(CAPITAL_MAP[1]))),
+    )
+    order = F.col(order_col)
+    row = F.struct(order.isNull().alias("last"), order.alias("ord"), "nombre", "clientes", "churn_pct")
+    by_key = states.select(row.alias("state"), F.explode(state_keys).alias("key")).groupBy("key").agg(F.min("state").alias("state"))
+    asked = map_names.select("map_order", "map_name", F.explode_outer(map_keys).alias("key"))
+    first = asked.join(by_key, "key", "left").groupBy("map_order", "map_name").agg(F.min("state").alias("state"))
+    return first.select(
+        "map_order", "map_name", "state.nombre", "state.clientes", "state.churn_pct", X.shade_level("state.churn_pct").alias("nivel")
     )

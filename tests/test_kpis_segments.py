@@ -201,16 +201,11 @@ def test_top_n_by_partition_groups_is_exact(spark):
     assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
 
 
-def test_region_match_refuses_an_unbounded_state_list(spark, monkeypatch):
-    from retenta.operators import guards
-
-    states = spark.createDataFrame([(f"S{i}", i, 1.0) for i in range(5)], "nombre string, clientes long, churn_pct double")
-    layer = spark.createDataFrame([(1, "s1")], "map_order long, map_name string")
-    monkeypatch.setattr(segments, "MAX_REGIONS", 3)
-    with pytest.raises(guards.TooLargeToBroadcast):
-        segments.region_match(layer, states)
-    monkeypatch.setattr(segments, "MAX_REGIONS", 5)
-    assert segments.region_match(layer, states).count() == 1
+def test_region_match_has_no_limit_on_the_state_list(spark):
+    states = spark.range(20_000).selectExpr("concat('S', id) AS nombre", "id AS clientes", "1.0D AS churn_pct")
+    layer = spark.createDataFrame([(1, "s19999"), (2, "zona s7"), (3, None), (4, "x"), (5, "S")], "map_order long, map_name string")
+    out = {r.map_order: r.nombre for r in segments.region_match(layer, states).collect()}
+    assert out == {1: "S1", 2: "S7", 3: None, 4: None, 5: "S0"}
 
 
 @pytest.mark.parametrize("kind", ["timestamp_ntz", "string"])
