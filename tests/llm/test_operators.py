@@ -300,6 +300,30 @@ def test_licences(spark):
     assert out == {1: (None, ["MIT"], 1), 2: ("Apache-2.0", ["Apache-2.0"], 1), 3: (None, [], 0), 4: (None, [], 0), 5: ("MIT", ["MIT"], 1)}
 
 
+def test_licence_forms():
+    form = license_scan.canonical
+    assert form("") == ("", [""]) and license_scan.digest("") is None
+    assert form("A sub\nlicence_B") == ("a sublicense b", ["a sub", "license b"])  # a spelling may run over lines in the whole only
+    assert form("x\n\u00a9 Me 2020\nAll rights reserved. \ny") == ("x y", ["x", "", "", "y"])
+    assert form("2020 (c) me") == ("2020 c me", ["2020 c me"])  # a year before the mark only
+    long = "(c) " * 100_000
+    assert form(long)[0] == ("c " * 100_000).strip()
+
+
+def test_licences_of_repeated_rows_and_no_rows(spark):
+    rows = spark.createDataFrame([(1, "SPDX-License-Identifier: MIT", 7)] * 300 + [(None, None, 1)], "doc_id long, text string, license int")
+    out = [tuple(r) for r in license_scan.scan(rows, license_scan.known_digests(spark), ["doc_id", "license"]).collect()]
+    assert sorted(out, key=str) == sorted([(1, 7, "MIT", ["MIT"], 1)] * 300 + [(None, 1, None, [], 0)], key=str)
+    assert license_scan.scan(rows.limit(0), license_scan.known_digests(spark), ["doc_id"]).count() == 0
+
+
+def test_bpe_round_trip_equals_encode_and_decode(docs):
+    whole = {r["doc_id"]: (r["ids"], r["decoded"]) for r in bpe.round_trip(docs, PATH, ["doc_id"]).collect()}
+    apart = bpe.decode(bpe.encode(docs, PATH, ["doc_id"]), PATH, ["doc_id", "ids"]).collect()
+    assert whole == {r["doc_id"]: (r["ids"], r["decoded"]) for r in apart}
+    assert bpe.round_trip(docs.limit(0), PATH, ["doc_id"]).count() == 0
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(3, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
