@@ -2,11 +2,10 @@
 
 import pytest
 
-import __spark_entry__ as entry_mod
+from retenta.plans.catalog import QUERIES
 from retenta.operators import kpis
 
 SF = "/root/testdata/sf0.01"
-QUERIES = entry_mod.queries()
 
 
 def plan(df) -> str:
