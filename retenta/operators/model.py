@@ -7,7 +7,7 @@ A scorer is a function ``DataFrame -> DataFrame`` that adds a ``proba`` column
 * :func:`rule_scorer` - the weighted churn score divided by 100; pure Column
   arithmetic, deterministic, so reports built on it can be checked in SQL;
 * :func:`ml_scorer` - a Spark ML ``PipelineModel`` trained by
-  :func:`train_churn_model` (StringIndexer → VectorAssembler → GBTClassifier);
+  :func:`train_churn_model` (FeatureHasher → VectorAssembler → GBTClassifier);
   scoring runs ``transform`` on the executors, partition by partition.
 """
 
@@ -18,9 +18,9 @@ from collections.abc import Callable, Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import FeatureHasher, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,6 +77,8 @@ FEATURES = [
 # Imputation for a feature missing from the input, and report defaults.
 MISSING_CATEGORY = "SIN REGISTRO"
 UNKNOWN_CITY = "Desconocida"
+HASH_WIDTH = 256            # 0/1 features that the categories are hashed to
+HELD_OUT_SIXTEENTHS = 4     # sixteenths of the clients that the model is measured on
 FALLBACK_ID_PREFIX = "N-"
 SPARK_TYPES = {"int64": T.LongType(), "float64": T.DoubleType(), "string": T.StringType(), "bool": T.BooleanType()}
 
@@ -88,16 +90,16 @@ def align_features(
 ) -> DataFrame:
     """Input columns aligned to the feature list.
 
-    Present features are cast to their declared type (categoricals to text);
-    a missing categorical becomes ``SIN REGISTRO`` and any other missing feature 0
-    (false for booleans). Output: ``keep`` columns, then the features in list order.
+    Present categoricals are cast to text, other present features keep their values
+    and types (:func:`model_inputs` makes numbers of them); a missing categorical
+    becomes ``SIN REGISTRO`` and any other missing feature 0 (false for booleans). Output: ``keep`` columns, then the features in list order.
     """
     have = set(df.columns)
     cols = [F.col(k) for k in keep if k in have]
     for name, kind in features:
         target = SPARK_TYPES[kind]
         if name in have:
-            cols.append(F.col(name).cast(target).alias(name))
+            cols.append(F.col(name).cast("string").alias(name) if kind == "string" else F.col(name))
         elif kind == "string":
             cols.append(F.lit(MISSING_CATEGORY).alias(name))
         else:
@@ -109,13 +111,16 @@ def rule_scorer(df: DataFrame) -> DataFrame:
     """proba = weighted churn score / 100 (X1) over the input's columns.
 
     Missing login or product counts read as 0 here (the input is an aligned
-    upload); a missing days-without-transactions column reads as 90.
+    upload), as do those that are no numbers; a missing days-without-transactions
+    column reads as 90.
     """
-    days_tx = F.col("dias_sin_tx") if "dias_sin_tx" in df.columns else F.lit(None).cast("long")
+    number = lambda c: F.col(c).try_cast("double")
+    whole = lambda c: number(c).try_cast("long")
+    days_tx = whole("dias_sin_tx") if "dias_sin_tx" in df.columns else F.lit(None).cast("long")
     score = X.churn_score(
-        F.coalesce(F.col("dias_desde_ultimo_login").cast("long"), F.lit(0).cast("long")),
-        F.col("satisfaccion_1_10"),
-        F.coalesce(F.col("num_productos_activos").cast("long"), F.lit(0).cast("long")),
+        F.coalesce(whole("dias_desde_ultimo_login"), F.lit(0).cast("long")),
+        number("satisfaccion_1_10"),
+        F.coalesce(whole("num_productos_activos"), F.lit(0).cast("long")),
         days_tx,
     )
     return df.withColumn("proba", score / F.lit(100.0))
@@ -125,43 +130,39 @@ def build_pipeline(
     categorical_cols: Sequence[str],
     numeric_cols: Sequence[str],
     label_col: str = "label",
-    max_bins: int = 32,
     max_iter: int = 20,
     seed: int = 42,
+    hash_width: int = HASH_WIDTH,
 ) -> Pipeline:
-    """StringIndexer (unseen → extra index) per categorical → VectorAssembler → GBTClassifier.
+    """FeatureHasher over the categoricals → VectorAssembler → GBTClassifier.
 
-    ``max_bins`` must be at least the largest category count plus one.
+    Each (column, category) is hashed to one of ``hash_width`` 0/1 features, so no
+    dictionary of categories is collected, the model's size does not grow with them,
+    and a category unseen in training needs no rule.
     """
-    # one multi-column indexer: all category dictionaries are built in a single pass
-    indexers = (
-        [
-            StringIndexer(
-                inputCols=list(categorical_cols),
-                outputCols=[f"{c}__idx" for c in categorical_cols],
-                handleInvalid="keep",
-                stringOrderType="alphabetAsc",
-            )
-        ]
+    hashed = "__categories"
+    hashers = (
+        [FeatureHasher(inputCols=list(categorical_cols), outputCol=hashed, numFeatures=hash_width)]
         if categorical_cols
         else []
     )
     assembler = VectorAssembler(
-        inputCols=[f"{c}__idx" for c in categorical_cols] + list(numeric_cols),
+        inputCols=[hashed] * bool(categorical_cols) + list(numeric_cols),
         outputCol="features",
         handleInvalid="keep",
     )
-    gbt = GBTClassifier(labelCol=label_col, featuresCol="features", maxBins=max_bins, maxIter=max_iter, seed=seed)
-    return Pipeline(stages=[*indexers, assembler, gbt])
+    gbt = GBTClassifier(labelCol=label_col, featuresCol="features", maxIter=max_iter, seed=seed)
+    return Pipeline(stages=[*hashers, assembler, gbt])
 
 
 def model_inputs(df: DataFrame, features: Sequence[tuple[str, str]]) -> tuple[DataFrame, list[str], list[str]]:
     """Model view of the features: string features are categorical (text, null as
-    ``SIN REGISTRO``); booleans and numbers become doubles with null as 0."""
+    ``SIN REGISTRO``); booleans and numbers become doubles, with null and what is no
+    number as 0."""
     cats = [n for n, t in features if t == "string"]
     nums = [n for n, t in features if t != "string"]
     cols = [F.coalesce(F.col(c).cast("string"), F.lit(MISSING_CATEGORY)).alias(c) for c in cats]
-    cols += [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in nums]
+    cols += [F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)).alias(c) for c in nums]
     others = [F.col(c) for c in df.columns if c not in set(cats) | set(nums)]
     return df.select(*others, *cols), cats, nums
 
@@ -187,6 +188,13 @@ def table_features(df: DataFrame, exclude: Sequence[str]) -> list[tuple[str, str
     return out
 
 
+def held_out(id_col: str = "user_id", sixteenths: int = HELD_OUT_SIXTEENTHS) -> Column:
+    """Whether a client is kept from training: by the first hex digit of its id's md5,
+    the same on every run."""
+    first = F.conv(F.substring(F.md5(F.col(id_col).cast("string")), 1, 1), 16, 10).cast("int")
+    return first < sixteenths
+
+
 def train_churn_model(
     table: DataFrame,
     features: Sequence[tuple[str, str]],
@@ -196,21 +204,14 @@ def train_churn_model(
 ) -> tuple[PipelineModel, list[tuple[str, str]]]:
     """Fit the churn pipeline on a labelled feature table.
 
-    The label is the churn flag of ``label_col`` (trim + upper = CHURN). ``maxBins``
-    is sized from the category counts, found with one distinct-count aggregate
-    (one row back to the driver). The training input is persisted (memory and
-    disk) for the fit, which reads it once per stage and once per boosting
+    The label is the churn flag of ``label_col`` (trim + upper = CHURN). The training
+    input is persisted (memory and disk) for the fit, which reads it once per boosting
     round; a lost executor's blocks are rebuilt from the lineage.
     """
     inputs, cats, nums = model_inputs(table.withColumn("label", X.is_churn(label_col).cast("double")), features)
     inputs = inputs.persist()
     try:
-        if cats:
-            counts = inputs.agg(*[F.approx_count_distinct(c).alias(c) for c in cats]).first()
-            max_bins = max(32, int(max(counts[c] for c in cats) * 1.1) + 2)
-        else:
-            max_bins = 32
-        model = build_pipeline(cats, nums, "label", max_bins=max_bins, max_iter=max_iter, seed=seed).fit(inputs)
+        model = build_pipeline(cats, nums, "label", max_iter=max_iter, seed=seed).fit(inputs)
     finally:
         inputs.unpersist()
     return model, list(features)

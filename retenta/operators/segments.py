@@ -139,7 +139,6 @@ def top_products(usage_table: DataFrame, n: int = 8) -> DataFrame:
     )
 
 
-TREE_TOP_MIN_ROWS = 100   # above this n, a top-n is cut per partition group first
 PARTITION_GROUP = 256     # input partitions per group in the first cut
 
 
@@ -147,13 +146,10 @@ def top_n(df: DataFrame, n: int, order: list, group: int = PARTITION_GROUP) -> D
     """The first ``n`` rows in ``order``, exact, without funnelling ``n`` rows per partition into one task.
 
     A plain ``orderBy().limit(n)`` keeps n rows per input partition and merges
-    them all in one place (n x partitions rows). For larger n the rows are first
-    cut to n per group of ``group`` input partitions (``row_number() <= n`` per
+    them all in one place (n x partitions rows). Here the rows are first cut to n per group of ``group`` input partitions (``row_number() <= n`` per
     group, a map-side WindowGroupLimit), so the final merge sees n rows per group.
     The n smallest rows of the whole are among the n smallest of each group.
     """
-    if n <= TREE_TOP_MIN_ROWS:
-        return df.orderBy(*order).limit(n)
     grp = F.floor(F.spark_partition_id() / F.lit(group))
     w = Window.partitionBy("_grp").orderBy(*order)
     cut = df.withColumn("_grp", grp).withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n)

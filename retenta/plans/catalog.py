@@ -15,6 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import expr as X
 from ..operators import actions, features, kpis, lookup, model, monthly, rollups, scoring, segments
 from ..sources import readers
 from . import params as P
@@ -249,15 +250,76 @@ def q_batch_report_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_churn_model_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Train the GBT pipeline on the feature table and score it (F7, M2); no SQL twin.
 
-    The feature table is checkpointed once; training, evaluation (area under the
-    ROC curve on the training table, ``auc_entrenamiento``) and scoring read it.
+    ``auc_prueba`` is the area under the ROC curve on the clients kept from training.
     """
-    table = materialize(customer_features(spark, sf_dir), "checkpoint")
-    feats = model.table_features(table, exclude=["user_id", "UsuarioChurn"])
-    fitted, feats = model.train_churn_model(table, feats, max_iter=P.MODEL_ITERATIONS)
-    auc = model.evaluate_auc(fitted, table, feats)
+    table, fitted, feats, auc = trained(spark, sf_dir)
     scored = model.scored_upload(table, model.ml_scorer(fitted, feats), features=feats)
-    return scored.select("user_id", "prob_churn", "pred_churn", F.lit(auc).alias("auc_entrenamiento"))
+    return scored.select("user_id", "prob_churn", "pred_churn", F.lit(auc).alias("auc_prueba"))
+
+
+def trained(spark: SparkSession, sf_dir: str) -> tuple:
+    """(feature table, model, its features, AUC on the held-out clients).
+
+    The feature table is checkpointed once; training, evaluation and scoring read it.
+    ``dias_sin_tx`` is no feature: the label is made of the days since the last order.
+    """
+    table = materialize(customer_features(spark, sf_dir), "checkpoint")
+    feats = model.table_features(table, exclude=["user_id", "UsuarioChurn", "dias_sin_tx"])
+    fitted, feats = model.train_churn_model(table.filter(~model.held_out()), feats, max_iter=P.MODEL_ITERATIONS)
+    return table, fitted, feats, model.evaluate_auc(fitted, table.filter(model.held_out()), feats)
+
+
+def q_churn_model_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training and held-out clients and churners, how many rows were scored, and whether
+    the model ranks held-out clients better than chance (F7, M2)."""
+    table, fitted, feats, auc = trained(spark, sf_dir)
+    scored = model.ml_scorer(fitted, feats)(table)
+    return (
+        scored.groupBy(F.when(model.held_out(), "prueba").otherwise("entrenamiento").alias("conjunto"))
+        .agg(
+            F.count(F.lit(1)).alias("clientes"),
+            F.sum(X.is_churn("UsuarioChurn").cast("long")).alias("churn"),
+            F.count(F.when(F.col("proba").between(0, 1), 1)).alias("con_probabilidad"),
+        )
+        .withColumn("mejor_que_azar", F.lit(auc > P.MODEL_AUC_FLOOR))
+    )
+
+
+def q_score_card_client(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One client's score card."""
+    return scoring.score_card_for(scored_clients(spark, sf_dir), P.CLIENT_ID)
+
+
+def q_one_client_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One page of one client's transactions."""
+    return lookup.client_transactions(fx.transactions(spark, sf_dir), P.CLIENT_ID, **P.CLIENT_TX_PAGE)
+
+
+def q_one_client_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations of one client."""
+    return lookup.client_conversations(fx.conversations(spark, sf_dir), P.CLIENT_ID)
+
+
+def q_income_sample_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scatter sample's two series, with the series' name."""
+    churn, rest = segments.split_by_status(q_income_sample(spark, sf_dir))
+    return churn.withColumn("serie", F.lit("churn")).unionByName(rest.withColumn("serie", F.lit("no churn")))
+
+
+def q_upload_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report over an uploaded file (S4, M1, M3, X20): the clients are written as CSV with
+    ``;`` and without a city to the shared folder, read back and scored."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/upload-{uuid.uuid4().hex}"
+    fx.clients(spark, sf_dir).drop("ciudad").write.option("header", True).option("sep", ";").csv(path)
+    return model.scored_upload(readers.read_upload_csv(spark, path), model.rule_scorer)
+
+
+def q_written_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clients written as records, found again as the first existing of two paths
+    (S2, S3, S10)."""
+    base = f"{checkpoint_dir(spark).rstrip('/')}/clients-{uuid.uuid4().hex}"
+    readers.write_records(fx.clients(spark, sf_dir), f"{base}/new")
+    return nullable_counts_as_double(readers.read_first_existing(spark, [f"{base}/old", f"{base}/new"]))
 
 
 def q_monthly_rollup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -339,5 +401,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "batch_report_summary": q_batch_report_summary,
     "batch_report_scatter": q_batch_report_scatter,
     "churn_model_predictions": q_churn_model_predictions,
+    "churn_model_summary": q_churn_model_summary,
+    "score_card_client": q_score_card_client,
+    "one_client_transactions": q_one_client_transactions,
+    "one_client_conversations": q_one_client_conversations,
+    "income_sample_split": q_income_sample_split,
+    "upload_report": q_upload_report,
+    "written_clients": q_written_clients,
     "monthly_rollup_stream": q_monthly_rollup_stream,
 }

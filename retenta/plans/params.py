@@ -29,3 +29,6 @@ HIGH_RISK_SEARCH_ROWS = 5
 REPORT_TOP_ROWS = 10
 REPORT_TOP_CITIES = 5
 MODEL_ITERATIONS = 10
+MODEL_AUC_FLOOR = 0.5
+CLIENT_ID = 7                        # the client of the one-client queries
+CLIENT_TX_PAGE = {"page": 1, "page_size": 20}

@@ -56,7 +56,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
-        if not sc.master.startswith("local[") and sc.master != "local":
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local[") and master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="retenta-ckpt-")
     if not sc.getCheckpointDir():

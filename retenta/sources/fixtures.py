@@ -9,7 +9,7 @@ and conversation tables means replacing this module only.
 | clients       | user_id, estado, ciudad, edad, ingreso_mensual_mxn,                  |
 |               | dias_desde_ultimo_login, satisfaccion_1_10, num_productos_activos,   |
 |               | es_hey_pro, UsuarioChurn                                             |
-| transactions  | user_id, monto, fecha_hora, tipo_operacion   (orders with status F)  |
+| transactions  | user_id, monto, fecha_hora, tipo_operacion   (orders)                |
 | products      | user_id, producto, fecha_apertura            (lines ⋈ orders ⋈ part)|
 | conversations | user_id, date, input                         (events)                |
 | inputs        | fecha, input                                 (lines ⋈ part)          |
@@ -26,7 +26,6 @@ from ..functions.expr import CHURN_LABEL, NO_CHURN_LABEL, whole_days_between
 
 # Fixed values of the mapping.
 CHURN_AFTER_DAYS = 180          # no order for more than this many days before the last one → CHURN
-FINISHED_STATUS = "F"           # orders that count as transactions
 RETURN_FLAG = "R"               # lines whose part types count as held products
 
 
@@ -58,14 +57,14 @@ def _last_order_per_customer(orders: DataFrame) -> DataFrame:
 
 
 def active_product_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct part types over each customer's returned lines (user_id, n)."""
-    lines = (
-        table(spark, sf_dir, "lineitem")
-        .filter(F.col("l_returnflag") == RETURN_FLAG)
-        .select("l_orderkey", "l_partkey")
-    )
+    """Distinct part types over each customer's lines that were returned (user_id, n).
+
+    Every line is read; the return flag is a condition of the count.
+    """
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_type")
+    held = F.col("l_returnflag") == RETURN_FLAG
     # count(distinct) plans as a map-side (customer, type) dedup, a shuffle by
     # (customer, type), then a partial count and a shuffle by customer: a
     # customer holding a large share of the lines is spread over its types first
@@ -74,7 +73,7 @@ def active_product_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
         .groupBy(F.col("o_custkey").alias("user_id"))
-        .agg(F.count_distinct("p_type").alias("num_productos_activos"))
+        .agg(F.count_distinct(F.when(held, F.col("p_type"))).alias("num_productos_activos"))
     )
 
 
@@ -112,15 +111,11 @@ def clients(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        table(spark, sf_dir, "orders")
-        .filter(F.col("o_orderstatus") == FINISHED_STATUS)
-        .select(
-            F.col("o_custkey").alias("user_id"),
-            F.col("o_totalprice").alias("monto"),
-            F.col("o_orderdate").alias("fecha_hora"),
-            F.col("o_orderpriority").alias("tipo_operacion"),
-        )
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("user_id"),
+        F.col("o_totalprice").alias("monto"),
+        F.col("o_orderdate").alias("fecha_hora"),
+        F.col("o_orderpriority").alias("tipo_operacion"),
     )
 
 

@@ -62,6 +62,19 @@ def test_align_features_imputes(spark):
     assert dict(out.dtypes)["es_hey_pro"] == "boolean"
 
 
+def test_uploads_keep_their_numbers_and_survive_bad_cells(spark):
+    up = spark.createDataFrame(
+        [("a", "1500.75", "45", "3"), ("b", "12x", "?", "")],
+        "user_id string, ingreso_mensual_mxn string, dias_desde_ultimo_login string, satisfaccion_1_10 string",
+    )
+    out = model.scored_upload(up, model.rule_scorer).orderBy("user_id").collect()
+    assert [r.ingreso_mensual_mxn for r in out] == ["1500.75", "12x"]
+    # b: no login days (0), satisfaction 5, no products, 90 days: 13.9 + 20 + 20
+    assert [r.prob_churn for r in out] == [76, 53]
+    nums, _, _ = model.model_inputs(up, [("ingreso_mensual_mxn", "int64")])
+    assert [r.ingreso_mensual_mxn for r in nums.orderBy("user_id").collect()] == [1500.75, 0.0]
+
+
 def test_row_index_is_contiguous_across_partitions(spark):
     df = spark.range(0, 103, numPartitions=7).withColumnRenamed("id", "v")
     idx = model.with_row_index(df, "i").collect()
@@ -210,3 +223,13 @@ def test_checkpoint_dir_when_unset():
     path = checkpoint_dir(s)
     assert "retenta-ckpt-" in path and s.sparkContext.dir == path
     assert checkpoint_dir(s) == path
+
+
+def test_a_cluster_must_name_its_checkpoint_dir():
+    from types import SimpleNamespace
+
+    from retenta.session import checkpoint_dir
+
+    conf = SimpleNamespace(get=lambda key, default=None: "yarn" if key == "spark.master" else default)
+    with pytest.raises(ValueError):
+        checkpoint_dir(SimpleNamespace(sparkContext=SimpleNamespace(getCheckpointDir=lambda: None), conf=conf))

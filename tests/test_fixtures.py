@@ -1,7 +1,5 @@
 """The driver-table mapping produces the documented domain tables."""
 
-from pyspark.sql import functions as F
-
 from retenta.sources import fixtures as fx
 
 SF = "/root/testdata/sf0.001"
@@ -26,10 +24,9 @@ def test_clients_mapping(spark):
     assert labels == {"CHURN", "NO CHURN"}
 
 
-def test_transactions_are_finished_orders(spark):
+def test_transactions_are_all_orders(spark):
     tx = fx.transactions(spark, SF)
-    orders = spark.read.parquet(f"{SF}/orders.parquet")
-    assert tx.count() == orders.filter(F.col("o_orderstatus") == "F").count()
+    assert tx.count() == spark.read.parquet(f"{SF}/orders.parquet").count()
     assert tx.columns == ["user_id", "monto", "fecha_hora", "tipo_operacion"]
 
 

@@ -44,7 +44,7 @@ def test_model_predictions_rows(spark):
     clients = spark.read.parquet("/root/testdata/sf0.001/customer.parquet").count()
     got = out.collect()
     assert len(got) == clients and all(0 <= r.prob_churn <= 100 for r in got)
-    assert len({r.auc_entrenamiento for r in got}) == 1 and 0.5 < got[0].auc_entrenamiento <= 1.0
+    assert len({r.auc_prueba for r in got}) == 1 and 0.5 < got[0].auc_prueba <= 1.0
 
 
 def test_entry_schema_is_stable(spark):
