@@ -250,6 +250,22 @@ def test_kneser_ney_sums_to_one_and_classifies(spark):
         assert math.isclose(sum(p(context, x) for x in range(256)) + p(context, -1 + 256), 1.0, abs_tol=0.02)
 
 
+def test_quality_limit_is_not_set_by_one_tiny_trusted_text(spark):
+    rng = random.Random(6)
+    prose = lambda k: " ".join(rng.choices(["the", "thea", "onan", "ering", "of", "tion"], k=k))
+    held = [i for i in range(1600) if zlib.crc32(str(i).encode()) % 5 == 0]
+    tiny, junk = held[1], "#|#QXZ!!" * 12
+    lang = lambda i: "de" if i % 16 == tiny % 16 else "en"
+    rows = [(i, "~$" if i == tiny else prose(60), lang(i)) for i in range(1600)] + [(1600, junk, "de"), (1601, junk, "en"), (1602, prose(60), "xx"), (1603, junk, "xx")]
+    assert sum(lang(i) == "de" for i in held) < 200 <= sum(lang(i) == "en" for i in held)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(1600)], "doc_id long, quality int, toxic int")
+    out = {r["doc_id"]: r for r in quality.classify(docs, labels).collect()}
+    assert all(out[i]["rejected"] for i in (tiny, 1600, 1601, 1603)) and not out[1602]["rejected"]
+    assert out[1600]["limit"] == out[1603]["limit"]
+    assert sum(r["rejected"] for r in out.values()) < 30
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(1500, 16))
