@@ -5,10 +5,10 @@ pairs are made; a group larger than a PART of a shard is split by a hash of its
 parts that fit (links between its parts are cut in any balanced sharding). Every linked
 document starts in a random shard. In each round a part's members vote by their counts a
 shard (summed before the shuffle), and the blocks of members in other shards ask to move
-to the shard of most votes. A shard admits moves up to its quota: the requests are summed
-by ranges of a hash, the ranges are admitted in order while their running sum fits, and the
-others wait for the next round, with another hash. It ends when none wants to move, or
-after ROUNDS. Then each shard that is still over its row count gives up the last rows of
+to the shard of most votes. The requests are summed by pairs of shards and ranges of a
+hash, and of these sums as many are admitted as leave each shard within its quota, the rows
+that leave it in the same round counted out. The others wait for the next round, with
+another hash. It ends when none wants to move, or when IDLE rounds in turn admit none. Then each shard that is still over its row count gives up the last rows of
 its order, and those, with the documents that no link holds, fill all shards to counts at
 most one apart. Built from DataFrame operations only.
 
@@ -20,17 +20,19 @@ columns are not looked at.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from retenta.llm.staging import attach, staged, text_of
 
-ROUNDS = 6
+#: rounds without a move after which the propagation ends
+IDLE = 2
 #: a linked part holds at most this share of a shard
 PART = 0.25
-#: ranges of a hash by which moves are admitted
-RANGES = 1024
+#: sums of requests, by two shards and a range of a hash, that the driver gets in a round
+SUMS = 40_000
 #: rows that a task orders
 ORDERED_ROWS = 200_000
 
@@ -51,30 +53,56 @@ def gapless(df: DataFrame, keys: list, n_rows: int, label: str) -> DataFrame:
     return placed.withColumn("__part", part).join(F.broadcast(offsets), "__part").withColumn("rank", F.col("__at") + F.col("__shift")).drop("__part", "__at", "__shift")
 
 
-def _propagate(blocks: DataFrame, by: str, quota: int, rounds: int) -> DataFrame:
+def _admitted(moves: list[tuple[int, int, int]], room: list[int]) -> list[int]:
+    """Places in ``moves`` (from, to, rows) of those that leave no shard with more rows than
+    before and its ``room``. Starts from all moves and drops some into each shard that is
+    over, first those from the shards that have most room left, until none is."""
+    source, goal, n = (np.array(x, np.int64) for x in zip(*moves))
+    over = np.bincount(goal, n, len(room)).astype(np.int64) - np.bincount(source, n, len(room)).astype(np.int64) - np.array(room)
+    kept = np.ones(len(n), bool)
+    todo = True
+    while todo:
+        todo = False
+        for k in np.flatnonzero(over > 0):
+            into = np.flatnonzero(kept & (goal == k))
+            into = into[np.argsort(over[source[into]], kind="stable")]
+            drop = into[: int(np.searchsorted(np.cumsum(n[into]), over[k])) + 1]
+            kept[drop] = False
+            over[k] -= n[drop].sum()
+            np.add.at(over, source[drop], n[drop])
+            todo = todo or len(drop) > 0
+    return np.flatnonzero(kept).tolist()
+
+
+def _propagate(blocks: DataFrame, by: str, quotas: list[int]) -> DataFrame:
     """Moves blocks (group, part, start, shard, n) to the shard of most votes in their
-    ``by`` (part or group), round by round."""
-    for turn in range(rounds):
+    ``by`` (part or group), round by round. A move adds to the goal's votes, so the goals
+    stay and the rows away from them become fewer in each round that admits any."""
+    spark, shards = blocks.sparkSession, len(quotas)
+    ranges = max(4, SUMS // shards**2)
+    turn, idle = 0, 0
+    while idle < IDLE:
         votes = blocks.groupBy(by, "shard").agg(F.sum("n").alias("n"))
         goal = votes.groupBy(by).agg(F.max_by("shard", F.struct("n", F.xxhash64(by, "shard"))).alias("goal"))
-        asked = blocks.join(goal, by).withColumn("range", F.pmod(F.xxhash64(F.lit(turn), "part"), F.lit(RANGES)).cast("int"))
-        asked = staged(asked, "shard-asked")
-        moves = asked.filter(F.col("goal") != F.col("shard"))
-        wanted = moves.groupBy("goal", "range").agg(F.sum("n").alias("n"))  # shards * RANGES rows at most
-        loads = blocks.groupBy("shard").agg(F.sum("n").alias("load")).withColumnRenamed("shard", "goal")
-        running = F.sum("n").over(W.partitionBy("goal").orderBy("range"))
-        admitted = (
-            wanted.join(F.broadcast(loads), "goal", "left").withColumn("running", running)
-            .filter(F.col("running") <= F.lit(quota) - F.coalesce("load", F.lit(0))).select("goal", "range", F.lit(True).alias("admitted"))
-        )
-        moved = asked.join(F.broadcast(admitted), ["goal", "range"], "left")
-        blocks = staged(moved.select("group", "part", "start", F.when(F.col("admitted"), F.col("goal")).otherwise(F.col("shard")).alias("shard"), "n"), "shard-blocks")
-        if moves.isEmpty():
+        range_ = F.pmod(F.xxhash64(F.lit(turn), "part"), F.lit(ranges))
+        code = ((F.col("shard") * shards + F.col("goal")) * ranges + range_).cast("long")
+        asked = staged(blocks.join(goal, by).withColumn("code", code), "shard-asked")
+        wanted = asked.filter(F.col("goal") != F.col("shard")).groupBy("code").agg(F.sum("n").alias("n")).collect()  # shards * shards * ranges rows at most
+        if not wanted:
             break
+        load = {r["shard"]: r["n"] for r in blocks.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # a number a shard
+        wanted = sorted((r["code"], r["n"]) for r in wanted)
+        pairs = [divmod(c // ranges, shards) for c, _ in wanted]
+        codes = [wanted[k][0] for k in _admitted([(a, b, n) for (a, b), (_, n) in zip(pairs, wanted)], [q - load.get(k, 0) for k, q in enumerate(quotas)])]
+        turn, idle = turn + 1, 0 if codes else idle + 1
+        if codes:
+            admitted = spark.range(1).select(F.explode(F.split(F.lit(",".join(map(str, codes))), ",").cast("array<bigint>")).alias("code"), F.lit(True).alias("admitted"))
+            moved = asked.join(F.broadcast(admitted), "code", "left")
+            blocks = staged(moved.select("group", "part", "start", F.when(F.col("admitted"), F.col("goal")).otherwise(F.col("shard")).alias("shard"), "n"), "shard-blocks")
     return blocks
 
 
-def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """For each row: ``id_col``, size, text_crc32, shard, slot (gapless from 0 in a shard)
     and linked (whether another row has its text)."""
     body = text_of(text)
@@ -100,8 +128,8 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text: str =
     )
     linked, free = known.filter("part IS NOT NULL"), known.filter("part IS NULL")
     blocks = linked.groupBy("group", "part", "start").agg(F.count(F.lit(1)).alias("n")).withColumn("shard", F.col("start"))
-    blocks = _propagate(staged(blocks.select("group", "part", "start", "shard", "n"), "shard-blocks"), "part", small, rounds)
-    blocks = _propagate(blocks, "group", small, rounds)  # now the parts of a split group
+    blocks = _propagate(staged(blocks.select("group", "part", "start", "shard", "n"), "shard-blocks"), "part", quotas)
+    blocks = _propagate(blocks, "group", quotas)  # now the parts of a split group
 
     ordered = gapless(linked.join(blocks.drop("n", "group"), ["part", "start"]), ["shard", "group", "part", "id", "row"], n_rows, "shard-linked")
     load = {r["shard"]: r["n"] for r in blocks.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # a number a shard

@@ -117,6 +117,23 @@ def test_sharding_of_all_equal_and_of_no_rows(spark):
     assert sharding.shard(rows.limit(0), 7).count() == 0
 
 
+def test_sharding_moves_where_all_rows_are_linked(spark):
+    rows = [(i, f"pair {i // 2}" if i < 1200 else f"five {i // 5}") for i in range(2400)]
+    out = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 8).collect()
+    assert set(Counter(r["shard"] for r in out).values()) == {300}
+    where = defaultdict(set)
+    for r in out:
+        where[rows[r["doc_id"]][1]].add(r["shard"])
+    assert sum(len(x) > 1 for x in where.values()) <= 0.1 * len(where)
+
+
+def test_sharding_admits_what_fits():
+    assert sharding._admitted([(0, 1, 5), (1, 0, 5)], [0, 0]) == [0, 1]
+    assert sharding._admitted([(0, 1, 5), (1, 2, 5), (2, 0, 5)], [0, 0, 0]) == [0, 1, 2]
+    assert sharding._admitted([(0, 1, 6), (1, 0, 5)], [0, 0]) == []
+    assert sharding._admitted([(0, 1, 1), (0, 1, 5), (1, 0, 5)], [0, 0]) == [1, 2]
+
+
 def test_simhash_equals_brute_force(docs, plain):
     def fingerprint(text):
         words = re.findall(WORD, (text or "").translate(LOWER))
