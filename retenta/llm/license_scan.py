@@ -1,10 +1,11 @@
 """Licence scan by canonical digests.
 
-A text is brought to a canonical form (lower case, copyright lines dropped, equivalent
+A text is brought to a canonical form (lower case, copyright statements dropped, equivalent
 spellings made one, punctuation and white space reduced to single spaces) and hashed; the
 digests of entire texts are hash-joined to those of known licences. The units that are
 looked up are each document's whole text and each of its lines, since a notice usually
-stands on a line of its own. The known list is fixed and small, so it is broadcast.
+stands on a line of its own. The known list is fixed and small, so it is broadcast: the
+notices below, the SPDX ids and the full texts in ``licenses``, with and without title.
 
 Cases: null and empty texts and lines without letters match nothing; repeated rows are
 scanned row by row; equal digests in the known list must not name different licences; an
@@ -16,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -91,11 +93,28 @@ KNOWN = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 
+#: the full texts (a file a licence) and the SPDX ids
+LICENSES = Path(__file__).parent / "licenses"
+# Title lines of texts that are known without one, or with another.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "MIT"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)", "ISC"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The 2-Clause BSD License", 'BSD 2-Clause "Simplified" License', "BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The 3-Clause BSD License", 'BSD 3-Clause "New" or "Revised" License', "BSD License"],
+}
+END = "END OF TERMS AND CONDITIONS"
+PLACEHOLDER = "Copyright [yyyy] [name of copyright owner]"
+
 MARKS = ("copyright", "©", "(c)")
 YEAR = re.compile("[0-9]{4}")
 ALL_RIGHTS = re.compile(r"[\x20\t]*all rights reserved[.]?[\x20\t]*")
 #: what is neither letter nor digit, but for line ends
 PUNCTUATION = re.compile(r"[^\w\n]+")
+#: where a notice begins on a line that also has a copyright statement
+NOTICE = re.compile(
+    r"(?:(?:this|the)\x20\w+(?:\x20\w+)?\x20is\x20)?(?:licen[cs]ed|released|distributed)\x20under|spdx-licen[cs]e-identifier|permission\x20is\x20hereby\x20granted"
+    r"|permission\x20to\x20use,|redistribution\x20and\x20use\x20in|this\x20is\x20free\x20and\x20unencumbered"
+)
 
 
 def is_copyright_line(line: str) -> bool:
@@ -104,6 +123,14 @@ def is_copyright_line(line: str) -> bool:
     return (first >= 0 and YEAR.search(line, first) is not None) or ALL_RIGHTS.fullmatch(line) is not None
 
 
+def without_copyright(line: str) -> str:
+    """What a lower-case copyright line has besides its statement: the notice before the
+    mark, or after it from the notice's beginning, or nothing."""
+    first = min((at for mark in MARKS if (at := line.find(mark)) >= 0), default=0)
+    before, after = NOTICE.search(line, 0, first), NOTICE.search(line, first)
+    return f"{line[:first] if before else ''} {line[after.start():] if after else ''}".strip()
+
+
 def spelled(form: str) -> str:
     for other, one in SPELLINGS:
         form = form.replace(other, one)
@@ -115,7 +142,7 @@ def canonical(text: str) -> tuple[str, list[str]]:
     take the same steps; a spelling of two words may run over a line's end in the former."""
     low = text.lower()
     if any(x in low for x in (*MARKS, "all rights reserved")):
-        low = "\n".join("" if is_copyright_line(x) else x for x in low.split("\n"))
+        low = "\n".join(without_copyright(x) if is_copyright_line(x) else x for x in low.split("\n"))
     plain = PUNCTUATION.sub(" ", low.replace("_", " "))
     whole = " ".join(spelled(f" {' '.join(plain.split())} ").split())
     lines = spelled(f" {plain} ".replace("\n", " \n ")).split("\n")
@@ -127,9 +154,33 @@ def digest(form: str) -> bytes | None:
     return hashlib.sha256(form.encode()).digest() if form else None
 
 
+def known_texts() -> list[tuple[str, str]]:
+    """(licence, text): KNOWN, then the full texts, whole and up to their terms' end, with
+    and without their first paragraph and with other titles, and the SPDX ids. Where two
+    have the same form, the first holds."""
+    found = list(KNOWN)
+    texts = [(n, x) for n, x in KNOWN if n in ("MIT", "ISC") and len(x) > 400]
+    texts += [(f.stem, f.read_text(encoding="utf-8")) for f in sorted(LICENSES.glob("*.txt")) if f.name != "spdx_ids.txt"]
+    for name, text in texts:
+        bodies = [text, re.sub(r"(?m)^\s*[123]\. (?=Redistrib|Neither)", "* ", text)] if name.startswith("BSD") else [text]
+        if END in text:
+            bodies.append(text[: text.index(END) + len(END)])
+            bodies.append(text[: text.index(END)])
+        bodies += [x.replace(PLACEHOLDER, "") for x in bodies if PLACEHOLDER in x]
+        for body in bodies:
+            _, _, rest = body.strip().partition("\n\n")
+            plain = rest or body
+            found += [(name, body), (name, plain), *[(name, f"{title}\n\n{plain}") for title in TITLES.get(name, [])]]
+    found += [(x, f"SPDX-License-Identifier: {x}") for x in (LICENSES / "spdx_ids.txt").read_text().split()]
+    first: dict[bytes, tuple[str, str]] = {}
+    for name, body in found:
+        first.setdefault(digest(canonical(body)[0]), (name, body))
+    return list(first.values())
+
+
 def known_digests(spark, known: list[tuple[str, str]] | None = None) -> DataFrame:
     """(digest, license), a row a digest, of a fixed list of texts."""
-    rows = [(bytearray(d), name) for name, body in known or KNOWN if (d := digest(canonical(body)[0]))]
+    rows = [(bytearray(d), name) for name, body in known or known_texts() if (d := digest(canonical(body)[0]))]
     return spark.createDataFrame(rows, "digest binary, license string").groupBy("digest").agg(F.min("license").alias("license"))
 
 

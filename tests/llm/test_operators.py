@@ -333,6 +333,23 @@ def test_licences(spark):
     assert out == {1: (None, ["MIT"], 1), 2: ("Apache-2.0", ["Apache-2.0"], 1), 3: (None, [], 0), 4: (None, [], 0), 5: ("MIT", ["MIT"], 1)}
 
 
+def test_licences_of_usual_files(spark):
+    full = lambda name: (license_scan.LICENSES / f"{name}.txt").read_text(encoding="utf-8")
+    apache = full("Apache-2.0")
+    bodies = [
+        ("MIT", "MIT License\n\nCopyright (c) 2021 Foo Inc. and others\n\n" + license_scan.KNOWN[4][1]),
+        ("GPL-3.0", full("GPL-3.0")),
+        ("MPL-2.0", full("MPL-2.0")),
+        ("BSD-3-Clause", "Copyright 2020 Me\nAll rights reserved.\n\n" + full("BSD-3-Clause").partition("\n\n")[2]),
+        ("Apache-2.0", apache.replace("Copyright [yyyy] [name of copyright owner]", "Copyright 2020 Me")),
+        ("Apache-2.0", "Copyright 2024 X. Licensed under the Apache License, Version 2.0."),
+        *[(x, f"// SPDX-License-Identifier: {x}") for x in ("GPL-3.0-or-later", "BSD-2-Clause", "MPL-2.0", "CC-BY-4.0", "AGPL-3.0-only")],
+    ]
+    docs = spark.createDataFrame([(i, x) for i, (_, x) in enumerate(bodies)], "doc_id long, text string")
+    out = {r["doc_id"]: r["whole_license"] for r in license_scan.scan(docs, license_scan.known_digests(spark), ["doc_id"]).collect()}
+    assert [out[i] for i in range(len(bodies))] == [name for name, _ in bodies]
+
+
 def test_licence_forms():
     form = license_scan.canonical
     assert form("") == ("", [""]) and license_scan.digest("") is None
