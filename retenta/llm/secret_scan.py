@@ -1,10 +1,13 @@
 """Secret scan: fixed patterns, and formats learned from the credentials these find.
 
 One pass over the texts gives the base spans and the other credential-like tokens. From a
-bounded sample of the base spans' credentials (labelled by their kind), and one of the
-other tokens, probabilistic automata are inferred (``automata``). Every other token is
-then scored: it is added as a span of kind ``format`` where a credential automaton accepts
-it with a higher likelihood than the automaton of ordinary tokens does, by MARGIN a letter.
+bounded sample of the base spans' credentials (labelled by their kind) probabilistic
+automata are inferred (``automata``); a fifth of the sample is held back. Every other token
+is then scored: it is added as a span of kind ``format`` where an automaton gives it at
+least the likelihood a letter that all but the LEAST share of the held-back credentials
+reach, and more than the automata of ordinary numbers and words do. Those are inferred
+from short runs of digits or letters that are no candidates: the other tokens themselves,
+which hold the secrets to be found, set no limit.
 
 Cases: a null text counts as empty; positions are code points, ends exclusive; with no
 credentials in the corpus no format is learned and none added; repeated rows are scanned
@@ -36,10 +39,15 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: other tokens: as many credential letters, not all of one class
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{16,}")
 
+#: numbers and words too short to be other tokens
+PLAIN = "(?<![A-Za-z0-9+/_=.-])(?:[0-9]{1,15}|[A-Za-z]{1,15})(?![A-Za-z0-9+/_=.-])"
+
 #: distinct strings of a kind from which an automaton is inferred
 SAMPLE = 400
-#: log2 likelihood a letter by which a credential's format must beat the ordinary one
-MARGIN = 0.5
+#: every so many-th labelled credential is held back from an automaton
+HELD = 5
+#: share of the held-back credentials that may lie below the limit
+LEAST = 0.05
 
 SPAN = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType()), T.StructField("value", T.StringType())])
 ARROW_SPANS = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("value", pa.string())]))
@@ -83,31 +91,45 @@ def find(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     return chosen.mapInArrow(run, T.StructType([*kept, T.StructField("found", T.ArrayType(SPAN))]))
 
 
-def learn(found: DataFrame, sample: int = SAMPLE) -> list[Automaton | None]:
-    """An automaton a kind, None without examples, from at most ``sample`` distinct strings
-    of each kind: those of the smallest hash."""
-    strings = found.select(F.explode("found").alias("x")).select("x.kind", "x.value").distinct()
+def fit(examples: list[str]) -> tuple[Automaton, float] | None:
+    """An automaton and its least log2 likelihood a letter, from the held-back examples that
+    it accepts (from its own where it accepts none); None without examples."""
+    if not examples:
+        return None
+    own = [x for k, x in enumerate(examples) if (k + 1) % HELD]
+    automaton = Automaton(own)
+    scores = sorted(s for x in examples[HELD - 1 :: HELD] if (s := automaton.score(x)) is not None)
+    scores = scores or sorted(automaton.score(x) for x in own)
+    return automaton, scores[int(LEAST * len(scores))]
+
+
+def learn(found: DataFrame, docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> tuple[list[tuple[Automaton, float]], list[Automaton]]:
+    """``fit`` for each base kind, and automata of ordinary numbers and words, each from at
+    most ``sample`` distinct strings: those of the smallest hash."""
+    labelled = found.select(F.explode("found").alias("x")).select("x.kind", "x.value").filter("kind < 3").distinct()
+    plain = docs.select(F.explode(F.regexp_extract_all(text_of(text), F.lit(PLAIN), F.lit(0))).alias("value")).distinct()
+    plain = plain.join(labelled.select("value").distinct(), "value", "left_anti")
+    strings = labelled.unionByName(plain.select(F.when(F.col("value").rlike("^[0-9]"), 3).otherwise(4).alias("kind"), "value"))
     rank = F.row_number().over(W.partitionBy("kind").orderBy(F.xxhash64("value"), "value"))
     rows = strings.withColumn("rank", rank).filter(F.col("rank") <= sample).orderBy("kind", "rank").collect()
-    examples = [[r["value"] for r in rows if r["kind"] == k] for k in range(4)]
-    return [Automaton(x) if x else None for x in examples]
+    examples = [[r["value"] for r in rows if r["kind"] == k] for k in range(5)]
+    return [f for x in examples[:3] if (f := fit(x))], [Automaton(x) for x in examples[3:] if x]
 
 
-def is_credential(value: str, automata: list[Automaton | None]) -> bool:
-    scores = [s for a in automata[:3] if a and (s := a.score(value)) is not None]
-    ordinary = automata[3].score(value) if automata[3] else None
-    return bool(scores) and (ordinary is None or max(scores) > ordinary + MARGIN)
+def is_credential(value: str, formats: list[tuple[Automaton, float]], ordinary: list[Automaton]) -> bool:
+    scores = [s for a, least in formats if (s := a.score(value)) is not None and s >= least]
+    return bool(scores) and all((s := a.score(value)) is None or max(scores) > s for a in ordinary)
 
 
 def scan(docs: DataFrame, keep: list[str], text: str = "text", sample: int = SAMPLE) -> DataFrame:
     """``keep`` columns and ``spans``, an array of (kind, start, stop, value) by start, then
     kind in the order of ``KINDS``."""
     found = staged(find(docs, keep, text), "secret-spans")
-    automata = found.sparkSession.sparkContext.broadcast(learn(found, sample))  # at most 4 * sample strings' states
+    automata = found.sparkSession.sparkContext.broadcast(learn(found, docs, text, sample))  # at most 5 * sample strings' states
 
     @F.pandas_udf(T.ArrayType(T.BooleanType()))
     def accepted(values):
-        return values.map(lambda xs: [is_credential(x, automata.value) for x in xs])
+        return values.map(lambda xs: [is_credential(x, *automata.value) for x in xs])
 
     tokens = F.filter("found", lambda x: x["kind"] == 3)
     with_tokens = found.withColumn("__ok", accepted(F.transform(tokens, lambda x: x["value"])))

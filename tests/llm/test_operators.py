@@ -317,6 +317,20 @@ def test_secrets(spark):
     assert secret_scan.scan(rows.limit(0), ["doc_id"]).count() == 0
 
 
+@pytest.mark.parametrize("bare", [40, 400])
+def test_bare_credentials_are_found_at_any_share(spark, bare):
+    rng = random.Random(8)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    fresh = lambda: "ghp_" + "".join(rng.choices(letters, k=36))
+    rows = [f'token = "{fresh()}" end' for _ in range(150)] + ["x " + "".join(rng.choices("0123456789abcdef", k=32)) for _ in range(250)]
+    rows += [f"see {fresh()} here" for _ in range(bare)]
+    rows += [f"ordinary-section-{k}-of-chapter and 2024-01-02T10:11:{k:03}Z 48687010557{k:05} {k} {k * k}" for k in range(400)]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "doc_id long, text string")
+    out = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in secret_scan.scan(docs, ["doc_id"]).collect()}
+    assert sum(out[i] == ["format"] for i in range(400, 400 + bare)) >= 0.7 * bare
+    assert not any(out[i] for i in range(400 + bare, len(rows)))
+
+
 def test_inferred_automaton():
     rng = random.Random(1)
     a = automata.Automaton(["KEY" + "".join(rng.choices("0123456789", k=12)) for _ in range(300)])
