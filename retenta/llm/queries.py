@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retenta.llm import ann, bpe, license_scan, lm_scoring, mixing, quality, secret_scan, sharding, simhash
+from retenta.llm import ann, bpe, conversation_repair, license_scan, lm_scoring, mixing, quality, secret_scan, sharding, simhash
 from retenta.llm.exact_dedup import DigestIndex
 
 
@@ -76,4 +76,9 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[count(k) for k in secret_scan.KINDS[:3]], F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_lm_scoring, op3_quality, op4_sharding, op5_exact_dedup, op6_bpe, op7_ann, op8_mixing, op9_simhash, op10_secret_scan)}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return conversation_repair.totals(conversation_repair.repair(conversation_repair.damaged(rows)))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_lm_scoring, op3_quality, op4_sharding, op5_exact_dedup, op6_bpe, op7_ann, op8_mixing, op9_simhash, op10_secret_scan, op11_conversation_repair)}
