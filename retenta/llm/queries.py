@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retenta.llm import ann, bpe, conversation_repair, license_scan, lm_scoring, mixing, quality, secret_scan, sharding, simhash
+from retenta.llm import ann, bpe, conversation_repair, hard_negatives, license_scan, lm_scoring, mixing, quality, secret_scan, sharding, simhash, warc
 from retenta.llm.exact_dedup import DigestIndex
 
 
@@ -81,4 +81,14 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.totals(conversation_repair.repair(conversation_repair.damaged(rows)))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_lm_scoring, op3_quality, op4_sharding, op5_exact_dedup, op6_bpe, op7_ann, op8_mixing, op9_simhash, op10_secret_scan, op11_conversation_repair)}
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", label), F.col("id") % 100 == 0)
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digests(warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_lm_scoring, op3_quality, op4_sharding, op5_exact_dedup, op6_bpe, op7_ann, op8_mixing, op9_simhash, op10_secret_scan, op11_conversation_repair, op12_hard_negatives, op13_warc)}
