@@ -74,6 +74,10 @@ FEATURES = [
     ("monto_min", "float64"),
     ("monto_max", "float64"),
 ]
+_NAMES = [name for name, _ in FEATURES]
+#: the features that say whether a client holds a product, or has used an operation
+PRODUCT_FLAGS = _NAMES[_NAMES.index("credito_auto") : _NAMES.index("saldo_promedio")]
+OPERATION_FLAGS = _NAMES[_NAMES.index("abono_inversion") : _NAMES.index("monto_promedio")]
 # Imputation for a feature missing from the input, and report defaults.
 MISSING_CATEGORY = "SIN REGISTRO"
 UNKNOWN_CITY = "Desconocida"

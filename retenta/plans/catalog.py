@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from ..operators import actions, features, kpis, lookup, model, monthly, rollups, scoring, segments
+from ..operators import actions, balances, features, kpis, lookup, model, monthly, rollups, scoring, segments
 from ..sources import readers
 from . import params as P
 from ..session import checkpoint_dir, materialize
@@ -26,7 +26,7 @@ from ..streaming import monthly_rollup
 TS_TEXT = "yyyy-MM-dd HH:mm:ss"
 # Integer columns that can hold nulls are handed over as double: the pandas
 # views of a Spark and a DuckDB result then agree (float with NaN on both sides).
-NULLABLE_COUNTS = ["dias_desde_ultimo_login", "total_tx", "dias_sin_tx"]
+NULLABLE_COUNTS = ["dias_desde_ultimo_login", "total_tx", "dias_sin_tx", "antiguedad_dias"]
 
 
 def nullable_counts_as_double(df: DataFrame) -> DataFrame:
@@ -209,14 +209,13 @@ def q_high_risk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def customer_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.feature_table(
-        fx.clients(spark, sf_dir),
-        fx.transactions(spark, sf_dir),
-        fx.products(spark, sf_dir),
-        fx.conversations(spark, sf_dir),
-        P.INPUT_VALUES,
-        P.OPERATION_VALUES,
-    )
+    return features.feature_table(*fx.feature_sources(spark, sf_dir))
+
+
+def q_monthly_balances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every client's balance month by month (F6's mean balance, split at month ends)."""
+    _, moves, _, _ = fx.feature_sources(spark, sf_dir)
+    return balances.monthly_balances(moves)
 
 
 def q_feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -395,6 +394,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "action_messages": q_action_messages,
     "high_risk_search": q_high_risk_search,
     "feature_table": q_feature_table,
+    "monthly_balances": q_monthly_balances,
     "aligned_upload": q_aligned_upload,
     "batch_report_table": q_batch_report_table,
     "batch_report_cities": q_batch_report_cities,

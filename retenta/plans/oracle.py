@@ -574,12 +574,6 @@ WHERE coalesce(contains(lower(CAST(user_id AS VARCHAR)), lower('{term}')), false
 ORDER BY churn_score DESC, user_id LIMIT {n}"""
 
 
-def _slug(v: str) -> str:
-    from ..operators.features import slug
-
-    return slug(v)
-
-
 def _mode_cte(name: str, source: str, value: str, out: str) -> str:
     return f"""
 {name} AS (
@@ -590,87 +584,129 @@ def _mode_cte(name: str, source: str, value: str, out: str) -> str:
   WHERE rn = 1)"""
 
 
-def feature_ctes(product_values: list[str], operation_values: list[str]) -> str:
-    pflags = ", ".join(
-        f"CAST(coalesce(max(CAST(producto = '{v}' AS INTEGER)), 0) AS BOOLEAN) AS producto_{_slug(v)}"
-        for v in product_values)
-    oflags = ", ".join(
-        f"CAST(coalesce(max(CAST(tipo_operacion = '{v}' AS INTEGER)), 0) AS BOOLEAN) AS operacion_{_slug(v)}"
-        for v in operation_values)
-    flag_names = ([f"producto_{_slug(v)}" for v in product_values]
-                  + [f"operacion_{_slug(v)}" for v in operation_values])
-    flags_sel = ", ".join(f"coalesce({n}, false) AS {n}" for n in flag_names)
-    return f"""
-pflags AS (SELECT user_id, {pflags} FROM products WHERE user_id IS NOT NULL GROUP BY user_id),
-oflags AS (SELECT user_id, {oflags} FROM transactions WHERE user_id IS NOT NULL GROUP BY user_id),
+# The model's features in order, written out apart from the library's list.
+_CLIENT_FEATURES = """edad sexo estado ciudad nivel_educativo ocupacion ingreso_mensual_mxn antiguedad_dias es_hey_pro
+canal_apertura dias_desde_ultimo_login preferencia_canal satisfaccion_1_10 num_productos_activos input""".split()
+_PRODUCTS = """credito_auto credito_nomina credito_personal cuenta_debito cuenta_negocios inversion_hey seguro_compras
+seguro_vida tarjeta_credito_garantizada tarjeta_credito_hey tarjeta_credito_negocios""".split()
+_MODES = "saldo_promedio dispositivo_moda canal_moda categoria_mcc_moda".split()
+_OPERATIONS = """abono_inversion cargo_recurrente cashback compra deposito_farmacia deposito_oxxo pago_credito
+pago_servicio retiro_cajero retiro_inversion transf_entrada transf_salida""".split()
+_AMOUNTS = "monto_promedio monto_min monto_max".split()
+_ALIGNED = ", ".join([*_CLIENT_FEATURES, *_PRODUCTS, *_MODES, *_OPERATIONS, *_AMOUNTS])
+
+
+def _turn(values: list[str], key: str) -> str:
+    """The values in turn, by a key."""
+    return f"[{', '.join(repr(v) for v in values)}][{key} % {len(values)} + 1]"
+
+
+# Balances by the definition: a running balance, held from one movement to the next.
+MOVES = f"""
+moves AS (
+  SELECT o_custkey AS user_id, o_totalprice AS monto, o_orderdate AS fecha_hora, o_orderpriority AS tipo_operacion,
+         {_turn(_OPERATIONS, 'o_orderkey')} AS operacion FROM orders),
+signed AS (
+  SELECT user_id, fecha_hora AS t, operacion, CAST(floor(epoch_us(fecha_hora) / 1000000) AS BIGINT) AS s,
+         CASE WHEN operacion IN ('cashback', 'deposito_farmacia', 'deposito_oxxo', 'retiro_inversion', 'transf_entrada')
+              THEN 1 ELSE -1 END * CAST(round(monto * CAST(100 AS DOUBLE)) AS BIGINT) AS c
+  FROM moves WHERE user_id IS NOT NULL AND monto IS NOT NULL AND fecha_hora IS NOT NULL),
+until AS (SELECT max(fecha_hora) AS until, CAST(floor(epoch_us(max(fecha_hora)) / 1000000) AS BIGINT) AS until_s FROM moves),
+running AS (
+  SELECT user_id, t, s, c, CAST(sum(c) OVER w AS BIGINT) AS bal, lead(s, 1, until_s) OVER w AS nxt
+  FROM signed CROSS JOIN until WINDOW w AS (PARTITION BY user_id ORDER BY s, c ROWS UNBOUNDED PRECEDING))"""
+
+FEATURE_CTES = f"""{MOVES},
+held AS (
+  SELECT o.o_custkey AS user_id, p.p_type AS producto, {_turn(_PRODUCTS, 'l.l_partkey')} AS contrato
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN part p ON l.l_partkey = p.p_partkey),
+talks AS (
+  SELECT user_id, event_type AS input,
+         nullif(regexp_extract(CASE WHEN event_id % 17 = 0 THEN substr(props, 1, 5) WHEN event_id % 19 <> 0 THEN props END,
+                               '^\\{{"k": ([0-9]+)\\}}$', 1), '') AS dispositivo FROM events),
+pflags AS (SELECT user_id, {", ".join(f"bool_or(contrato = '{v}') AS {v}" for v in _PRODUCTS)}
+           FROM held WHERE user_id IS NOT NULL GROUP BY user_id),
+oflags AS (SELECT user_id, {", ".join(f"bool_or(operacion = '{v}') AS {v}" for v in _OPERATIONS)}
+           FROM moves WHERE user_id IS NOT NULL GROUP BY user_id),
 tx_stats AS (
   SELECT user_id,
-         CAST(sum(CAST(round(monto * {dbl(100)}) AS BIGINT)) AS DOUBLE) / CAST(nullif(count(monto), 0) AS DOUBLE)
-           / {dbl(100)} AS monto_promedio,
-         min(monto) AS monto_min, max(monto) AS monto_max, max(fecha_hora) AS ultima
-  FROM transactions WHERE user_id IS NOT NULL GROUP BY user_id),
-tx_top AS (SELECT max(fecha_hora) AS fecha_max FROM transactions),
-{_mode_cte('m_canal', 'transactions', 'tipo_operacion', 'canal_moda')},
-{_mode_cte('m_cat', 'products', 'producto', 'categoria_mcc_moda')},
-{_mode_cte('m_input', 'conv', 'input', 'input')},
+         CAST(sum(CAST(round(monto * CAST(100 AS DOUBLE)) AS BIGINT)) AS DOUBLE) / CAST(nullif(count(monto), 0) AS DOUBLE)
+           / CAST(100 AS DOUBLE) AS monto_promedio,
+         min(monto) AS monto_min, max(monto) AS monto_max, min(fecha_hora) AS primera, max(fecha_hora) AS ultima
+  FROM moves WHERE user_id IS NOT NULL GROUP BY user_id),
+saldos AS (
+  SELECT user_id,
+         CASE WHEN max(until_s) > min(s)
+              THEN CAST(CAST(sum(CAST(bal AS HUGEINT) * (nxt - s)) AS BIGINT) AS DOUBLE) / CAST(max(until_s) - min(s) AS DOUBLE)
+              ELSE CAST(CAST(sum(c) AS BIGINT) AS DOUBLE) END / CAST(100 AS DOUBLE) AS saldo_promedio
+  FROM running CROSS JOIN until GROUP BY user_id),
+{_mode_cte('m_canal', 'moves', 'tipo_operacion', 'canal_moda')},
+{_mode_cte('m_cat', 'held', 'producto', 'categoria_mcc_moda')},
+{_mode_cte('m_input', 'talks', 'input', 'input')},
+{_mode_cte('m_disp', 'talks', 'dispositivo', 'dispositivo_moda')},
 features AS (
   SELECT c.user_id, c.edad, c.estado, c.ciudad, c.ingreso_mensual_mxn, c.dias_desde_ultimo_login,
          c.satisfaccion_1_10, c.num_productos_activos, c.es_hey_pro, c.UsuarioChurn,
-         {flags_sel},
-         st.monto_promedio, st.monto_min, st.monto_max,
-         {days_between('st.ultima', 'tt.fecha_max')} AS dias_sin_tx,
-         mc.canal_moda, mt.categoria_mcc_moda, mi.input
+         {_turn(['F', 'M'], 'c.user_id')} AS sexo,
+         {_turn(['Preparatoria', 'Licenciatura', 'Posgrado'], 'c.user_id')} AS nivel_educativo,
+         {_turn(['Empleado', 'Independiente', 'Estudiante', 'Jubilado', 'Empresario'], 'c.user_id')} AS ocupacion,
+         {_turn(['App', 'Sucursal', 'Referido'], 'c.user_id')} AS canal_apertura,
+         {_turn(['App', 'Llamada', 'Chat', 'Sucursal'], 'c.user_id')} AS preferencia_canal,
+         {", ".join(f"coalesce(pf.{v}, false) AS {v}" for v in _PRODUCTS)},
+         {", ".join(f"coalesce(oft.{v}, false) AS {v}" for v in _OPERATIONS)},
+         st.monto_promedio, st.monto_min, st.monto_max, sa.saldo_promedio,
+         {days_between('st.primera', 'u.until')} AS antiguedad_dias,
+         {days_between('st.ultima', 'u.until')} AS dias_sin_tx,
+         mc.canal_moda, mt.categoria_mcc_moda, mi.input, md.dispositivo_moda
   FROM clients c
   LEFT JOIN pflags pf ON c.user_id = pf.user_id
   LEFT JOIN oflags oft ON c.user_id = oft.user_id
   LEFT JOIN tx_stats st ON c.user_id = st.user_id
-  CROSS JOIN tx_top tt
+  LEFT JOIN saldos sa ON c.user_id = sa.user_id
+  CROSS JOIN until u
   LEFT JOIN m_canal mc ON c.user_id = mc.user_id
   LEFT JOIN m_cat mt ON c.user_id = mt.user_id
-  LEFT JOIN m_input mi ON c.user_id = mi.user_id)"""
-
-
-def _features_base(pv, ov) -> str:
-    return with_ctes(CLIENTS, TRANSACTIONS, PRODUCTS, CONVERSATIONS, feature_ctes(pv, ov))
-
-
-def feature_table(pv, ov) -> str:
-    return f"""{_features_base(pv, ov)}
-SELECT * REPLACE (CAST(dias_desde_ultimo_login AS DOUBLE) AS dias_desde_ultimo_login,
-                  CAST(dias_sin_tx AS DOUBLE) AS dias_sin_tx) FROM features"""
-
-
-def _aligned_cols(have: set[str], table: str = "features") -> list[str]:
-    from ..operators.model import FEATURES, MISSING_CATEGORY
-
-    types = {"int64": "BIGINT", "float64": "DOUBLE", "string": "VARCHAR", "bool": "BOOLEAN"}
-    cols = []
-    for name, kind in FEATURES:
-        if name in have:
-            cols.append(f"CAST({name} AS VARCHAR) AS {name}" if kind == "string" else name)
-        elif kind == "string":
-            cols.append(f"'{MISSING_CATEGORY}' AS {name}")
-        elif kind == "bool":
-            cols.append(f"false AS {name}")
-        else:
-            cols.append(f"CAST(0 AS {types[kind]}) AS {name}")
-    return cols
-
-
-FEATURE_TABLE_COLUMNS = {"user_id", "edad", "estado", "ciudad", "ingreso_mensual_mxn", "dias_desde_ultimo_login",
-                         "satisfaccion_1_10", "num_productos_activos", "es_hey_pro", "UsuarioChurn",
-                         "monto_promedio", "monto_min", "monto_max", "dias_sin_tx", "canal_moda",
-                         "categoria_mcc_moda", "input"}
-
-
-def aligned_upload(pv, ov) -> str:
-    return f"""{_features_base(pv, ov)}
-SELECT * REPLACE (CAST(dias_desde_ultimo_login AS DOUBLE) AS dias_desde_ultimo_login) FROM (
-  SELECT user_id, {', '.join(_aligned_cols(FEATURE_TABLE_COLUMNS))} FROM features) a"""
-
-
-def _scored_upload(pv, ov) -> str:
-    aligned = ", ".join(_aligned_cols(FEATURE_TABLE_COLUMNS))
+  LEFT JOIN m_input mi ON c.user_id = mi.user_id
+  LEFT JOIN m_disp md ON c.user_id = md.user_id)"""
+
+FEATURES_BASE = with_ctes(CLIENTS, FEATURE_CTES)
+_NULLABLE_FEATURES = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in ("dias_desde_ultimo_login", "antiguedad_dias"))
+
+
+def feature_table() -> str:
+    return f"""{FEATURES_BASE}
+SELECT * REPLACE ({_NULLABLE_FEATURES}, CAST(dias_sin_tx AS DOUBLE) AS dias_sin_tx) FROM features"""
+
+
+def monthly_balances() -> str:
+    """Each month's share of every holding interval, summed."""
+    return f"""WITH {MOVES},
+firsts AS (SELECT user_id, date_trunc('month', min(t)) AS m0, min(s) AS s0 FROM signed GROUP BY user_id),
+months AS (
+  SELECT user_id, s0, CAST(unnest(range(CAST(m0 AS TIMESTAMP), CAST(date_trunc('month', until) AS TIMESTAMP) + INTERVAL 1 MONTH, INTERVAL 1 MONTH)) AS TIMESTAMP) AS m
+  FROM firsts CROSS JOIN until),
+spans AS (
+  SELECT user_id, m, CAST(floor(epoch_us(m) / 1000000) AS BIGINT) AS ms, greatest(s0, CAST(floor(epoch_us(m) / 1000000) AS BIGINT)) AS a,
+         least(until_s, CAST(floor(epoch_us(m + INTERVAL 1 MONTH) / 1000000) AS BIGINT)) AS b, CAST(floor(epoch_us(m + INTERVAL 1 MONTH) / 1000000) AS BIGINT) AS me
+  FROM months CROSS JOIN until),
+parts AS (
+  SELECT sp.user_id, sp.m, CAST(sum(CAST(r.bal AS HUGEINT) * greatest(least(r.nxt, sp.b) - greatest(r.s, sp.a), 0)) AS BIGINT) AS area,
+         CAST(sum(CASE WHEN r.s < sp.ms THEN r.c ELSE 0 END) AS BIGINT) AS opening,
+         CAST(sum(CASE WHEN r.s < sp.me THEN r.c ELSE 0 END) AS BIGINT) AS closing,
+         CAST(sum(CASE WHEN r.s >= sp.ms AND r.s < sp.me THEN 1 ELSE 0 END) AS BIGINT) AS movimientos, any_value(sp.b - sp.a) AS secs
+  FROM spans sp JOIN running r ON r.user_id = sp.user_id GROUP BY sp.user_id, sp.m)
+SELECT user_id, strftime(m, '%Y-%m') AS mes, CAST(opening AS DOUBLE) / {dbl(100)} AS saldo_inicial,
+       CASE WHEN secs > 0 THEN CAST(area AS DOUBLE) / CAST(secs AS DOUBLE) ELSE CAST(closing AS DOUBLE) END / {dbl(100)} AS saldo_medio,
+       CAST(closing AS DOUBLE) / {dbl(100)} AS saldo_final, movimientos
+FROM parts"""
+
+
+def aligned_upload() -> str:
+    return f"""{FEATURES_BASE}
+SELECT * REPLACE ({_NULLABLE_FEATURES}) FROM (SELECT user_id, {_ALIGNED} FROM features) a"""
+
+
+def _scored_upload() -> str:
     login = "coalesce(CAST(dias_desde_ultimo_login AS BIGINT), 0)"
     prods = "coalesce(CAST(num_productos_activos AS BIGINT), 0)"
     score = f"""round_even(
@@ -678,8 +714,8 @@ def _scored_upload(pv, ov) -> str:
     + ({dbl(10)} - coalesce(CAST(satisfaccion_1_10 AS DOUBLE), {dbl(5)})) / {dbl(9)} * {dbl(25)}
     + ({dbl(5)} - least(greatest({prods}, 0), 5)) / {dbl(5)} * {dbl(20)}
     + least(greatest(coalesce(dias_sin_tx, 90), 0), 90) / {dbl(90)} * {dbl(20)}, 1)"""
-    return f"""{_features_base(pv, ov)},
-aligned AS (SELECT user_id, dias_sin_tx, {aligned} FROM features),
+    return f"""{FEATURES_BASE},
+aligned AS (SELECT user_id, dias_sin_tx, {_ALIGNED} FROM features),
 proba AS (SELECT *, {score} / {dbl(100)} AS proba FROM aligned),
 scored AS (
   SELECT user_id, edad, num_productos_activos, satisfaccion_1_10, ingreso_mensual_mxn,
@@ -741,24 +777,24 @@ def income_sample_split(n: int, seed: int) -> str:
 FROM ({income_sample(n, seed)}) s"""
 
 
-def batch_report_table(pv, ov, k: int) -> str:
-    return f"{_scored_upload(pv, ov)}\nSELECT * FROM scored ORDER BY prob_churn DESC, user_id LIMIT {k}"
+def batch_report_table(k: int) -> str:
+    return f"{_scored_upload()}\nSELECT * FROM scored ORDER BY prob_churn DESC, user_id LIMIT {k}"
 
 
-def batch_report_cities(pv, ov, k: int) -> str:
-    return f"""{_scored_upload(pv, ov)}
+def batch_report_cities(k: int) -> str:
+    return f"""{_scored_upload()}
 SELECT ciudad, avg(prob_churn) AS prob_churn FROM scored GROUP BY ciudad
 ORDER BY prob_churn DESC, ciudad LIMIT {k}"""
 
 
-def batch_report_summary(pv, ov) -> str:
-    return f"""{_scored_upload(pv, ov)}
+def batch_report_summary() -> str:
+    return f"""{_scored_upload()}
 SELECT count(*) AS total_registros, avg(prob_churn) AS promedio_churn,
        {dbl(100)} - avg(prob_churn) AS promedio_retencion FROM scored"""
 
 
-def batch_report_scatter(pv, ov) -> str:
-    return f"{_scored_upload(pv, ov)}\nSELECT ingreso_mensual_mxn, prob_churn FROM scored"
+def batch_report_scatter() -> str:
+    return f"{_scored_upload()}\nSELECT ingreso_mensual_mxn, prob_churn FROM scored"
 
 
 def monthly_rollup_stream() -> str:
@@ -837,12 +873,13 @@ def all_sql() -> dict[str, str]:
         "retention_actions": retention_actions(),
         "action_messages": action_messages(),
         "high_risk_search": high_risk_search(P.HIGH_RISK_SEARCH_TERM, P.HIGH_RISK_SEARCH_ROWS),
-        "feature_table": feature_table(P.INPUT_VALUES, P.OPERATION_VALUES),
-        "aligned_upload": aligned_upload(P.INPUT_VALUES, P.OPERATION_VALUES),
-        "batch_report_table": batch_report_table(P.INPUT_VALUES, P.OPERATION_VALUES, P.REPORT_TOP_ROWS),
-        "batch_report_cities": batch_report_cities(P.INPUT_VALUES, P.OPERATION_VALUES, P.REPORT_TOP_CITIES),
-        "batch_report_summary": batch_report_summary(P.INPUT_VALUES, P.OPERATION_VALUES),
-        "batch_report_scatter": batch_report_scatter(P.INPUT_VALUES, P.OPERATION_VALUES),
+        "feature_table": feature_table(),
+        "monthly_balances": monthly_balances(),
+        "aligned_upload": aligned_upload(),
+        "batch_report_table": batch_report_table(P.REPORT_TOP_ROWS),
+        "batch_report_cities": batch_report_cities(P.REPORT_TOP_CITIES),
+        "batch_report_summary": batch_report_summary(),
+        "batch_report_scatter": batch_report_scatter(),
         "monthly_rollup_stream": monthly_rollup_stream(),
         "churn_model_summary": churn_model_summary(),
         "score_card_client": score_card_client(P.CLIENT_ID),

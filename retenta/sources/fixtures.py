@@ -22,11 +22,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.model import OPERATION_FLAGS, PRODUCT_FLAGS
 from ..functions.expr import CHURN_LABEL, NO_CHURN_LABEL, whole_days_between
 
 # Fixed values of the mapping.
 CHURN_AFTER_DAYS = 180          # no order for more than this many days before the last one → CHURN
 RETURN_FLAG = "R"               # lines whose part types count as held products
+# Client columns that only the model names; each takes its values in turn, by client key.
+ATTRIBUTES = {
+    "sexo": ["F", "M"],
+    "nivel_educativo": ["Preparatoria", "Licenciatura", "Posgrado"],
+    "ocupacion": ["Empleado", "Independiente", "Estudiante", "Jubilado", "Empresario"],
+    "canal_apertura": ["App", "Sucursal", "Referido"],
+    "preferencia_canal": ["App", "Llamada", "Chat", "Sucursal"],
+}
 
 
 # The driver-table columns this mapping reads, with their stored types.
@@ -77,7 +86,9 @@ def active_product_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def clients(spark: SparkSession, sf_dir: str) -> DataFrame:
+def clients(spark: SparkSession, sf_dir: str, product_counts: bool = True, attributes: bool = False) -> DataFrame:
+    """The client table; without ``product_counts`` lineitem is not read, and with
+    ``attributes`` the columns that only the model names are there too."""
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
     # nation has 25 rows at every scale factor: a broadcast with a fixed bound.
     nation = F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
@@ -85,12 +96,15 @@ def clients(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = _last_order_per_customer(orders)
     # the global last order: a scalar subquery (partial max per map task)
     overall_last = orders.agg(F.max("o_orderdate")).scalar()
-    prods = active_product_counts(spark, sf_dir)
     key = F.col("c_custkey")
+    joined = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    counts = []
+    if product_counts:
+        joined = joined.join(active_product_counts(spark, sf_dir), key == F.col("user_id"), "left")
+        counts = [F.coalesce(F.col("num_productos_activos"), F.lit(0).cast("long")).alias("num_productos_activos")]
+    own = [F.element_at(F.array(*map(F.lit, values)), (key % len(values) + 1).cast("int")).alias(c) for c, values in ATTRIBUTES.items()]
     return (
-        customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
-        .join(prods, key == F.col("user_id"), "left")
-        .join(last.filter(F.col("o_custkey").isNotNull()), key == F.col("o_custkey"), "left")
+        joined.join(last.filter(F.col("o_custkey").isNotNull()), key == F.col("o_custkey"), "left")
         .select(
             key.alias("user_id"),
             F.col("n_name").alias("estado"),
@@ -99,15 +113,48 @@ def clients(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("c_acctbal").alias("ingreso_mensual_mxn"),
             F.when(key % 13 != 0, (key * 37) % 121).alias("dias_desde_ultimo_login"),
             F.when(key % 11 != 0, (F.lit(1) + key % 10).cast("double")).alias("satisfaccion_1_10"),
-            F.coalesce(F.col("num_productos_activos"), F.lit(0).cast("long")).alias("num_productos_activos"),
+            *counts,
             (key % 4 == 0).alias("es_hey_pro"),
             F.when(
                 whole_days_between(F.col("last_order"), overall_last) > CHURN_AFTER_DAYS, F.lit(CHURN_LABEL)
             )
             .otherwise(F.lit(NO_CHURN_LABEL))
             .alias("UsuarioChurn"),
+            *(own if attributes else []),
+        )
+    )
+
+
+def feature_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Clients, transactions, products and conversations with what the feature table needs
+    beside the columns above: operation and contract under the model's names (by order and
+    part key), whether a product is active (its line was returned), and the conversations'
+    JSON text, cut off in every 17th event and null in every 19th."""
+    name = lambda names, key: F.element_at(F.array(*map(F.lit, names)), (key % len(names) + 1).cast("int"))
+    orders = table(spark, sf_dir, "orders")
+    moves = orders.select(
+        F.col("o_custkey").alias("user_id"),
+        F.col("o_totalprice").alias("monto"),
+        F.col("o_orderdate").alias("fecha_hora"),
+        F.col("o_orderpriority").alias("tipo_operacion"),
+        name(OPERATION_FLAGS, F.col("o_orderkey")).alias("operacion"),
+    )
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag")
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_type")
+    held = (
+        lines.join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(part, F.col("l_partkey") == F.col("p_partkey"))
+        .select(
+            F.col("o_custkey").alias("user_id"),
+            F.col("p_type").alias("producto"),
+            name(PRODUCT_FLAGS, F.col("l_partkey")).alias("contrato"),
+            (F.col("l_returnflag") == RETURN_FLAG).alias("activo"),
         )
     )
+    event = F.col("event_id")
+    props = F.when(event % 17 == 0, F.substring("props", 1, 5)).when(event % 19 != 0, F.col("props"))
+    talks = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("input"), props.alias("props"))
+    return clients(spark, sf_dir, product_counts=False, attributes=True), moves, held, talks
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Every operator accepts empty inputs and returns a well-formed (usually empty) frame."""
 
+from pyspark.sql import functions as F
+
 from retenta.operators import actions, features, kpis, lookup, model, monthly, rollups, scoring, segments
 
 CLIENTS = (
@@ -41,7 +43,10 @@ def test_empty_everything(spark):
     assert segments.top_products(usage).count() == 0
     assert monthly.operations_pivot(rollups.top_operations_by_month(t), ["a"]).count() == 0
     assert actions.retention_actions(scoring.high_risk_list(c, t)).count() == 0
-    ft = features.feature_table(c, t, p, v, ["x"], ["y"])
+    ft = features.feature_table(
+        c, t.withColumn("operacion", F.lit("compra")), p.withColumns({"contrato": F.lit("x"), "activo": F.lit(True)}),
+        v.withColumn("props", F.lit("{}")), ["x"], ["y"],
+    )
     assert ft.count() == 0
     up = model.scored_upload(ft, model.rule_scorer)
     assert up.count() == 0
