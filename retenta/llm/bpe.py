@@ -36,8 +36,12 @@ PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}
 
 STRETCHES = re.compile(" *[^ ]+| +")
 
-#: stretches and pieces that a worker remembers before it starts anew
-REMEMBERED = 100_000
+#: bytes of stretches and pieces that a worker remembers in one generation
+REMEMBERED = 96 << 20
+#: what an entry takes besides its letters and ids
+ENTRY = 250
+#: letters from which a stretch or piece is not remembered
+UNCOMMON = 200
 ROWS_AT_ONCE = 256
 
 #: bytes from which a piece is merged alone, with a queue
@@ -53,6 +57,37 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Remembered:
+    """Ids by text in two generations. What is asked for moves to the young one; when that
+    is full it becomes the old one, and what the old one held unasked is forgotten."""
+
+    def __init__(self, size: int = REMEMBERED):
+        self.size, self.young, self.old, self.held = size, {}, {}, 0
+        self.passing: list[str] = []
+
+    def lacking(self, asked: set[str]) -> set[str]:
+        """Which of ``asked`` aren't known; the others are in ``young`` from now on."""
+        lacking = asked.difference(self.young)
+        if lacking and self.old and (again := lacking.intersection(self.old)):
+            self.add({x: self.old[x] for x in again})
+            lacking -= again
+        return lacking
+
+    def add(self, found: dict[str, bytes]) -> None:
+        self.young.update(found)
+        self.held += sum(map(len, found)) + sum(map(len, found.values())) + ENTRY * len(found)
+        self.passing += [x for x in found if len(x) >= UNCOMMON]
+
+    def settle(self) -> None:
+        """Once a batch is done: long texts go, and a full generation becomes the old one."""
+        for x in self.passing:
+            if (ids := self.young.pop(x, None)) is not None:
+                self.held -= len(x) + len(ids) + ENTRY
+        self.passing = []
+        if self.held > self.size:
+            self.young, self.old, self.held = {}, self.young, 0
+
+
 class Vocabulary:
     """Token ids, merge ranks and forced boundaries of a byte-level BPE file."""
 
@@ -69,6 +104,7 @@ class Vocabulary:
         found = sorted(((a << 32) | b, rank, new) for (a, b), (rank, new) in self.merges.items())
         self.pair_keys, self.pair_ranks, self.pair_new = (np.array(x, np.int64) for x in zip(*found))
         self.special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
+        self.special_ids = {x: np.array([i], "<u4").tobytes() for x, i in self.special.items()}
         self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
         spelled = {i: token for token, i in ids.items()} | {i: token.encode() for token, i in self.special.items()}
@@ -84,8 +120,7 @@ class Vocabulary:
         self.forced = ~inside
         #: a space after one of these bytes may lie within a token
         self.before_space = [bytes([b]) for b in range(256) if b != 32 and not self.forced[b, 32]]
-        self.stretches: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.known = Remembered()
 
     def stretches_of(self, text: str) -> list[str]:
         """The text cut before each space that follows another character.
@@ -95,13 +130,16 @@ class Vocabulary:
         encoded independently.
         """
         parts = STRETCHES.findall(text)
-        if any(b + b" " in text.encode() for b in self.before_space):
-            closed = parts[:1]
-            for x in parts[1:]:
-                if closed[-1].encode()[-1:] in self.before_space:
+        spelled = text.encode() if self.before_space else b""
+        if any(b + b" " in spelled for b in self.before_space):
+            open_ends = {c for c in {x[-1] for x in parts} if c.encode()[-1:] in self.before_space}
+            closed, still = [], False
+            for x in parts:
+                if still:
                     closed[-1] += x
                 else:
                     closed.append(x)
+                still = x[-1] in open_ends
             return closed
         return parts
 
@@ -173,36 +211,49 @@ class Vocabulary:
         blob, ends = out[kept].astype("<u4").tobytes(), (np.cumsum(counts) * 4).tolist()
         return [blob[a:b] for a, b in zip([0, *ends], ends)]
 
+    def pieces_of(self, stretches: list[str]) -> tuple[list[str], list[int]]:
+        """The pieces of all stretches in order, and where each stretch's end among them.
+
+        Stretches that start with a space and end otherwise are split in one string: a piece
+        starts at each of those spaces, as it does in a text.
+        """
+        pieces = PIECES.findall("".join(stretches))
+        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        return pieces, (np.searchsorted(ends, np.cumsum(np.fromiter(map(len, stretches), np.int64, len(stretches)))) + 1).tolist()
+
     def remember(self, stretches: set[str]) -> None:
-        """Encode stretches of which the ids aren't known yet."""
-        pieces = {x: PIECES.findall(x) for x in stretches}
-        lacking = [x for x in {p for parts in pieces.values() for p in parts} if x not in self.pieces]
+        """Encode stretches of which the ids aren't known yet, and their pieces: a piece that
+        stands alone is split and encoded as it is within a stretch."""
+        together = [x for x in stretches if x[0] == " " and not x[-1].isspace()]
+        pieces, ends = self.pieces_of(together)
+        others = {x: PIECES.findall(x) for x in stretches.difference(together)}
+        lacking = list(self.known.lacking(set(pieces).union(*others.values())))
         spelled = [x.encode() for x in lacking]
         short = [(x, y) for x, y in zip(lacking, spelled) if len(y) < LONG]
-        if short:
-            self.pieces.update(zip((x for x, _ in short), self.encode_pieces([y for _, y in short])))
+        found = dict(zip((x for x, _ in short), self.encode_pieces([y for _, y in short]))) if short else {}
         for x, y in zip(lacking, spelled):
             if len(y) >= LONG:
                 codes = np.frombuffer(y, np.uint8)
                 cuts = [0, *(np.flatnonzero(self.forced[codes[:-1], codes[1:]]) + 1).tolist(), len(y)]
-                self.pieces[x] = np.array([i for a, b in zip(cuts, cuts[1:]) for i in self.merged(y[a:b])], "<u4").tobytes()
-        known = self.pieces
-        for x, parts in pieces.items():
-            self.stretches[x] = known[x] if len(parts) == 1 else b"".join([known[p] for p in parts])
+                found[x] = np.array([i for a, b in zip(cuts, cuts[1:]) for i in self.merged(y[a:b])], "<u4").tobytes()
+        self.known.add(found)
+        of = self.known.young
+        ids = [of[p] for p in pieces]
+        several = {x: b"".join(ids[a:b]) for x, a, b in zip(together, [0, *ends], ends) if b - a > 1}
+        several |= {x: b"".join([of[p] for p in parts]) for x, parts in others.items() if len(parts) > 1}
+        self.known.add(several)
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Of each text the ids as little-endian unsigned 32-bit integers."""
-        if len(self.stretches) > REMEMBERED:
-            self.stretches.clear()
-        if len(self.pieces) > REMEMBERED:
-            self.pieces.clear()
         cut = [[y for part in self.split_special(x) for y in ([part] if part in self.special else self.stretches_of(part))] for x in texts]
-        lacking = set().union(*cut).difference(self.stretches, self.special)
+        lacking = self.known.lacking(set().union(*cut).difference(self.special))
         if lacking:
             self.remember(lacking)
-        known = self.stretches.__getitem__
-        self.stretches.update({x: np.array([i], "<u4").tobytes() for x, i in self.special.items()})
-        return [b"".join(map(known, parts)) for parts in cut]
+        known = self.known.young
+        known.update(self.special_ids)
+        out = [b"".join(map(known.__getitem__, parts)) for parts in cut]
+        self.known.settle()
+        return out
 
     def decode(self, ids: bytes) -> str:
         """The text of the ids; bytes that are no UTF-8 become U+FFFD."""

@@ -400,3 +400,23 @@ def test_pipeline_stages(spark, docs, tmp_path):
             out.write.parquet(f"{tmp_path}/{i}")
             now = spark.read.parquet(f"{tmp_path}/{i}")
     assert out.count() == now.count() and out.filter("NOT round_trip").count() == 0
+
+
+def test_bpe_of_a_long_text_without_spaces():
+    t, v, rng = Tokenizer.from_file(PATH), bpe.Vocabulary(open(PATH, "rb").read()), random.Random(8)
+    text = "".join(rng.choices("abcdefghij,éà9", k=5_000_000))
+    assert np.frombuffer(v.encode_batch([text])[0], "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+    assert all(len(x) < bpe.UNCOMMON for x in v.known.young)  # it isn't remembered
+    one = "x" * 300_000
+    assert np.frombuffer(v.encode_batch([one])[0], "<u4").tolist() == t.encode(one, add_special_tokens=False).ids
+
+
+def test_bpe_with_little_memory():
+    t, v, rng = Tokenizer.from_file(PATH), bpe.Vocabulary(open(PATH, "rb").read()), random.Random(3)
+    v.known = bpe.Remembered(3000)
+    words = [rng.choice(["", "é", "à", "x\n", "<|endoftext|>"]) + "".join(rng.choices("abcdeé'1\t ", k=rng.randint(1, 9))) for _ in range(300)]
+    for _ in range(60):
+        batch = [" ".join(rng.choices(words, k=20)) for _ in range(5)]
+        for x, ids in zip(batch, v.encode_batch(batch)):
+            assert np.frombuffer(ids, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
+        assert v.known.held <= 3000 and v.known.held == sum(len(x) + len(y) + bpe.ENTRY for x, y in v.known.young.items() if x not in v.special)
