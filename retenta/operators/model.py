@@ -192,6 +192,11 @@ def table_features(df: DataFrame, exclude: Sequence[str]) -> list[tuple[str, str
     return out
 
 
+def numeric_features(features: Sequence[tuple[str, str]] = FEATURES) -> list[tuple[str, str]]:
+    """The features that are numbers or flags: what a model compiled to expressions uses."""
+    return [(name, kind) for name, kind in features if kind != "string"]
+
+
 def held_out(id_col: str = "user_id", sixteenths: int = HELD_OUT_SIXTEENTHS) -> Column:
     """Whether a client is kept from training: by the first hex digit of its id's md5,
     the same on every run."""

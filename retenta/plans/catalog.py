@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from ..operators import actions, balances, features, kpis, lookup, model, monthly, rollups, scoring, segments
+from ..operators import actions, balances, features, kpis, lookup, model, monthly, rollups, scoring, segments, trees
 from ..sources import readers
 from . import params as P
 from ..session import checkpoint_dir, materialize
@@ -247,23 +247,28 @@ def q_batch_report_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_churn_model_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Train the GBT pipeline on the feature table and score it (F7, M2); no SQL twin.
-
-    ``auc_prueba`` is the area under the ROC curve on the clients kept from training.
-    """
-    table, fitted, feats, auc = trained(spark, sf_dir)
-    scored = model.scored_upload(table, model.ml_scorer(fitted, feats), features=feats)
-    return scored.select("user_id", "prob_churn", "pred_churn", F.lit(auc).alias("auc_prueba"))
+    """Every client scored by the stored model, compiled to expressions (M2): probability,
+    whole percent and class."""
+    table = customer_features(spark, sf_dir)
+    scored = trees.scorer(trees.stored())(table)
+    return scored.select(
+        "user_id",
+        F.round("proba", 9).alias("probabilidad"),
+        X.truncated_percent("proba").alias("prob_churn"),
+        X.predicted_class("proba").alias("pred_churn"),
+    )
 
 
-def trained(spark: SparkSession, sf_dir: str) -> tuple:
+def trained(spark: SparkSession, sf_dir: str, numbers_only: bool = False) -> tuple:
     """(feature table, model, its features, AUC on the held-out clients).
 
     The feature table is checkpointed once; training, evaluation and scoring read it.
-    ``dias_sin_tx`` is no feature: the label is made of the days since the last order.
+    ``dias_sin_tx`` is no feature: the label is made of the days since the last order. With
+    ``numbers_only`` the fitted trees can be written as expressions.
     """
     table = materialize(customer_features(spark, sf_dir), "checkpoint")
     feats = model.table_features(table, exclude=["user_id", "UsuarioChurn", "dias_sin_tx"])
+    feats = model.numeric_features(feats) if numbers_only else feats
     fitted, feats = model.train_churn_model(table.filter(~model.held_out()), feats, max_iter=P.MODEL_ITERATIONS)
     return table, fitted, feats, model.evaluate_auc(fitted, table.filter(model.held_out()), feats)
 

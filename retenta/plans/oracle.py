@@ -744,6 +744,17 @@ def written_clients() -> str:
 SELECT * REPLACE (CAST(dias_desde_ultimo_login AS DOUBLE) AS dias_desde_ultimo_login) FROM clients"""
 
 
+def churn_model_predictions() -> str:
+    """The stored model's trees as SQL; features that are missing count as 0."""
+    from ..operators.trees import stored
+
+    proba = stored().sql(lambda c: f"coalesce(CAST({c} AS DOUBLE), CAST(0 AS DOUBLE))")
+    return f"""{FEATURES_BASE},
+proba AS (SELECT user_id, {proba} AS p FROM features)
+SELECT user_id, round(p, 9) AS probabilidad, CAST(trunc(p * {dbl(100)}) AS INTEGER) AS prob_churn,
+       CAST(p >= {dbl(0.5)} AS INTEGER) AS pred_churn FROM proba"""
+
+
 def churn_model_summary() -> str:
     return f"""{BASE_CLIENTS}
 SELECT CASE WHEN substr(md5(CAST(user_id AS VARCHAR)), 1, 1) IN ('0', '1', '2', '3')
@@ -882,6 +893,7 @@ def all_sql() -> dict[str, str]:
         "batch_report_scatter": batch_report_scatter(),
         "monthly_rollup_stream": monthly_rollup_stream(),
         "churn_model_summary": churn_model_summary(),
+        "churn_model_predictions": churn_model_predictions(),
         "score_card_client": score_card_client(P.CLIENT_ID),
         "one_client_transactions": one_client_transactions(P.CLIENT_ID, **P.CLIENT_TX_PAGE),
         "one_client_conversations": one_client_conversations(P.CLIENT_ID),
