@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,7 +41,9 @@ SEED = 42
 QUARTERS = list(combinations(range(4), 2))
 
 #: classes of a bucket that are compared in one piece
-BUCKET = 4096
+BUCKET = 2048
+#: fingerprints that are compared with all lanes at once
+TILE = 512
 #: filed rows that a task compares
 TASK_ROWS = 200_000
 HASHES_AT_ONCE = 1 << 15
@@ -79,55 +82,53 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sh
     return out.withColumn("row", F.monotonically_increasing_id())
 
 
-def within(fps: np.ndarray, radius: int, skip: int = 0) -> np.ndarray:
-    """Row i, lane j of the result, 64 lanes a word: whether fingerprints i and j differ in
-    at most ``radius`` bits. ``skip``: a mask of bits in which all of them agree."""
+def within(fps: np.ndarray, radius: int, skip: int = 0) -> Iterator[np.ndarray]:
+    """For TILE fingerprints after the other, a table of which row i, lane j, 64 lanes a word,
+    says whether that fingerprint and the j-th of all differ in at most ``radius`` bits.
+    ``skip``: a mask of bits in which all of them agree."""
     n = len(fps)
     words = -(-n // 64)
     bits = np.unpackbits(fps.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
     lanes = np.zeros((64, words * 64), np.uint8)
     lanes[:, :n] = bits.T
     planes = np.packbits(lanes, axis=1, bitorder="little").view("<u8")
-    out = np.zeros((n, words), np.uint64)
-    rows = np.arange(n)
-    counter = [np.zeros((n, words), np.uint64) for _ in range((radius + 1).bit_length())]
-    over = np.zeros((n, words), np.uint64)
-
-    def exceeding() -> np.ndarray:
-        found = over.copy()
-        for value in range(radius + 1, 1 << len(counter)):
-            hit = np.full_like(over, FULL)
-            for k, c in enumerate(counter):
-                hit &= c if value >> k & 1 else ~c
-            found |= hit
-        return found
-
-    for done, p in enumerate([p for p in range(64) if not skip >> p & 1], 1):
-        carry = planes[p][None, :] ^ np.where(bits[rows, p], FULL, np.uint64(0))[:, None]
-        for k, c in enumerate(counter):
-            counter[k], carry = c ^ carry, c & carry
-        over |= carry
-        if done % 8 == 0 and len(rows):
-            going = (exceeding() != FULL).any(axis=1)  # of the others every lane exceeds
-            if not going.all():
-                rows, over, counter = rows[going], over[going], [c[going] for c in counter]
-    out[rows] = ~exceeding()
-    return out
-
-
-def forest(close: np.ndarray) -> np.ndarray:
-    """Of the graph in ``within``'s form, for each row the smallest row it is connected to."""
-    n = len(close)
-    label = np.full(n, -1)
-    for first in range(n):
-        if label[first] >= 0:
-            continue
-        label[first], front = first, np.array([first])
-        while len(front):
-            reached = np.bitwise_or.reduce(close[front], axis=0)
-            lanes = np.unpackbits(reached.view(np.uint8), bitorder="little")[:n].astype(bool)
-            front = np.flatnonzero(lanes & (label < 0))
-            label[front] = first
+    # counters start so that they run over at radius + 1
+    width = (radius + 1).bit_length()
+    offset = (1 << width) - radius - 1
+    for first in range(0, n, TILE):
+        tile = bits[first : first + TILE]
+        out = np.zeros((len(tile), words), np.uint64)
+        rows = np.arange(len(tile))
+        counter = [np.full((len(tile), words), FULL if offset >> k & 1 else np.uint64(0)) for k in range(width)]
+        over = np.zeros((len(tile), words), np.uint64)
+        for done, p in enumerate([p for p in range(64) if not skip >> p & 1], 1):
+            carry = planes[p][None, :] ^ np.where(tile[rows, p], FULL, np.uint64(0))[:, None]
+            for c in counter:
+                lost = c & carry
+                c ^= carry
+                carry = lost
+            over |= carry
+            if done % 8 == 0 and len(rows):
+                going = (over != FULL).any(axis=1)  # of the others every lane exceeds
+                if not going.all():
+                    rows, over, counter = rows[going], over[going], [c[going] for c in counter]
+        out[rows] = ~over
+        yield out
+
+
+def forest(fps: np.ndarray, radius: int, skip: int = 0) -> np.ndarray:
+    """For each fingerprint the first of all that it is connected to by links. Of the tables
+    of ``within`` no more than one is held."""
+    n = len(fps)
+    label = np.arange(n)
+    for close in within(fps, radius, skip):
+        for row in np.flatnonzero(np.bitwise_count(close).sum(axis=1) > 1):
+            near = np.flatnonzero(np.unpackbits(close[row].view(np.uint8), bitorder="little")[:n])
+            found = np.unique(label[near])
+            if len(found) > 1:
+                joined = np.zeros(n, bool)
+                joined[found[1:]] = True
+                label[joined[label]] = found[0]
     return label
 
 
@@ -149,7 +150,7 @@ def _bucket_links(table: pa.Table, radius: int) -> pa.Table:
             continue
         members = np.unique(fps[a:b])
         x, y = QUARTERS[pair[a]]
-        label = forest(within(members, radius, 0xFFFF << 16 * x | 0xFFFF << 16 * y))
+        label = forest(members, radius, 0xFFFF << 16 * x | 0xFFFF << 16 * y)
         linked = label != np.arange(len(members))
         left.append(members[label[linked]])
         right.append(members[linked])
@@ -204,10 +205,11 @@ def group(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle:
 
 
 def kept_rows(docs: DataFrame, grouped: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``group`` kept, with their own columns; rows of equal id
-    and text count as one."""
+    """The rows of ``docs`` that ``group`` kept, with their own columns. Of rows of equal id and
+    text one stays, that of the smallest hash of all columns."""
     columns = docs.columns
-    none = F.lit(-(2**63)).cast("long")
-    keys = grouped.filter("kept").select(F.coalesce(F.col(id_col).cast("long"), none).alias("__id"), F.col("text_key").alias("__text")).distinct()
-    marked = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), none), "__text": F.xxhash64(text_of(text))})
-    return marked.join(keys, ["__id", "__text"]).dropDuplicates(["__id", "__text"]).select(*[F.col(f"`{c}`") for c in columns])
+    named = lambda: F.concat(F.when(F.col(f"`{id_col}`").isNull(), "n").otherwise("v"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")))
+    keys = grouped.filter("kept").select(named().alias("__id"), F.col("text_key").alias("__text")).distinct()
+    marked = docs.withColumns({"__id": named(), "__text": F.xxhash64(text_of(text)), "__row": F.xxhash64(*[F.col(f"`{c}`") for c in columns])})
+    place = F.row_number().over(W.partitionBy("__id", "__text").orderBy("__row"))
+    return marked.join(keys, ["__id", "__text"]).withColumn("__place", place).filter("__place = 1").select(*[F.col(f"`{c}`") for c in columns])
