@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from retenta.llm import ann, bpe, conversation_repair, hard_negatives, license_scan, lm_scoring, mixing, quality, secret_scan, sharding, simhash, warc
 from retenta.llm.exact_dedup import DigestIndex
+from retenta.llm.staging import staged
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +40,9 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = DigestIndex(spark).add(documents(spark, sf_dir))
+    index = DigestIndex(spark)
+    out = staged(index.add(documents(spark, sf_dir), batches=2), "dedup-decisions")
+    index.forget()
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
