@@ -25,7 +25,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document of the smallest id stays."""
-    return exact_dedup.kept_rows(docs, exact_dedup.DigestIndex(spark).add(docs))
+    index = exact_dedup.DigestIndex(spark)
+    decisions = staged(index.add(docs, batches=2), "dedup-decisions")
+    index.forget()
+    return exact_dedup.kept_rows(docs, decisions)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -213,9 +213,11 @@ def mix_sizes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sourc
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", shards: int = SHARDS, blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
     """The rows of the mix with exactly the columns of ``docs``; a row that is taken n times
-    is there n times."""
+    is there n times. They are written as they are mixed: shard after shard, each in the
+    order of its shuffle; a shard larger than a task's share runs over several."""
     names = docs.columns
     at = {c: f"c{i}" for i, c in enumerate(names)}
     rows = docs.select(*[F.col(f"`{c}`").alias(at[c]) for c in names])
     drawn = mix(rows, at[id_col], at[text], at[source], shards, blocks, seed).withColumn("draw", F.explode("draws"))
-    return drawn.select(*[F.col(at[c]).alias(c) for c in names])
+    ordered = drawn.repartitionByRange("draw.shard", "draw.place").sortWithinPartitions("draw.shard", "draw.place")
+    return ordered.select(*[F.col(at[c]).alias(c) for c in names])
