@@ -52,7 +52,7 @@ DATE = "1970-01-01T00:00:00Z"
 LEVEL = 6
 #: bytes of one read, and of the slices of archives that tasks read
 READ_BYTES = 8 << 20
-SLICE_BYTES = 64 << 20
+SLICE_BYTES = 16 << 20
 OUT_BYTES = 4 << 20
 OUT_ROWS = 1000
 
@@ -64,22 +64,27 @@ def base32_of(hex_digest: Column) -> Column:
     return F.translate(F.concat(*fives), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
+def _page() -> Column:
+    """A short key of a page's id and url; lengths first, so that no two are written alike."""
+    named = lambda c: F.concat(F.when(F.col(c).isNull(), "n").otherwise("v"), F.coalesce(F.col(c).cast("string"), F.lit("")))
+    return F.unhex(F.sha2(F.concat_ws(":", F.length(named("id")), named("id"), named("url")), 256))
+
+
 def _typed(pages: DataFrame, id_col: str, url_col: str, payload_col: str, min_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """(what to write of each distinct page and how often, the pages themselves)."""
+    """(what to write of each distinct page and how often, the pages' payloads)."""
     rows = pages.select(
         F.col(f"`{id_col}`").alias("id"),
         F.col(f"`{url_col}`").cast("string").alias("url"),
         F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit("")).alias("payload"),
-    ).withColumn("digest", F.sha1(F.col("payload").cast("binary")))
-    named = lambda c: F.concat(F.when(F.col(c).isNull(), "n").otherwise("v"), F.coalesce(F.col(c).cast("string"), F.lit("")))
-    rows = rows.withColumns({"id_key": named("id"), "url_key": named("url")})
-    distinct = rows.groupBy("id_key", "url_key", "digest", "id", "url", F.octet_length("payload").cast("long").alias("size")).agg(F.count(F.lit(1)).alias("n"))
-    first = distinct.filter(F.col("size") >= min_bytes).groupBy("digest").agg(F.max(F.struct("id", "url")).alias("first"), F.count(F.lit(1)).alias("pages"))
+    ).withColumn("digest", F.unhex(F.sha1(F.col("payload").cast("binary"))))
+    distinct = rows.groupBy("digest", "id", "url", F.octet_length("payload").cast("long").alias("size")).agg(F.count(F.lit(1)).alias("n"))
+    here = F.struct("id", "url")
+    first = distinct.filter(F.col("size") >= min_bytes).groupBy("digest").agg(F.max(here).alias("first"), F.count(F.lit(1)).alias("pages"))
     # most payloads are one page's only: those need no join
     shared = first.filter("pages > 1").select("digest", "first")
-    out = attach(distinct, shared, "digest", F.struct("id", "url"))
-    here = F.struct("id", "url")
-    return out.withColumn("first", F.when(F.col("size") >= min_bytes, F.coalesce("first", here))).withColumn("response", F.col("first").isNull() | here.eqNullSafe(F.col("first"))), rows
+    out = attach(distinct, shared, "digest", here)
+    out = out.withColumn("response", F.col("first").isNull() | here.eqNullSafe(F.col("first")))
+    return out, rows.select("digest", _page().alias("page"), "payload")
 
 
 def _urn(page: Column, digest: Column) -> Column:
@@ -91,7 +96,7 @@ def _record(kind: str, body: Column, copy: Column) -> Column:
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     url = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
     block = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit(END), body)
-    digest = base32_of(F.col("digest"))
+    digest = base32_of(F.hex("digest"))
     head = [
         F.lit(f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Date: {DATE}\r\n"),
         line("WARC-Record-ID", F.concat(_urn(F.col("id"), digest), F.lit("."), copy.cast("string"), F.lit(">"))),
@@ -107,15 +112,16 @@ def _record(kind: str, body: Column, copy: Column) -> Column:
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0) -> None:
     """Write a record per page to files in ``folder`` (new), each one gzip stream. Payloads of
     fewer than ``min_bytes`` bytes are written again for each page."""
-    typed, rows = _typed(pages, id_col, url_col, payload_col, min_bytes)
+    typed, payloads = _typed(pages, id_col, url_col, payload_col, min_bytes)
     typed = staged(typed, "warc-types")
-    keys = ["id_key", "url_key", "digest"]
-    once = F.col("first").isNotNull()  # other payloads are written n times
-    payloads = rows.select(*keys, "payload").dropDuplicates(keys)
+    typed = typed.withColumn("page", _page())
+    once = F.col("size") >= min_bytes  # smaller payloads are written n times
     whole = typed.filter("response").withColumn("times", F.when(once, 1).otherwise(F.col("n")))
     bare = typed.withColumn("times", F.when(~F.col("response"), F.col("n")).when(once, F.col("n") - 1).otherwise(0)).filter("times > 0")
+    bare = bare.withColumn("first", F.coalesce("first", F.struct("id", "url")))
     copies = lambda df, at: df.withColumn("copy", F.explode(F.sequence(F.lit(at).cast("long"), F.col("times") + (at - 1))))
-    responses = copies(payloads.join(whole, keys), 1).select(_record("response", F.col("payload"), F.col("copy")).alias("value"))
+    found = payloads.dropDuplicates(["digest", "page"]).join(whole, ["digest", "page"])
+    responses = copies(found, 1).select(_record("response", F.col("payload"), F.col("copy")).alias("value"))
     revisits = copies(bare, 2).select(_record("revisit", F.lit(""), F.col("copy")).alias("value"))
     responses.unionByName(revisits).write.option("lineSep", END).option("compression", "gzip").text(folder)
 
@@ -266,7 +272,9 @@ def read_records(spark: SparkSession, folder: str, index: DataFrame | None = Non
     side are read at once, up to READ_BYTES."""
     index = read_index(spark, folder) if index is None else index
     dealt = index.select("archive", "offset", "length", F.expr(f"offset div {SLICE_BYTES}").alias("slice"))
-    dealt = dealt.repartition("archive", "slice").sortWithinPartitions("archive", "offset")
+    # an index row is small and stands for much to read, so tasks are counted by slices
+    slices = dealt.select("archive", "slice").distinct().count()
+    dealt = dealt.repartition(max(1, slices), "archive", "slice").sortWithinPartitions("archive", "offset")
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, list[int]]]:
         archive, start, lengths, total = None, 0, [], 0

@@ -84,6 +84,47 @@ def test_exact_dedup_in_batches(spark, docs, plain):
     assert index.add(docs.limit(0)).count() == 0
 
 
+def test_exact_dedup_goes_on_in_another_session(spark, docs, plain):
+    """A catalog that never saw the index: it is found in the folder, whole."""
+    name = f"index_{random.Random().getrandbits(60):x}"
+    first = exact_dedup.DigestIndex(spark, name)
+    kept = {r["doc_id"] for r in first.add(docs.filter("doc_id < 70")).filter("kept").collect()}
+    first.forget()
+    assert not spark.catalog.tableExists(name)
+    second = exact_dedup.DigestIndex(spark, name)
+    assert second.exists() and second.read().count() == len(kept)
+    again = second.add(docs.filter("doc_id < 70")).collect()
+    assert not any(r["kept"] for r in again) and {r["keep_id"] for r in again} == kept
+    rest = second.add(docs.filter("doc_id >= 70"), batches=3).collect()
+    groups = {normal(r["text"]) for r in plain.values()}
+    assert second.read().count() == len(groups) and len(rest) == sum(i >= 70 for i in plain)
+    plan = second.read().groupBy("digest").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan
+    second.forget()
+
+
+def test_exact_dedup_of_text_ids(spark):
+    rows = spark.createDataFrame([("b", "x y", 1), ("a", "x  y", 2), (None, "x y", 3), ("a", "x  y", 4), ("c", "z", 5)], "doc_id string, text string, n int")
+    decisions = exact_dedup.DigestIndex(spark).add(rows, batches=2)
+    assert {(r["doc_id"], r["keep_id"], r["group_size"]) for r in decisions.collect()} == {("b", "a", 4), ("a", "a", 4), (None, "a", 4), ("c", "c", 1)}
+    kept = exact_dedup.kept_rows(rows, decisions).collect()
+    assert sorted(r["doc_id"] for r in kept) == ["a", "c"]
+    assert exact_dedup.kept_rows(rows.repartition(3), decisions).exceptAll(exact_dedup.kept_rows(rows.repartition(2), decisions)).isEmpty()
+
+
+def test_simhash_of_text_ids(spark):
+    rows = spark.createDataFrame([("b", "one two three"), ("a", "one two three"), (None, "one two three"), ("c", "")], "doc_id string, text string")
+    grouped = simhash.group(rows)
+    assert {(r["doc_id"], r["component_id"]) for r in grouped.collect()} == {("b", "a"), ("a", "a"), (None, "a"), ("c", "c")}
+    assert sorted(r["doc_id"] for r in simhash.kept_rows(rows, grouped).collect()) == ["a", "c"]
+
+
+def test_mixed_rows_lie_shard_by_shard(docs):
+    draws = {r["doc_id"]: r["draws"] for r in mixing.mix(docs).collect()}
+    path = [(d["shard"], d["place"]) for r in mixing.mixed_rows(docs).collect() for d in [draws[r["doc_id"]]] if len(d) == 1 for d in d]
+    assert path == sorted(path) and len({s for s, _ in path}) > 1
+
+
 def test_exact_dedup_keeps_one_of_repeated_rows(spark):
     rows = spark.createDataFrame([(1, "a b"), (1, "a  b"), (None, "a b"), (None, "c"), (2, None), (3, "")], "doc_id long, text string")
     decisions = exact_dedup.DigestIndex(spark).add(rows)
@@ -156,7 +197,7 @@ def test_simhash_cuts_large_buckets(spark, monkeypatch):
     rng = random.Random(3)
     base = [rng.getrandbits(64) for _ in range(12)]
     fps = sorted({b ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for b in base for _ in range(40)})
-    near = simhash.within(np.array(fps, "<u8"), 2)
+    near = np.concatenate(list(simhash.within(np.array(fps, "<u8"), 2)))
     lanes = np.unpackbits(near.view(np.uint8), axis=1, bitorder="little")[:, : len(fps)]
     assert all(bool(lanes[i, j]) == (bin(a ^ b).count("1") <= 2) for i, a in enumerate(fps) for j, b in enumerate(fps))
     monkeypatch.setattr(simhash, "BUCKET", 5)
