@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import expr as X
+from ..session import materialize
 
 # The model's feature list with declared types, in model order.
 FEATURES = [
@@ -247,25 +249,39 @@ def evaluate_auc(
     return BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction").evaluate(pred)
 
 
-def with_row_index(df: DataFrame, out_col: str = "_row") -> DataFrame:
-    """0-based contiguous row numbers in input order, without a single-partition window.
+#: blocks whose offsets are broadcast; more are joined
+BROADCAST_BLOCKS = 100_000
 
-    Each row gets (rows in earlier partitions) + (position in its partition): the
-    per-partition counts are one small aggregate (one row per partition), whose
-    running sum is broadcast back.
-    """
-    tagged = df.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
-    tagged = tagged.withColumn("_pos", F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33))
-    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    return (
-        tagged.join(F.broadcast(offsets), "_pid")
-        .withColumn(out_col, F.col("_off") + F.col("_pos"))
-        .drop("_pid", "_mid", "_pos", "_off")
-    )
 
+def with_row_index(df: DataFrame, out_col: str = "_row") -> DataFrame:
+    """0-based contiguous row numbers in input order.
 
+    Rows that are read from files are numbered in the order of the files' paths and of the
+    places in them, however Spark splits or packs the files: a row's number is the rows of
+    all blocks before its own plus its position in the block. Other frames are numbered in
+    the order of their partitions. Blocks are counted in one aggregate; the running sum over
+    them runs in range partitions, of which only the sums (one a partition) reach the driver.
+    """
+    try:
+        at = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
+    except AnalysisException:
+        at = df.select("*", F.lit("").alias("_file"), F.spark_partition_id().cast("long").alias("_start"))
+    tagged = at.withColumn("_mid", F.monotonically_increasing_id())
+    blocks = tagged.groupBy("_file", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
+    ranged = materialize(blocks.repartitionByRange("_file", "_start").withColumn("_part", F.spark_partition_id()), "checkpoint")
+    before, total, n_blocks = {}, 0, 0
+    for r in ranged.groupBy("_part").agg(F.sum("_n").alias("rows"), F.count(F.lit(1)).alias("blocks")).orderBy("_part").collect():
+        before[r["_part"]], total, n_blocks = total, total + r["rows"], n_blocks + r["blocks"]
+    w = Window.partitionBy("_part").orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    starts = F.create_map(*[F.lit(x).cast("long") for pair in before.items() for x in pair]) if before else F.create_map(F.lit(0).cast("long"), F.lit(0).cast("long"))
+    offset = starts[F.col("_part").cast("long")] + F.coalesce(F.sum("_n").over(w), F.lit(0))
+    offsets = ranged.select("_file", "_start", "_first", offset.alias("_off"))
+    offsets = F.broadcast(offsets) if n_blocks <= BROADCAST_BLOCKS else offsets
+    numbered = tagged.join(offsets, ["_file", "_start"])
+    return numbered.withColumn(out_col, F.col("_off") + F.col("_mid") - F.col("_first")).drop("_file", "_start", "_mid", "_first", "_off")
+
+
+# The report's columns, in output order.
 REPORT_COLUMNS = [
     "user_id", "edad", "num_productos_activos", "satisfaccion_1_10", "ingreso_mensual_mxn", "prob_churn", "ciudad",
 ]

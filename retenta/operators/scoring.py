@@ -113,15 +113,18 @@ def high_risk_list(clients: DataFrame, transactions: DataFrame, threshold: float
 
 
 def high_risk_top(clients: DataFrame, transactions: DataFrame, k: int = 20, threshold: float = 60.0) -> DataFrame:
-    """High-risk list, top ``k`` by score (M5, L1).
+    """High-risk list, top ``k`` by score, with ``total``, the number of all matches (M5, L1).
 
     Ties are broken by ``user_id`` so the list is repeatable (D5). Plans as
-    TakeOrderedAndProject: each partition keeps its own top ``k``.
+    TakeOrderedAndProject: each partition keeps its own top ``k``. The total needs the label
+    only: a scalar subquery that reads neither transactions nor the other columns.
     """
+    total = clients.filter(X.label_score("UsuarioChurn") >= threshold).agg(F.count(F.lit(1))).scalar()
     return (
         high_risk_list(clients, transactions, threshold)
         .orderBy(F.col("churn_score").desc(), F.col("user_id").asc())
         .limit(k)
+        .withColumn("total", total)
     )
 
 

@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from ..operators import actions, balances, features, kpis, lookup, model, monthly, rollups, scoring, segments, trees
-from ..sources import readers
+from ..operators import actions, balances, features, kpis, lookup, model, monthly, page_index, rollups, scoring, segments, trees
+from ..sources import monthly_files, readers
 from . import params as P
 from ..session import checkpoint_dir, materialize
 from ..sources import fixtures as fx
@@ -29,6 +29,11 @@ TS_TEXT = "yyyy-MM-dd HH:mm:ss"
 NULLABLE_COUNTS = ["dias_desde_ultimo_login", "total_tx", "dias_sin_tx", "antiguedad_dias"]
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def nullable_counts_as_double(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") for c in NULLABLE_COUNTS if c in df.columns})
 
@@ -70,6 +75,24 @@ def q_high_risk_page_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nullable_counts_as_double(lookup.high_risk_page(scored_snapshot(spark, sf_dir), **P.HIGH_RISK_PAGE_STATE))
 
 
+def page_index_path(spark: SparkSession, sf_dir: str) -> str:
+    """A page index of the scored clients, written to a new folder."""
+    path = fresh_folder(spark, "pages")
+    page_index.write_page_index(scored_clients(spark, sf_dir), path, P.PAGE_RANGES)
+    return path
+
+
+def q_high_risk_deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A later page, read from the ranges that the index names (L2)."""
+    return nullable_counts_as_double(page_index.indexed_page(spark, page_index_path(spark, sf_dir), **P.DEEP_PAGE))
+
+
+def q_high_risk_page_past_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page past the end of one state's clients: its totals, and no client (L2)."""
+    page = nullable_counts_as_double(page_index.indexed_page(spark, page_index_path(spark, sf_dir), **P.PAST_END_PAGE))
+    return page.withColumns({"user_id": F.col("user_id").cast("double"), "num_productos_activos": F.col("num_productos_activos").cast("double"), "es_hey_pro": F.col("es_hey_pro").cast("double")})
+
+
 def q_high_risk_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nullable_counts_as_double(lookup.high_risk_after(scored_clients(spark, sf_dir), **P.HIGH_RISK_AFTER))
 
@@ -318,6 +341,52 @@ def q_upload_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.scored_upload(readers.read_upload_csv(spark, path), model.rule_scorer)
 
 
+def q_upload_without_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report over an uploaded file whose rows have no ids (S4, M3, X19): the clients in
+    the order of their ids, written as CSV without them. Rows are named ``N-`` and their
+    place in the file."""
+    path = fresh_folder(spark, "upload-without-ids")
+    clients = fx.clients(spark, sf_dir)
+    clients.orderBy("user_id").drop("user_id").write.option("header", True).csv(path)
+    return model.scored_upload(readers.read_upload_csv(spark, path), model.rule_scorer)
+
+
+KPI_FILE = "mes string, monto_total double, num_transacciones long, num_inputs long, nuevos_churn long"
+
+
+def kpi_file(spark: SparkSession, sf_dir: str) -> monthly_files.MonthlyFile:
+    """The transactions' days as a KPI file (day as month stamp, amount, counts) with names in
+    capitals, read back; of the days every 7th has a month that does not parse and every
+    11th an amount that is no number."""
+    path, day = fresh_folder(spark, "kpi-file"), F.to_date("fecha_hora")
+    days = fx.transactions(spark, sf_dir).groupBy(day.alias("d")).agg(F.count("monto").alias("n"), F.sum(F.col("monto").cast("decimal(18,2)")).alias("m"))
+    number = F.datediff("d", F.lit("1995-01-01").cast("date"))
+    rows = days.select(
+        F.when(number % 7 == 0, F.concat(F.lit("sin fecha "), F.col("d").cast("string"))).otherwise(F.date_format("d", "yyyy-MM-dd")).alias("MES"),
+        F.when(number % 11 == 0, F.lit("n/d")).otherwise(F.col("m").cast("string")).alias("MONTO_TOTAL"),
+        F.col("n").alias("NUM_TRANSACCIONES"),
+        F.lit(0).alias("NUM_INPUTS"),
+        (F.col("n") % 5).alias("NUEVOS_CHURN"),
+    )
+    rows.write.option("header", True).option("sep", ";").csv(path)
+    return monthly_files.read_monthly_csv(spark, path, KPI_FILE, fresh_folder(spark, "kpi-read"))
+
+
+def q_kpi_file_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many lines of a KPI file are valid, have no month, or are no records."""
+    return kpi_file(spark, sf_dir).report()
+
+
+def q_kpi_file_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Months of the file's valid rows, with their sums and the names in lower case."""
+    valid = kpi_file(spark, sf_dir).valid
+    return valid.groupBy(F.date_format("mes", "yyyy-MM").alias("mes")).agg(
+        F.sum(F.col("monto_total").cast("decimal(18,2)")).cast("double").alias("monto_total"),
+        F.sum("num_transacciones").alias("num_transacciones"),
+        F.sum("nuevos_churn").alias("nuevos_churn"),
+    )
+
+
 def q_written_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clients written as records, found again as the first existing of two paths
     (S2, S3, S10)."""
@@ -366,6 +435,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "search_clients": q_search_clients,
     "high_risk_page": q_high_risk_page,
     "high_risk_page_state": q_high_risk_page_state,
+    "high_risk_deep_page": q_high_risk_deep_page,
+    "high_risk_page_past_end": q_high_risk_page_past_end,
     "high_risk_after": q_high_risk_after,
     "client_transactions": q_client_transactions,
     "client_transactions_page2": q_client_transactions_page2,
@@ -412,6 +483,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "one_client_conversations": q_one_client_conversations,
     "income_sample_split": q_income_sample_split,
     "upload_report": q_upload_report,
+    "upload_without_ids": q_upload_without_ids,
+    "kpi_file_report": q_kpi_file_report,
+    "kpi_file_months": q_kpi_file_months,
     "written_clients": q_written_clients,
     "monthly_rollup_stream": q_monthly_rollup_stream,
 }

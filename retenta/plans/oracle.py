@@ -139,6 +139,17 @@ SELECT p.*, meta.* FROM (
   LIMIT {page_size} OFFSET {(page - 1) * page_size}) p CROSS JOIN meta"""
 
 
+def indexed_page(page: int, page_size: int, estado: str | None = None, score_min: float = 0.0,
+                 score_max: float = 100.0) -> str:
+    """As a page, but the totals are there without clients too."""
+    return f"""{BASE_SCORED}, {_high_risk_filtered(estado, score_min, score_max)},
+meta AS (SELECT count(*) AS total, {page} AS page, {page_size} AS page_size,
+                CAST(ceil(count(*) / {page_size}) AS BIGINT) AS pages FROM filtered)
+SELECT p.*, meta.* FROM meta LEFT JOIN (
+  SELECT {HIGH_RISK_PAGE_COLUMNS} FROM filtered ORDER BY churn_score DESC, user_id
+  LIMIT {page_size} OFFSET {(page - 1) * page_size}) p ON true"""
+
+
 def high_risk_after(last_score: float, last_id: int, page_size: int) -> str:
     return f"""{BASE_SCORED}, {_high_risk_filtered(None, 0.0, 100.0)}
 SELECT {HIGH_RISK_PAGE_COLUMNS} FROM filtered
@@ -188,7 +199,7 @@ SELECT s.user_id, s.estado, s.ciudad, s.churn_score,
        coalesce(s.dias_desde_ultimo_login, 0) AS dias_desde_ultimo_login,
        coalesce(s.num_productos_activos, 0) AS num_productos_activos,
        coalesce(k.total_tx, 0) AS total_tx,
-       coalesce(s.ingreso_mensual_mxn, CAST(0 AS DOUBLE)) AS ingreso_mensual_mxn
+       coalesce(s.ingreso_mensual_mxn, CAST(0 AS DOUBLE)) AS ingreso_mensual_mxn, count(*) OVER () AS total
 FROM labelled s LEFT JOIN counts k ON s.user_id = k.user_id
 WHERE s.churn_score >= CAST({threshold} AS DOUBLE)
 ORDER BY s.churn_score DESC, s.user_id LIMIT {k}"""
@@ -739,6 +750,40 @@ SELECT CAST(user_id AS INTEGER) AS user_id, CAST(edad AS INTEGER) AS edad,
 FROM proba"""
 
 
+def upload_without_ids() -> str:
+    """The report over the clients in the order of their ids, named by their place."""
+    return f"""{BASE_CLIENTS},
+placed AS (SELECT *, row_number() OVER (ORDER BY user_id) - 1 AS place FROM clients),
+proba AS (SELECT *, round_even(
+      least(greatest(coalesce(dias_desde_ultimo_login, 0), 0), 90) / {dbl(90)} * {dbl(35)}
+    + ({dbl(10)} - coalesce(satisfaccion_1_10, {dbl(5)})) / {dbl(9)} * {dbl(25)}
+    + ({dbl(5)} - least(greatest(num_productos_activos, 0), 5)) / {dbl(5)} * {dbl(20)}
+    + {dbl(20)}, 1) / {dbl(100)} AS proba FROM placed)
+SELECT 'N-' || CAST(place AS VARCHAR) AS user_id, CAST(edad AS INTEGER) AS edad,
+       CAST(num_productos_activos AS INTEGER) AS num_productos_activos, satisfaccion_1_10, ingreso_mensual_mxn,
+       CAST(trunc(proba * {dbl(100)}) AS INTEGER) AS prob_churn, ciudad, CAST(proba >= {dbl(0.5)} AS INTEGER) AS pred_churn
+FROM proba"""
+
+
+KPI_DAYS = """WITH days AS (
+  SELECT CAST(o_orderdate AS DATE) AS d, date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS i,
+         count(o_totalprice) AS n, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS m FROM orders GROUP BY 1, 2)"""
+
+
+def kpi_file_report() -> str:
+    return f"""{KPI_DAYS}
+SELECT 'leidas' AS estado, count(*) AS filas FROM days
+UNION ALL SELECT 'linea_corrupta', count(*) FILTER (i % 11 = 0) FROM days
+UNION ALL SELECT 'mes_invalido', count(*) FILTER (i % 11 <> 0 AND i % 7 = 0) FROM days
+UNION ALL SELECT 'valida', count(*) FILTER (i % 11 <> 0 AND i % 7 <> 0) FROM days"""
+
+
+def kpi_file_months() -> str:
+    return f"""{KPI_DAYS}
+SELECT strftime(d, '%Y-%m') AS mes, CAST(sum(m) AS DOUBLE) AS monto_total, CAST(sum(n) AS BIGINT) AS num_transacciones,
+       CAST(sum(n % 5) AS BIGINT) AS nuevos_churn FROM days WHERE i % 11 <> 0 AND i % 7 <> 0 GROUP BY 1"""
+
+
 def written_clients() -> str:
     return f"""{BASE_CLIENTS}
 SELECT * REPLACE (CAST(dias_desde_ultimo_login AS DOUBLE) AS dias_desde_ultimo_login) FROM clients"""
@@ -852,6 +897,10 @@ def all_sql() -> dict[str, str]:
         "search_clients": search_clients(P.SEARCH_Q, P.SEARCH_LIMIT),
         "high_risk_page": high_risk_page(**P.HIGH_RISK_PAGE),
         "high_risk_page_state": high_risk_page(**P.HIGH_RISK_PAGE_STATE),
+        "high_risk_deep_page": indexed_page(**P.DEEP_PAGE),
+        "high_risk_page_past_end": f"""SELECT * REPLACE (CAST(user_id AS DOUBLE) AS user_id,
+            CAST(num_productos_activos AS DOUBLE) AS num_productos_activos, CAST(es_hey_pro AS DOUBLE) AS es_hey_pro)
+            FROM ({indexed_page(**P.PAST_END_PAGE)}) page""",
         "high_risk_after": high_risk_after(**P.HIGH_RISK_AFTER),
         "client_transactions": transaction_pages(**P.TX_PAGE_FIRST),
         "client_transactions_page2": transaction_pages(**P.TX_PAGE_SECOND),
@@ -899,5 +948,8 @@ def all_sql() -> dict[str, str]:
         "one_client_conversations": one_client_conversations(P.CLIENT_ID),
         "income_sample_split": income_sample_split(P.SAMPLE_ROWS, P.SAMPLE_SEED),
         "upload_report": upload_report(),
+        "upload_without_ids": upload_without_ids(),
+        "kpi_file_report": kpi_file_report(),
+        "kpi_file_months": kpi_file_months(),
         "written_clients": written_clients(),
     }

@@ -8,6 +8,9 @@ SEARCH_Q = "1.1"                 # regex on the client id
 SEARCH_LIMIT = 20
 HIGH_RISK_PAGE = {"page": 2, "page_size": 15}
 HIGH_RISK_PAGE_STATE = {"page": 1, "page_size": 10, "estado": "nation_7", "score_min": 65.0, "score_max": 90.0}
+DEEP_PAGE = {"page": 9, "page_size": 15}
+PAST_END_PAGE = {"page": 100_000, "page_size": 100, "estado": "nation_7"}
+PAGE_RANGES = 16                 # ranges of the page index in the registered queries
 HIGH_RISK_AFTER = {"last_score": 75.0, "last_id": 700, "page_size": 15}
 TX_PAGE_FIRST = {"page": 1, "page_size": 20}
 TX_PAGE_SECOND = {"page": 2, "page_size": 2}
