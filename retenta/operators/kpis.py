@@ -46,6 +46,13 @@ def months(kpi_table: DataFrame) -> DataFrame:
     return keys.select("mes", X.month_name_long_es("mes").alias("etiqueta")).orderBy(F.col("mes").desc())
 
 
+def months_needed(month: str) -> tuple[_dt.date, _dt.date]:
+    """First day of the month before ``month`` and first day of the month after it: what
+    :func:`global_kpis` reads, for :func:`rollups.monthly_kpis`'s ``between`` (P11)."""
+    current = parse_month(month)
+    return add_months(current, -1), add_months(current, 1)
+
+
 def _month_sums(kpi_table: DataFrame, start: _dt.date) -> list:
     """Conditional sums for the month starting at ``start`` (empty month → zeros, A3)."""
     in_month = (F.col("mes") >= F.lit(start)) & (F.col("mes") < F.lit(add_months(start, 1)))

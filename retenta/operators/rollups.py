@@ -7,6 +7,8 @@ Month columns are month-start dates; callers format them (``yyyy-MM``) on output
 
 from __future__ import annotations
 
+import datetime as _dt
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +17,20 @@ from ..functions import expr as X
 CHURN_AFTER_DAYS = 180  # fixed value: a client counts as churned after more than 180 days without transactions
 
 
+def _between(df: DataFrame, column: str, first: _dt.date | None, last: _dt.date | None) -> DataFrame:
+    """Rows from ``first`` to before ``last``, by literals of the column's own type, which the
+    scan can use to skip files and row groups."""
+    kind = df.schema[column].dataType
+    if first is not None:
+        df = df.filter(F.col(column) >= F.lit(first.isoformat()).cast(kind))
+    return df if last is None else df.filter(F.col(column) < F.lit(last.isoformat()).cast(kind))
+
+
 def monthly_kpis(
-    transactions: DataFrame, conversations: DataFrame, churn_after_days: int = CHURN_AFTER_DAYS
+    transactions: DataFrame,
+    conversations: DataFrame,
+    churn_after_days: int = CHURN_AFTER_DAYS,
+    between: tuple[_dt.date, _dt.date] | None = None,
 ) -> DataFrame:
     """Monthly KPI table (F1): mes, monto_total, num_inputs, nuevos_churn, num_transacciones.
 
@@ -29,20 +43,33 @@ def monthly_kpis(
     The three sources are aggregated separately (each partial/final), stacked
     with ``unionByName`` and summed per month: one small shuffle instead of two
     full outer joins. Months where no source has a row do not appear.
+
+    With ``between`` (first day, day after the last; whole months) only those months are
+    made, and each source is read in the range they need: transactions and conversations
+    of the months themselves, and for new churn the transactions from ``churn_after_days``
+    + 1 days before the first month on. A client's last transaction lies in that part, or
+    too early to count; so does the table's last, or no client can qualify.
     """
+    first, last = between or (None, None)
+    since = first - _dt.timedelta(days=churn_after_days + 1) if first else None
+    recent = _between(transactions, "fecha_hora", since, None)
+    transactions = _between(transactions, "fecha_hora", first, last)
+    conversations = _between(conversations, "date", first, last)
     tx = transactions.groupBy(X.month_start("fecha_hora").alias("mes")).agg(
         X.money_sum("monto").alias("monto_total"),
         F.count(F.lit(1)).alias("num_transacciones"),
     )
     conv = conversations.groupBy(X.month_start("date").alias("mes")).agg(F.count(F.lit(1)).alias("num_inputs"))
-    last = transactions.filter(F.col("user_id").isNotNull()).groupBy("user_id").agg(
+    latest = recent.filter(F.col("user_id").isNotNull()).groupBy("user_id").agg(
         F.max("fecha_hora").alias("ultima_tx")
     )
-    fecha_max = transactions.agg(F.max("fecha_hora")).scalar()  # one-row scalar subquery
+    fecha_max = recent.agg(F.max("fecha_hora")).scalar()  # one-row scalar subquery
     churn_at = F.timestamp_add("DAY", F.lit(churn_after_days + 1), F.col("ultima_tx"))
+    qualified = latest.filter(churn_at <= fecha_max)
+    if between:
+        qualified = qualified.filter((churn_at >= F.lit(first.isoformat()).cast("timestamp_ntz")) & (churn_at < F.lit(last.isoformat()).cast("timestamp_ntz")))
     churned = (
-        last.filter(churn_at <= fecha_max)
-        .groupBy(X.month_start(churn_at).alias("mes"))
+        qualified.groupBy(X.month_start(churn_at).alias("mes"))
         .agg(F.count(F.lit(1)).alias("nuevos_churn"))
     )
     stacked = tx.unionByName(conv, allowMissingColumns=True).unionByName(churned, allowMissingColumns=True)

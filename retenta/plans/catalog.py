@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from ..operators import actions, balances, features, kpis, lookup, model, monthly, page_index, rollups, scoring, segments, trees
+from ..operators import actions, balances, features, kpis, lookup, model, monthly, page_index, rollups, scoring, segments, trees, trigrams
 from ..sources import monthly_files, readers
 from . import params as P
 from ..session import checkpoint_dir, materialize
@@ -129,12 +129,18 @@ def q_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kpis.months(kpi_table(spark, sf_dir))
 
 
+def month_kpis(spark: SparkSession, sf_dir: str, month: str) -> DataFrame:
+    """The KPIs of a month, from the transactions and conversations that it needs."""
+    tx, conv = fx.transactions(spark, sf_dir), fx.conversations(spark, sf_dir)
+    return kpis.global_kpis(rollups.monthly_kpis(tx, conv, between=kpis.months_needed(month)), month)
+
+
 def q_global_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kpis.global_kpis(kpi_table(spark, sf_dir), P.GLOBAL_KPI_MONTH)
+    return month_kpis(spark, sf_dir, P.GLOBAL_KPI_MONTH)
 
 
 def q_global_kpis_first_month(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kpis.global_kpis(kpi_table(spark, sf_dir), P.GLOBAL_KPI_FIRST_MONTH)
+    return month_kpis(spark, sf_dir, P.GLOBAL_KPI_FIRST_MONTH)
 
 
 def q_kpi_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,6 +237,26 @@ def q_high_risk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.orderBy(F.col("churn_score").desc(), F.col("user_id").asc()).limit(P.HIGH_RISK_SEARCH_ROWS)
 
 
+def search_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """Clients, and the trigrams of their ids and cities in a new folder."""
+    clients = fx.clients(spark, sf_dir, product_counts=False).select("user_id", "estado", "ciudad", "edad")
+    path = fresh_folder(spark, "trigrams")
+    trigrams.write_trigrams(clients, path, "user_id", ["user_id", "ciudad"])
+    return clients, path
+
+
+def q_client_search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All clients whose id or city holds a text, found by its trigrams."""
+    clients, path = search_index(spark, sf_dir)
+    return trigrams.search(clients, path, P.INDEXED_SEARCH_TERM, "user_id", ["user_id", "ciudad"])
+
+
+def q_client_regex_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All clients whose city matches an expression, found by its literal parts (P5)."""
+    clients, path = search_index(spark, sf_dir)
+    return trigrams.search(clients, path, P.INDEXED_SEARCH_REGEX, "user_id", ["ciudad"], regex=True)
+
+
 def customer_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.feature_table(*fx.feature_sources(spark, sf_dir))
 
@@ -469,6 +495,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "retention_actions": q_retention_actions,
     "action_messages": q_action_messages,
     "high_risk_search": q_high_risk_search,
+    "client_search_indexed": q_client_search_indexed,
+    "client_regex_indexed": q_client_regex_indexed,
     "feature_table": q_feature_table,
     "monthly_balances": q_monthly_balances,
     "aligned_upload": q_aligned_upload,

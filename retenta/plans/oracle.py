@@ -684,6 +684,17 @@ FEATURES_BASE = with_ctes(CLIENTS, FEATURE_CTES)
 _NULLABLE_FEATURES = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in ("dias_desde_ultimo_login", "antiguedad_dias"))
 
 
+def client_search_indexed(term: str) -> str:
+    return f"""{BASE_CLIENTS}
+SELECT user_id, estado, ciudad, edad FROM clients
+WHERE contains(lower(CAST(user_id AS VARCHAR)), lower('{term}')) OR coalesce(contains(lower(ciudad), lower('{term}')), false)"""
+
+
+def client_regex_indexed(pattern: str) -> str:
+    return f"""{BASE_CLIENTS}
+SELECT user_id, estado, ciudad, edad FROM clients WHERE coalesce(regexp_matches(ciudad, '(?i){pattern}'), false)"""
+
+
 def feature_table() -> str:
     return f"""{FEATURES_BASE}
 SELECT * REPLACE ({_NULLABLE_FEATURES}, CAST(dias_sin_tx AS DOUBLE) AS dias_sin_tx) FROM features"""
@@ -933,6 +944,8 @@ def all_sql() -> dict[str, str]:
         "retention_actions": retention_actions(),
         "action_messages": action_messages(),
         "high_risk_search": high_risk_search(P.HIGH_RISK_SEARCH_TERM, P.HIGH_RISK_SEARCH_ROWS),
+        "client_search_indexed": client_search_indexed(P.INDEXED_SEARCH_TERM),
+        "client_regex_indexed": client_regex_indexed(P.INDEXED_SEARCH_REGEX),
         "feature_table": feature_table(),
         "monthly_balances": monthly_balances(),
         "aligned_upload": aligned_upload(),

@@ -29,6 +29,8 @@ SAMPLE_ROWS = 800
 SAMPLE_SEED = 42
 HIGH_RISK_SEARCH_TERM = "nation_1"   # substring of the id or the state
 HIGH_RISK_SEARCH_ROWS = 5
+INDEXED_SEARCH_TERM = "Nation_12"
+INDEXED_SEARCH_REGEX = "ATION.1"   # by its literal parts
 REPORT_TOP_ROWS = 10
 REPORT_TOP_CITIES = 5
 MODEL_ITERATIONS = 10

@@ -59,6 +59,23 @@ def test_month_filter_reaches_parquet_scan(spark, tmp_path):
     assert "PushedFilters: [IsNotNull(mes), GreaterThanOrEqual(mes,1998-02-01), LessThan(mes,1998-04-01)]" in p
 
 
+@pytest.mark.parametrize("name, since, first, last", [("global_kpis", "1997-08-04", "1998-02-01", "1998-04-01"), ("global_kpis_first_month", "1994-06-03", "1994-12-01", "1995-02-01")])
+def test_month_range_reaches_the_scans_of_a_registered_query(spark, name, since, first, last):
+    scans = [x for x in plan(QUERIES[name](spark, SF)).splitlines() if "PushedFilters" in x]
+    ranged = [x for x in scans if f"GreaterThanOrEqual(o_orderdate,{first}T00:00), LessThan(o_orderdate,{last[0]}" in x]  # the plan's text is cut
+    events = [x for x in scans if f"GreaterThanOrEqual(ts,{first}T00:00), LessThan(ts,{last}T00:00)" in x]
+    recent = [x for x in scans if f"GreaterThanOrEqual(o_orderdate,{since}T00:00)" in x]
+    assert ranged and events and recent and not [x for x in scans if "PushedFilters: []" in x]
+
+
+@pytest.mark.parametrize("month", ["1995-01", "1995-07", "1998-03", "2001-08", "2003-01", "1990-05"])
+def test_kpis_of_a_month_alone_equal_those_of_the_whole_table(spark, month):
+    from retenta.plans.catalog import kpi_table, month_kpis
+
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(month_kpis(spark, SF, month)) == rows(kpis.global_kpis(kpi_table(spark, SF), month))
+
+
 def test_scans_are_pruned(spark):
     p = plan(QUERIES["churn_scores"](spark, SF))
     # the lineitem scan reads only the columns the product count needs
