@@ -17,7 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from pathlib import Path
+from importlib import resources
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -94,7 +94,7 @@ KNOWN = [
 ]
 
 #: the full texts (a file a licence) and the SPDX ids
-LICENSES = Path(__file__).parent / "licenses"
+LICENSES = resources.files("retenta.llm") / "licenses"
 # Title lines of texts that are known without one, or with another.
 TITLES = {
     "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "MIT"],
@@ -160,7 +160,8 @@ def known_texts() -> list[tuple[str, str]]:
     have the same form, the first holds."""
     found = list(KNOWN)
     texts = [(n, x) for n, x in KNOWN if n in ("MIT", "ISC") and len(x) > 400]
-    texts += [(f.stem, f.read_text(encoding="utf-8")) for f in sorted(LICENSES.glob("*.txt")) if f.name != "spdx_ids.txt"]
+    files = sorted((f for f in LICENSES.iterdir() if f.name.endswith(".txt") and f.name != "spdx_ids.txt"), key=lambda f: f.name)
+    texts += [(f.name.removesuffix(".txt"), f.read_text(encoding="utf-8")) for f in files]
     for name, text in texts:
         bodies = [text, re.sub(r"(?m)^\s*[123]\. (?=Redistrib|Neither)", "* ", text)] if name.startswith("BSD") else [text]
         if END in text:
@@ -205,7 +206,8 @@ def digests(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
 def scan(docs: DataFrame, known: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """For each row its ``keep`` columns, ``whole_license`` (the licence that the entire text
     is, or null), ``licenses`` (those of its lines, sorted, each once) and ``n_lines`` (how
-    many lines are a licence's text)."""
+    many lines are a licence's text). Kept columns of these names give way."""
+    keep = [c for c in keep if c.lower() not in ("whole_license", "licenses", "n_lines", "__row", "__digests")]
     rows = digests(docs, keep, text).withColumn("__row", F.monotonically_increasing_id())
     found = (
         rows.select("__row", *keep, F.posexplode("__digests").alias("__unit", "__digest"))

@@ -85,10 +85,10 @@ def find(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
             for x in batch.column("__text").to_pylist():
                 base = base_spans(x)
                 rows.append([{"kind": k, "start": a, "stop": b, "value": v} for a, k, b, v in base + other_tokens(x, base)])
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(rows, ARROW_SPANS)], [*keep, "found"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(rows, ARROW_SPANS)], [*keep, "__found"])
 
     kept = [f for f in chosen.schema.fields if f.name != "__text"]
-    return chosen.mapInArrow(run, T.StructType([*kept, T.StructField("found", T.ArrayType(SPAN))]))
+    return chosen.mapInArrow(run, T.StructType([*kept, T.StructField("__found", T.ArrayType(SPAN))]))
 
 
 def fit(examples: list[str]) -> tuple[Automaton, float] | None:
@@ -106,7 +106,7 @@ def fit(examples: list[str]) -> tuple[Automaton, float] | None:
 def learn(found: DataFrame, docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> tuple[list[tuple[Automaton, float]], list[Automaton]]:
     """``fit`` for each base kind, and automata of ordinary numbers and words, each from at
     most ``sample`` distinct strings: those of the smallest hash."""
-    labelled = found.select(F.explode("found").alias("x")).select("x.kind", "x.value").filter("kind < 3").distinct()
+    labelled = found.select(F.explode("__found").alias("x")).select("x.kind", "x.value").filter("kind < 3").distinct()
     plain = docs.select(F.explode(F.regexp_extract_all(text_of(text), F.lit(PLAIN), F.lit(0))).alias("value")).distinct()
     plain = plain.join(labelled.select("value").distinct(), "value", "left_anti")
     strings = labelled.unionByName(plain.select(F.when(F.col("value").rlike("^[0-9]"), 3).otherwise(4).alias("kind"), "value"))
@@ -123,7 +123,8 @@ def is_credential(value: str, formats: list[tuple[Automaton, float]], ordinary:
 
 def scan(docs: DataFrame, keep: list[str], text: str = "text", sample: int = SAMPLE) -> DataFrame:
     """``keep`` columns and ``spans``, an array of (kind, start, stop, value) by start, then
-    kind in the order of ``KINDS``."""
+    kind in the order of ``KINDS``. A kept column named ``spans`` gives way."""
+    keep = [c for c in keep if c.lower() != "spans"]
     found = staged(find(docs, keep, text), "secret-spans")
     automata = found.sparkSession.sparkContext.broadcast(learn(found, docs, text, sample))  # at most 5 * sample strings' states
 
@@ -131,10 +132,10 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text", sample: int = SAM
     def accepted(values):
         return values.map(lambda xs: [is_credential(x, *automata.value) for x in xs])
 
-    tokens = F.filter("found", lambda x: x["kind"] == 3)
+    tokens = F.filter("__found", lambda x: x["kind"] == 3)
     with_tokens = found.withColumn("__ok", accepted(F.transform(tokens, lambda x: x["value"])))
     added = F.transform(F.filter(F.arrays_zip(tokens.alias("t"), F.col("__ok").alias("ok")), lambda x: x["ok"]), lambda x: x["t"])
-    base = F.filter("found", lambda x: x["kind"] < 3)
+    base = F.filter("__found", lambda x: x["kind"] < 3)
     ordered = F.array_sort(F.transform(F.concat(base, added), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("no"), x["stop"].alias("stop"), x["value"].alias("value"))))
     names = F.array(*[F.lit(x) for x in KINDS])
     spans = F.transform(ordered, lambda x: F.struct(names[x["no"]].alias("kind"), x["start"], x["stop"], x["value"]))
