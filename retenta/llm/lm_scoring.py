@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from retenta.llm import slices
 from retenta.llm.staging import text_of
@@ -159,6 +160,6 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text: str = "t
     asked = texts.groupBy("slice").applyInArrow(ask, "shard int, slice int, kind int, keys binary, counts binary")
     answers = asked.groupBy("shard").applyInArrow(answer, "slice int, kind int, keys binary, counts binary, tokens long, types long")
     result = f"id {id_type}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    schema = pa.schema([("id", pa.int64() if id_type == "bigint" else pa.int32() if id_type == "int" else pa.string()), ("train", pa.bool_())] + [(c, pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")] + [(c, pa.float64()) for c in ("base_score", "score")])
+    schema = pa.schema([("id", to_arrow_type(docs.schema[id_col].dataType)), ("train", pa.bool_())] + [(c, pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")] + [(c, pa.float64()) for c in ("base_score", "score")])
     out = texts.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(traverse, result)
     return out.withColumnRenamed("id", id_col)

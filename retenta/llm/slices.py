@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -124,32 +125,34 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_VALUES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_VALUES[65:91] = _VALUES[97:123]  # A to Z count as a to z
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32  # A to Z count as a to z
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BASE = 0x9E3779B97F4A7C15
+_SEED = 0x9E3779B97F4A7C15
 _CHUNK = 1 << 18
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64."""
-    have = next(iter(_powers.values()), None)
-    if have is None or len(have[0]) < n:
-        step = lambda b: np.concatenate([[np.uint64(1)], np.cumprod(np.full(n - 1, b, np.uint64))])
-        _powers.clear()
-        _powers[0] = step(_BASE), step(pow(_BASE, -1, 1 << 64))
-    return _powers[0]
+#: bytes from which a word is hashed by itself
+_LONG = 64
+#: of the last eight bytes of a word, those that are its own
+_OWN = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], np.uint64)
+
+
+def _hashed(lower: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hashes of the words of at most _LONG bytes, eight bytes of all of them at a time. Each
+    step mixes what came before with the next eight bytes, after the word's length."""
+    out = mixed(sizes.astype(np.uint64) + np.uint64(_SEED))
+    rest, at = np.arange(len(starts)), 0
+    while len(rest):
+        eight = lower[(starts[rest] + at)[:, None] + np.arange(8)].view("<u8")[:, 0]
+        eight &= _OWN[np.minimum(sizes[rest] - at, 8)]
+        out[rest] = mixed((out[rest] ^ eight) * _MIX2 + np.uint64(_SEED))
+        at += 8
+        rest = rest[sizes[rest] > at]
+    return out
 
 
 def word_hashes(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words, A to Z lower-cased, and in which text each stands.
-
-    A word's hash is the difference of two prefix sums of a polynomial in its bytes, so the
-    words of a chunk are hashed side by side. Different words get equal hashes with a
-    probability near 2^-60.
-    """
+    """64-bit hashes of all words, A to Z lower-cased, and in which text each stands."""
     inside = ~_IS_SPACE[flat]
     begin, end = inside.copy(), inside.copy()
     begin[1:] &= ~inside[:-1]
@@ -159,15 +162,16 @@ def word_hashes(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     begin[edges] = inside[edges]
     end[edges - 1] = inside[edges - 1]
     starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
+    sizes = ends - starts
     out = np.empty(len(starts), np.uint64)
     at = 0
     while at < len(starts):
         to = max(at + 1, int(np.searchsorted(starts, starts[at] + _CHUNK)))
-        a, b = starts[at], ends[to - 1]
-        power, inverse = _powers_to(max(_CHUNK * 2, int(b - a)))
-        sums = np.zeros(b - a + 1, np.uint64)
-        np.cumsum(_VALUES[flat[a:b]] * power[: b - a], out=sums[1:])
-        s, e = starts[at:to] - a, ends[at:to] - a
-        out[at:to] = mixed((sums[e] - sums[s]) * inverse[s])
+        a, b = int(starts[at]), int(ends[to - 1])
+        lower = np.concatenate([_LOWER[flat[a:b]], np.zeros(8, np.uint8)])
+        short = at + np.flatnonzero(sizes[at:to] <= _LONG)
+        out[short] = _hashed(lower, starts[short] - a, sizes[short])
+        for i in (at + np.flatnonzero(sizes[at:to] > _LONG)).tolist():
+            out[i] = xxhash.xxh3_64_intdigest(lower[starts[i] - a : ends[i] - a].tobytes(), _SEED)
         at = to
     return out, np.searchsorted(offsets[1:], starts, side="right")
