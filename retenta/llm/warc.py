@@ -48,6 +48,8 @@ from retenta.llm.staging import attach, shared_root, staged
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
+#: shared payloads whose digests and first pages are broadcast; more are joined
+FEW_SHARED = 10_000
 #: level of the members' compression
 LEVEL = 6
 #: bytes of one read, and of the slices of archives that tasks read
@@ -64,27 +66,18 @@ def base32_of(hex_digest: Column) -> Column:
     return F.translate(F.concat(*fives), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def _page() -> Column:
-    """A short key of a page's id and url; lengths first, so that no two are written alike."""
-    named = lambda c: F.concat(F.when(F.col(c).isNull(), "n").otherwise("v"), F.coalesce(F.col(c).cast("string"), F.lit("")))
-    return F.unhex(F.sha2(F.concat_ws(":", F.length(named("id")), named("id"), named("url")), 256))
-
-
-def _typed(pages: DataFrame, id_col: str, url_col: str, payload_col: str, min_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """(what to write of each distinct page and how often, the pages' payloads)."""
+def _rows(pages: DataFrame, id_col: str, url_col: str, payload_col: str) -> DataFrame:
     rows = pages.select(
         F.col(f"`{id_col}`").alias("id"),
         F.col(f"`{url_col}`").cast("string").alias("url"),
         F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit("")).alias("payload"),
-    ).withColumn("digest", F.unhex(F.sha1(F.col("payload").cast("binary"))))
-    distinct = rows.groupBy("digest", "id", "url", F.octet_length("payload").cast("long").alias("size")).agg(F.count(F.lit(1)).alias("n"))
-    here = F.struct("id", "url")
-    first = distinct.filter(F.col("size") >= min_bytes).groupBy("digest").agg(F.max(here).alias("first"), F.count(F.lit(1)).alias("pages"))
-    # most payloads are one page's only: those need no join
-    shared = first.filter("pages > 1").select("digest", "first")
-    out = attach(distinct, shared, "digest", here)
-    out = out.withColumn("response", F.col("first").isNull() | here.eqNullSafe(F.col("first")))
-    return out, rows.select("digest", _page().alias("page"), "payload")
+    )
+    return rows.withColumns({"digest": F.unhex(F.sha1(F.col("payload").cast("binary"))), "size": F.octet_length("payload").cast("long")})
+
+
+def _first_of(rows: DataFrame, facts: DataFrame, few: bool) -> DataFrame:
+    """``rows`` with ``first``, the response's (id, url) where others share their payload."""
+    return rows.join(F.broadcast(facts), "digest", "left") if few else attach(rows, facts, "digest", F.struct("id", "url"))
 
 
 def _urn(page: Column, digest: Column) -> Column:
@@ -112,17 +105,23 @@ def _record(kind: str, body: Column, copy: Column) -> Column:
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0) -> None:
     """Write a record per page to files in ``folder`` (new), each one gzip stream. Payloads of
     fewer than ``min_bytes`` bytes are written again for each page."""
-    typed, payloads = _typed(pages, id_col, url_col, payload_col, min_bytes)
-    typed = staged(typed, "warc-types")
-    typed = typed.withColumn("page", _page())
-    once = F.col("size") >= min_bytes  # smaller payloads are written n times
-    whole = typed.filter("response").withColumn("times", F.when(once, 1).otherwise(F.col("n")))
-    bare = typed.withColumn("times", F.when(~F.col("response"), F.col("n")).when(once, F.col("n") - 1).otherwise(0)).filter("times > 0")
-    bare = bare.withColumn("first", F.coalesce("first", F.struct("id", "url")))
-    copies = lambda df, at: df.withColumn("copy", F.explode(F.sequence(F.lit(at).cast("long"), F.col("times") + (at - 1))))
-    found = payloads.dropDuplicates(["digest", "page"]).join(whole, ["digest", "page"])
-    responses = copies(found, 1).select(_record("response", F.col("payload"), F.col("copy")).alias("value"))
-    revisits = copies(bare, 2).select(_record("revisit", F.lit(""), F.col("copy")).alias("value"))
+    rows = _rows(pages, id_col, url_col, payload_col)
+    here = F.struct("id", "url")
+    # sizes and digests only: how often each page is there, and which payloads are shared
+    distinct = staged(rows.groupBy("digest", "size", "id", "url").agg(F.count(F.lit(1)).alias("n")), "warc-pages")
+    large = distinct.filter(F.col("size") >= min_bytes)
+    shared = large.groupBy("digest").agg(F.max(here).alias("first"), F.sum("n").alias("pages")).filter("pages > 1").select("digest", "first")
+    shared = staged(shared, "warc-shared")
+    few = shared.count() <= FEW_SHARED
+    # a payload that one page has is written where it is read
+    marked = _first_of(rows, shared, few)
+    alone = marked.filter(F.col("first").isNull()).withColumn("copy", F.monotonically_increasing_id() + 1)
+    chosen = marked.filter(here.eqNullSafe(F.col("first"))).dropDuplicates(["digest"]).withColumn("copy", F.lit(1).cast("long"))
+    responses = alone.unionByName(chosen).select(_record("response", F.col("payload"), F.col("copy")).alias("value"))
+    again = _first_of(distinct, shared, few).filter(F.col("first").isNotNull())
+    times = F.col("n") - F.when(here.eqNullSafe(F.col("first")), 1).otherwise(0)
+    again = again.withColumn("times", times).filter("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(2).cast("long"), F.col("times") + 1)))
+    revisits = again.select(_record("revisit", F.lit(""), F.col("copy")).alias("value"))
     responses.unionByName(revisits).write.option("lineSep", END).option("compression", "gzip").text(folder)
 
 
