@@ -461,3 +461,59 @@ def test_bpe_with_little_memory():
         for x, ids in zip(batch, v.encode_batch(batch)):
             assert np.frombuffer(ids, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
         assert v.known.held <= 3000 and v.known.held == sum(len(x) + len(y) + bpe.ENTRY for x, y in v.known.young.items() if x not in v.special)
+
+
+def test_word_hashes_tell_words_apart():
+    from retenta.llm import slices
+
+    rng = random.Random(7)
+    morse = ["a"]
+    for _ in range(10):
+        morse = [morse[0] + morse[0].translate(str.maketrans("ab", "ba"))]
+    words = [morse[0], morse[0].translate(str.maketrans("ab", "ba")), morse[0][:64], morse[0][:64].translate(str.maketrans("ab", "ba")), "a", "a\0", "aa", "\0a"]
+    words += ["".join(rng.choices("abcé", k=rng.randint(1, 90))) for _ in range(3000)] + ["x" * n for n in range(1, 200)]
+    words += [w.upper() for w in words[:50]] + ["y" * 600_000, "y" * 599_999]
+    texts = [" ".join(words[i : i + 40]).encode() for i in range(0, len(words), 40)]
+    flat = np.frombuffer(b"".join(texts), np.uint8)
+    hashes, where = slices.word_hashes(flat, np.cumsum([0, *map(len, texts)]))
+    assert where.tolist() == [i // 40 for i in range(len(words))]
+    by = defaultdict(set)
+    for w, h in zip(words, hashes.tolist()):
+        by[h].add(w.translate(LOWER))
+    assert all(len(x) == 1 for x in by.values()) and len(by) == len({w.translate(LOWER) for w in words})
+
+
+def test_lm_scoring_of_other_ids(spark):
+    from decimal import Decimal
+
+    for kind, ids in (("decimal(20,0)", [Decimal(1), Decimal(2), None]), ("string", ["a", "b", None]), ("double", [0.5, 1.5, None])):
+        rows = spark.createDataFrame([(i, "one two", "x") for i in ids], f"doc_id {kind}, text string, train string")
+        out = lm_scoring.score(rows, F.lit(True))
+        assert {r["doc_id"] for r in out.collect()} == set(ids) and out.schema["doc_id"].dataType == rows.schema["doc_id"].dataType
+
+
+def test_kept_columns_of_the_operators_own_names(spark):
+    text = "Released under the MIT License.\npassword = hunter2hunter2"
+    rows = spark.createDataFrame([(1, text, "a", "b", "c")], "doc_id long, text string, found string, spans string, licenses string")
+    secret = secret_scan.scan(rows, ["doc_id", "found", "spans"]).first()
+    assert secret["found"] == "a" and [x["kind"] for x in secret["spans"]] == ["assign"]
+    licence = license_scan.scan(rows, license_scan.known_digests(spark), ["doc_id", "licenses", "found"]).first()
+    assert licence["found"] == "a" and licence["licenses"] == ["MIT"]
+
+
+def test_licences_are_read_from_a_zip(tmp_path):
+    import os
+    import subprocess
+    import sys
+    import zipfile
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(license_scan.__file__)))
+    with zipfile.ZipFile(tmp_path / "retenta.zip", "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if not name.endswith(".pyc"):
+                    z.write(os.path.join(folder, name), os.path.join("retenta", os.path.relpath(os.path.join(folder, name), root)))
+    code = "from retenta.llm import license_scan as x; from retenta.operators import trees; print(len(x.known_texts()), len(trees.stored().trees), x.__file__)"
+    said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path / "retenta.zip")}, capture_output=True, text=True, timeout=120)
+    assert said.returncode == 0, said.stderr
+    assert int(said.stdout.split()[0]) == len(license_scan.known_texts()) and "retenta.zip" in said.stdout

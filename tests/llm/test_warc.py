@@ -49,8 +49,9 @@ def expected(rows, min_bytes=0):
     return Counter(out)
 
 
-@pytest.mark.parametrize("min_bytes", [0, 5])
-def test_round_trip(spark, min_bytes):
+@pytest.mark.parametrize("min_bytes, few", [(0, 10_000), (5, 10_000), (0, 0), (5, 0)])
+def test_round_trip(spark, monkeypatch, min_bytes, few):
+    monkeypatch.setattr(warc, "FEW_SHARED", few)
     rows = pages()
     records = warc.round_trip(frame(spark, rows), min_bytes=min_bytes).cache()
     assert Counter(tuple(r) for r in warc.digests(records).collect()) == expected(rows, min_bytes)
@@ -73,7 +74,11 @@ def test_files_are_monolithic_then_members(spark, tmp_path):
     archives = warc.normalise(spark, str(tmp_path / "mono"), str(tmp_path / "out")).collect()
     assert sum(r["records"] for r in archives) == len(rows)
     index = warc.read_index(spark, str(tmp_path / "out")).collect()
-    assert len(index) == len(rows)
+    assert len(index) == len({r["record_id"] for r in index}) == len(rows)
+    # every revisit names a response that is there
+    kinds = {r["record_id"]: r["kind"] for r in index}
+    named = [line.split(b": ")[1].strip().decode() for line in whole.split(b"\r\n") if line.startswith(b"WARC-Refers-To:")]
+    assert len(named) == sum(k == "revisit" for k in kinds.values()) and all(kinds[x] == "response" for x in named)
     by_file, again = defaultdict(list), b""
     for r in index:
         by_file[r["archive"]].append(r)
