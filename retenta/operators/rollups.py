@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
@@ -26,6 +26,19 @@ def _between(df: DataFrame, column: str, first: _dt.date | None, last: _dt.date
     return df if last is None else df.filter(F.col(column) < F.lit(last.isoformat()).cast(kind))
 
 
+def new_churn_by_month(
+    latest: DataFrame, fecha_max: Column, churn_after_days: int = CHURN_AFTER_DAYS, between: tuple[_dt.date, _dt.date] | None = None
+) -> DataFrame:
+    """(mes, nuevos_churn) from each client's last transaction (user_id, ultima_tx): counted in
+    the month of the day on which the client first qualifies, up to ``fecha_max``."""
+    churn_at = F.timestamp_add("DAY", F.lit(churn_after_days + 1), F.col("ultima_tx"))
+    qualified = latest.filter(churn_at <= fecha_max)
+    if between:
+        first, last = (F.lit(day.isoformat()).cast("timestamp_ntz") for day in between)
+        qualified = qualified.filter((churn_at >= first) & (churn_at < last))
+    return qualified.groupBy(X.month_start(churn_at).alias("mes")).agg(F.count(F.lit(1)).alias("nuevos_churn"))
+
+
 def monthly_kpis(
     transactions: DataFrame,
     conversations: DataFrame,
@@ -64,14 +77,7 @@ def monthly_kpis(
         F.max("fecha_hora").alias("ultima_tx")
     )
     fecha_max = recent.agg(F.max("fecha_hora")).scalar()  # one-row scalar subquery
-    churn_at = F.timestamp_add("DAY", F.lit(churn_after_days + 1), F.col("ultima_tx"))
-    qualified = latest.filter(churn_at <= fecha_max)
-    if between:
-        qualified = qualified.filter((churn_at >= F.lit(first.isoformat()).cast("timestamp_ntz")) & (churn_at < F.lit(last.isoformat()).cast("timestamp_ntz")))
-    churned = (
-        qualified.groupBy(X.month_start(churn_at).alias("mes"))
-        .agg(F.count(F.lit(1)).alias("nuevos_churn"))
-    )
+    churned = new_churn_by_month(latest, fecha_max, churn_after_days, between)
     stacked = tx.unionByName(conv, allowMissingColumns=True).unionByName(churned, allowMissingColumns=True)
     return stacked.groupBy("mes").agg(
         F.coalesce(F.sum("monto_total"), F.lit(0.0)).alias("monto_total"),

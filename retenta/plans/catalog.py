@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from ..operators import actions, balances, features, kpis, lookup, model, monthly, page_index, rollups, scoring, segments, trees, trigrams
+from ..operators import actions, balances, features, incremental, kpis, lookup, model, monthly, page_index, rollups, scoring, segments, trees, trigrams
 from ..sources import monthly_files, readers
 from . import params as P
 from ..session import checkpoint_dir, materialize
@@ -125,6 +125,26 @@ def q_monthly_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kpi_table(spark, sf_dir).withColumn("mes", F.date_format("mes", "yyyy-MM"))
 
 
+def loaded_state(spark: SparkSession, sf_dir: str) -> str:
+    """Transactions and conversations that come in three batches, the second without
+    conversations, each loaded when it is there; the last load finds nothing new."""
+    folder = fresh_folder(spark, "incremental")
+    tx, conv = fx.transactions(spark, sf_dir), fx.conversations(spark, sf_dir)
+    part = lambda df, n, i: df.filter(F.pmod(F.xxhash64(*df.columns), F.lit(n)) == i)
+    for i in range(3):
+        part(tx, 3, i).write.mode("append").parquet(f"{folder}/tx")
+        if i != 1:
+            part(conv, 2, i // 2).write.mode("append").parquet(f"{folder}/conv")
+        incremental.load_new(spark, f"{folder}/state", f"{folder}/tx", f"{folder}/conv")
+    incremental.load_new(spark, f"{folder}/state", f"{folder}/tx", f"{folder}/conv")
+    return f"{folder}/state"
+
+
+def q_monthly_kpis_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The monthly KPIs from the states of several loads."""
+    return incremental.monthly_kpis(spark, loaded_state(spark, sf_dir)).withColumn("mes", F.date_format("mes", "yyyy-MM"))
+
+
 def q_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kpis.months(kpi_table(spark, sf_dir))
 
@@ -470,6 +490,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "score_card": q_score_card,
     "high_risk_top": q_high_risk_top,
     "monthly_kpis": q_monthly_kpis,
+    "monthly_kpis_incremental": q_monthly_kpis_incremental,
     "months": q_months,
     "global_kpis": q_global_kpis,
     "global_kpis_first_month": q_global_kpis_first_month,

@@ -919,6 +919,7 @@ def all_sql() -> dict[str, str]:
         "score_card": score_card(),
         "high_risk_top": high_risk_top(P.HIGH_RISK_TOP_K),
         "monthly_kpis": monthly_kpis(),
+        "monthly_kpis_incremental": monthly_kpis(),
         "months": months(),
         "global_kpis": global_kpis(P.GLOBAL_KPI_MONTH),
         "global_kpis_first_month": global_kpis(P.GLOBAL_KPI_FIRST_MONTH),
