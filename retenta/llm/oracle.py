@@ -55,36 +55,37 @@ ORACLE = {
     "op12_hard_negatives": """
         WITH v AS (
             SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
-                   list_transform(embedding, x -> floor(256 * x::DOUBLE)::BIGINT) AS v
+                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
             FROM embeddings
-            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ),
         scored AS (
             SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
-                   list_sum(list_transform(list_zip(a.v, b.v), p -> p[1] * p[2]))::BIGINT AS score
+                   list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2]))::BIGINT AS score
             FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
         ),
         liked AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
-        SELECT anchor_id, positive_id, row_number() OVER w AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+        SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
         FROM liked JOIN scored USING (anchor_id)
         WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
         WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
         QUALIFY row_number() OVER w <= 5
     """,
-    # base32: five hexadecimal digits are four letters
+    # base32: five hexadecimal digits are four letters; ids that may be null are doubles, as
+    # pandas makes them of Spark's
     "op13_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
         h AS (SELECT page_id, octet_length(body) AS size, sha1(body) AS hex FROM p),
-        fives AS (SELECT *, list_transform(range(8), i -> ('0x' || substr(hex, 5 * i + 1, 5))::BIGINT) AS parts FROM h),
+        fives AS (SELECT *, list_transform(range(8), lambda i: ('0x' || substr(hex, 5 * i + 1, 5))::BIGINT) AS parts FROM h),
         named AS (
             SELECT page_id, size, hex,
-                   array_to_string(list_transform(parts, v -> array_to_string(list_transform([15, 10, 5, 0], s -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> s) & 31)::INT + 1, 1)), '')), '') AS digest
+                   array_to_string(list_transform(parts, lambda v: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> s) & 31)::INT + 1, 1)), '')), '') AS digest
             FROM fives
         ),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY hex ORDER BY page_id DESC) AS place, max(page_id) OVER (PARTITION BY hex) AS first FROM named)
         SELECT page_id, size AS payload_bytes, digest AS payload_digest,
                CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
-               CASE WHEN place > 1 THEN first END AS refers_to, TRUE AS intact
+               CAST(CASE WHEN place > 1 THEN first END AS DOUBLE) AS refers_to, TRUE AS intact
         FROM ranked
     """,
 }
