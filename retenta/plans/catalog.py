@@ -82,15 +82,21 @@ def page_index_path(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
+def page_from_index(spark: SparkSession, sf_dir: str, page: dict) -> DataFrame:
+    """A page read by the index; a page without clients has nulls in all their columns, so
+    ids, counts and flags are handed over as double."""
+    out = nullable_counts_as_double(page_index.indexed_page(spark, page_index_path(spark, sf_dir), **page))
+    return out.withColumns({c: F.col(c).cast("double") for c in ("user_id", "num_productos_activos", "es_hey_pro")})
+
+
 def q_high_risk_deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A later page, read from the ranges that the index names (L2)."""
-    return nullable_counts_as_double(page_index.indexed_page(spark, page_index_path(spark, sf_dir), **P.DEEP_PAGE))
+    return page_from_index(spark, sf_dir, P.DEEP_PAGE)
 
 
 def q_high_risk_page_past_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page past the end of one state's clients: its totals, and no client (L2)."""
-    page = nullable_counts_as_double(page_index.indexed_page(spark, page_index_path(spark, sf_dir), **P.PAST_END_PAGE))
-    return page.withColumns({"user_id": F.col("user_id").cast("double"), "num_productos_activos": F.col("num_productos_activos").cast("double"), "es_hey_pro": F.col("es_hey_pro").cast("double")})
+    return page_from_index(spark, sf_dir, P.PAST_END_PAGE)
 
 
 def q_high_risk_after(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -141,11 +141,13 @@ SELECT p.*, meta.* FROM (
 
 def indexed_page(page: int, page_size: int, estado: str | None = None, score_min: float = 0.0,
                  score_max: float = 100.0) -> str:
-    """As a page, but the totals are there without clients too."""
+    """As a page, but the totals are there without clients too; then all else is null, so ids,
+    counts and flags are doubles."""
     return f"""{BASE_SCORED}, {_high_risk_filtered(estado, score_min, score_max)},
 meta AS (SELECT count(*) AS total, {page} AS page, {page_size} AS page_size,
                 CAST(ceil(count(*) / {page_size}) AS BIGINT) AS pages FROM filtered)
-SELECT p.*, meta.* FROM meta LEFT JOIN (
+SELECT p.* REPLACE (CAST(user_id AS DOUBLE) AS user_id, CAST(num_productos_activos AS DOUBLE) AS num_productos_activos,
+                    CAST(es_hey_pro AS DOUBLE) AS es_hey_pro), meta.* FROM meta LEFT JOIN (
   SELECT {HIGH_RISK_PAGE_COLUMNS} FROM filtered ORDER BY churn_score DESC, user_id
   LIMIT {page_size} OFFSET {(page - 1) * page_size}) p ON true"""
 
@@ -909,9 +911,7 @@ def all_sql() -> dict[str, str]:
         "high_risk_page": high_risk_page(**P.HIGH_RISK_PAGE),
         "high_risk_page_state": high_risk_page(**P.HIGH_RISK_PAGE_STATE),
         "high_risk_deep_page": indexed_page(**P.DEEP_PAGE),
-        "high_risk_page_past_end": f"""SELECT * REPLACE (CAST(user_id AS DOUBLE) AS user_id,
-            CAST(num_productos_activos AS DOUBLE) AS num_productos_activos, CAST(es_hey_pro AS DOUBLE) AS es_hey_pro)
-            FROM ({indexed_page(**P.PAST_END_PAGE)}) page""",
+        "high_risk_page_past_end": indexed_page(**P.PAST_END_PAGE),
         "high_risk_after": high_risk_after(**P.HIGH_RISK_AFTER),
         "client_transactions": transaction_pages(**P.TX_PAGE_FIRST),
         "client_transactions_page2": transaction_pages(**P.TX_PAGE_SECOND),
